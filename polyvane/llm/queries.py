@@ -12,12 +12,34 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.decontam import decontaminate
+
+    hits = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyvane.llm.mixing import mix
 
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=4, threshold=80)
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.lines import line_dedup
+
+    out = line_dedup(_read(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyvane.llm.chat import format_chats, unescape
 
@@ -46,6 +68,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+        FROM bw, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM dw, sizes, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE len(w) >= n),
+hit AS (SELECT doc_id, pos.n, i, item_id FROM pos JOIN win ON pos.n = win.n AND pos.s = win.s),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM hit), unnest(range(i, i + n)) AS u(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS a
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(a, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
@@ -84,6 +122,27 @@ SELECT doc_id, size, source_size, target,
        (rounds * size + greatest(0, least(z, CASE WHEN rounds < 2 THEN words - rounds * cell ELSE 0 END) - (z - size)))::BIGINT AS taken FROM f
 """
 
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.root = e.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
+FROM documents d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id
+"""
+
+OP6_SQL = rf"""
+WITH l AS (SELECT doc_id, i, x, {LOWER.format("trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+f AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (top IS NOT NULL AND top <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (top IS NULL OR top = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN f USING (k) GROUP BY doc_id
+"""
+
 OP7_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
@@ -106,4 +165,4 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}

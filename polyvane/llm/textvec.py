@@ -26,16 +26,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_odd = np.zeros(0, np.uint64)
+_odd: dict[int, np.ndarray] = {}
 
 
-def odd(n: int) -> np.ndarray:
-    """The first n position multipliers."""
-    global _odd
-    if len(_odd) < n:
+def odd(n: int, seed: int = 0) -> np.ndarray:
+    """The first n position multipliers of a seed."""
+    if len(_odd.get(seed, ())) < n:
         size = max(4096, 1 << int(n - 1).bit_length())
-        _odd = mix(np.arange(1, size + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
-    return _odd[:n]
+        _odd[seed] = mix((np.arange(1, size + 1, dtype=np.uint64) + (U(seed) << U(40))) * U(0x9E3779B97F4A7C15)) | U(1)
+    return _odd[seed][:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +105,14 @@ def spans(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mask & ~prev), np.flatnonzero(mask & ~nxt) + 1
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each non-empty span of bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
     first = np.cumsum(lens) - lens
     pos = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    value = (buf[np.repeat(starts, lens) + pos].astype(np.uint64) + U(1)) * odd(int(lens.max()))[pos]
+    value = (buf[np.repeat(starts, lens) + pos].astype(np.uint64) + U(1)) * odd(int(lens.max()), seed)[pos]
     return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
@@ -154,8 +153,22 @@ class Words:
 
 def gram_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Hash of h[at], ..., h[at + k - 1]; k is part of it."""
-    out = np.full(len(at), k, np.uint64) * U(0xA0761D6478BD642F)
+    out = np.full(len(at), k * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF, np.uint64)
     if len(at):
         for j, c in enumerate(odd(k)):
             out += h[at + j] * c
     return mix(out)
+
+
+def lists(values: pa.Array | np.ndarray, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
+    """A list column from flat values and the number of them by row."""
+    flat = values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
+
+
+def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines of each text (split at line feeds; an empty text is one line), and lines by text."""
+    feeds = np.flatnonzero(buf == 10)
+    count = np.searchsorted(feeds, offs)
+    return (np.sort(np.concatenate([offs[:-1], feeds + 1]), kind="stable"),
+            np.sort(np.concatenate([feeds, offs[1:]]), kind="stable"), np.diff(count) + 1)
