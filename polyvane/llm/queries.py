@@ -27,6 +27,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.warc import read_warc, resolve, write_warc
+    from polyvane.llm.work import Work
+
+    work = Work(spark, "archive")
+    index = write_warc(_read(spark, sf_dir, "pages"), work.path)
+    records = work.table(read_warc(index, payload=False).drop("payload"), "records")
+    return resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyvane.llm.minhash import near_duplicates
 
@@ -122,6 +132,13 @@ SELECT doc_id, size, source_size, target,
        (rounds * size + greatest(0, least(z, CASE WHEN rounds < 2 THEN words - rounds * cell ELSE 0 END) - (z - size)))::BIGINT AS taken FROM f
 """
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM g
+"""
+
 OP5_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
@@ -165,4 +182,4 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
