@@ -65,6 +65,23 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.length("formatted").cast("long").alias("formatted_chars"), "round_trip")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.quality import fit_quality, fold, score_quality
+
+    docs = _read(spark, sf_dir, "documents")
+    scores = score_quality(docs, fit_quality(docs, _read(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.quality import fold
+    from polyvane.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    scores = score_toxicity(docs, fit_toxicity(docs, _read(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyvane.llm.exact import exact_flags
 

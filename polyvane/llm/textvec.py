@@ -120,8 +120,8 @@ class Words:
     """Word hashes of the texts of one chunk: ``h`` by word, ``first`` the n + 1 word offsets by text."""
 
     def __init__(self, column: pa.Array, table: np.ndarray):
-        self.buf, self.offs = text_bytes(column)
-        self.buf = lower(self.buf)
+        self.raw, self.offs = text_bytes(column)
+        self.buf = lower(self.raw)
         self.starts, self.ends = spans(table[self.buf], self.offs)
         self.h = span_hash(self.buf, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.offs)
