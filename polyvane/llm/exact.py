@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyvane.llm.work import Work
+
 #: Salt groups a digest is spread over before its winners meet.
 SALTS = 16
 
@@ -35,7 +37,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     named = whole.groupBy("digest", F.xxhash64("body").alias("tag")).agg(
         F.max("id").alias("keep_id"), F.max("n").alias("group_size"), F.count("*").alias("texts"))
     clash = F.raise_error(F.lit("two different texts share digest and tag"))
-    return named.select("digest", "tag", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(clash.cast("long")).alias("group_size"))
+    named = named.select("digest", "tag", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(clash.cast("long")).alias("group_size"))
+    # as a table it meets the rows by two plain exchanges, so that AQE can split a hot group's rows in the join
+    return Work(docs.sparkSession, "exact").table(named, "groups")
 
 
 def exact_flags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS,

@@ -37,6 +37,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.suffix import remove_repeats
+
+    out = remove_repeats(_read(spark, sf_dir, "documents"), match=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+                      F.coalesce(F.sha2("kept", 256), F.lower(F.hex("sha256"))).alias("kept_sha256"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyvane.llm.minhash import near_duplicates
 
