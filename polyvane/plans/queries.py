@@ -2,10 +2,48 @@
 
 from __future__ import annotations
 
+from polyvane.functions import cells as C
+from polyvane.operators.counts import add_counts
+from polyvane.operators.nulls import add_catalogues, add_nulls
+from polyvane.operators.polyphony import add_notes, add_slices
+from polyvane.plans.dialect import Plan
+
+TABLES = ("events", "conversations", "labels")
+
+
+def build() -> Plan:
+    plan = Plan()
+    add_notes(plan)
+    add_slices(plan)
+    add_counts(plan)
+    add_catalogues(plan)
+    add_nulls(plan)
+    return plan
+
+
+QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic": "SELECT * FROM {tonic}", "slices": "SELECT * FROM {slices}", "pair_steps": "SELECT * FROM {pair_steps}",
+           "phrases": "SELECT * FROM {phrases}",
+           "catalogue_pitch": "SELECT voice, m, n, round(share, 9) AS share FROM {pitch_cat}", "catalogue_steps": "SELECT voice, d, n, round(share, 9) AS share FROM {dp_cat}",
+           **{f"real_{f.lower()}": f"SELECT * FROM {{real_{f.lower()}}}" for f in C.FIELDS},
+           **{f"null_{f.lower()}": f"SELECT cell, round(n, 6) AS n FROM {{null_{f.lower()}}}" for f in C.FIELDS}}
+
+
+def plan() -> Plan:
+    p = build()
+    return p.add(**{f"query_{k}": v for k, v in QUERIES.items()})
+
 
 def queries() -> dict:
-    return {}
+    def make(name):
+        def run(spark, sf_dir):
+            tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+            return plan().frame(f"query_{name}", tables, spark)
+
+        return run
+
+    return {k: make(k) for k in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p = plan()
+    return {k: p.duck(f"query_{k}") for k in QUERIES}
