@@ -53,6 +53,9 @@ def expand(sql: str, duck: bool) -> str:
 
 
 class Plan:
+    #: Relations that several others read; kept (memory, then disk) instead of computed again by each of them.
+    KEEP = ("slices", "beats", "phrases", "moves", "held", "numbered", "pairs", "residuals", "cells_real", "cells_null", "notes", "tonic", "testable", "k_draws")
+
     def __init__(self):
         self.nodes: dict[str, str] = {}
 
@@ -71,6 +74,8 @@ class Plan:
         if name not in made:
             sql = expand(self.nodes[name], False)
             made[name] = spark.sql(sql, **{x: self.frame(x, tables, spark, made) for x in self.inputs(sql)})
+            if name.removeprefix("x_") in self.KEEP:
+                made[name].persist()
         return made[name]
 
     def duck(self, name: str) -> str:

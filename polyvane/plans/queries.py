@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from polyvane.functions import cells as C
+from polyvane.operators.baselines import add_baselines
 from polyvane.operators.counts import add_counts
+from polyvane.operators.evaluate import add_evaluation
+from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_rules
 from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.polyphony import add_notes, add_slices
+from polyvane.operators.transform import add_desync
 from polyvane.plans.dialect import Plan
 
 TABLES = ("events", "conversations", "labels")
@@ -18,6 +22,18 @@ def build() -> Plan:
     add_counts(plan)
     add_catalogues(plan)
     add_nulls(plan)
+    add_cells(plan)
+    add_discoveries(plan)
+    add_desync(plan)
+    add_slices(plan, "x_", "rotated")
+    add_counts(plan, "x_", rest=False)
+    add_nulls(plan, "x_", rest=False)
+    add_cells(plan, "x_")
+    add_discoveries(plan, "x_", "x_residuals", soft_z=None)
+    add_calibration(plan)
+    add_rules(plan)
+    add_baselines(plan)
+    add_evaluation(plan)
     return plan
 
 
@@ -25,7 +41,16 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "phrases": "SELECT * FROM {phrases}",
            "catalogue_pitch": "SELECT voice, m, n, round(share, 9) AS share FROM {pitch_cat}", "catalogue_steps": "SELECT voice, d, n, round(share, 9) AS share FROM {dp_cat}",
            **{f"real_{f.lower()}": f"SELECT * FROM {{real_{f.lower()}}}" for f in C.FIELDS},
-           **{f"null_{f.lower()}": f"SELECT cell, round(n, 6) AS n FROM {{null_{f.lower()}}}" for f in C.FIELDS}}
+           **{f"null_{f.lower()}": f"SELECT cell, round(n, 6) AS n FROM {{null_{f.lower()}}}" for f in C.FIELDS},
+           "residuals": "SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {residuals}",
+           "discover_hard": "SELECT * FROM {discover_hard}", "discover_full": "SELECT * FROM {discover_full}", "fixed_rules": "SELECT field, cell, kind, round(rho, 6) AS rho FROM {fixed_rules}",
+           "rotated": "SELECT * FROM {rotated}", "rotated_metric": "SELECT * FROM {rotated_metric}", "rotated_phrase": "SELECT * FROM {rotated_phrase}", "permuted": "SELECT * FROM {permuted}", "recombined": "SELECT * FROM {recombined}",
+           "calibration": "SELECT z_cut, q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT soft_z, eligible, adds, round(frac, 6) AS frac FROM {soft_calibration}",
+           "attribution": "SELECT field, cell, polarity, type, round(z_real, 6) AS z_real, round(z_desync, 6) AS z_desync FROM {attribution}", "admission": "SELECT * FROM {admission}", "prohibitions": "SELECT * FROM {prohibitions}",
+           "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
+           "atom_auc": "SELECT atom, n_pos, n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
+           "enrichment": "SELECT polarity, n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
+           "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT * FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}"}
 
 
 def plan() -> Plan:
