@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polyvane.plans.scratch import write
+
 #: Macro -> (Spark, DuckDB); {0}, {1} are its arguments.
 MACROS = {
     "HASH32": ("cast(conv(substr(md5({0}), 1, 8), 16, 10) AS bigint)", "('0x' || substr(md5({0}), 1, 8))::BIGINT"),
@@ -18,7 +20,7 @@ MACROS = {
     "BIT": ("bit_get({0}, {1})", "(({0} >> ({1})::INT) & 1)"),
     "DOUBLE": ("cast({0} AS double)", "({0})::DOUBLE"),
     "ANY": ("bool_or({0})", "bool_or({0})"),
-    "SPLIT": ("split({0}, {1})", "string_split_regex({0}, {1})"),
+    "LISTED": ("listagg({0}, ',') WITHIN GROUP (ORDER BY {1})", "string_agg({0}, ',' ORDER BY {1})"),
     "BITS": ("(SELECT {0}, posexplode(split({1}, '[|]')) AS (pos, bit) FROM {2})", "(SELECT {0}, unnest(string_split({1}, '|')) AS bit, generate_subscripts(string_split({1}, '|'), 1) - 1 AS pos FROM {2})"),
 }
 
@@ -49,12 +51,16 @@ def expand(sql: str, duck: bool) -> str:
         for k, a in enumerate(args):
             form = form.replace(f"{{{k}}}", a)
         sql = sql[:m.start()] + form + sql[end:]
+    if not duck:  # fractions are doubles in both engines, not decimals
+        parts = sql.split("'")
+        sql = "'".join(x if k % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", x) for k, x in enumerate(parts))
     return sql
 
 
 class Plan:
-    #: Relations that several others read; kept (memory, then disk) instead of computed again by each of them.
-    KEEP = ("slices", "beats", "phrases", "moves", "held", "numbered", "pairs", "residuals", "cells_real", "cells_null", "notes", "tonic", "testable", "k_draws")
+    #: Relations that several others read: written once instead of computed again by each. That also keeps plans small.
+    KEEP = ("notes", "raw_slices", "steps", "beats", "phrases", "moves", "held", "numbered", "residuals", "cells_real", "cells_null", "pitch_cat", "dp_cat",
+            "discover_full", "discover_hard", "hits", "testable", "calibration_hard", "bits")
 
     def __init__(self):
         self.nodes: dict[str, str] = {}
@@ -75,7 +81,7 @@ class Plan:
             sql = expand(self.nodes[name], False)
             made[name] = spark.sql(sql, **{x: self.frame(x, tables, spark, made) for x in self.inputs(sql)})
             if name.removeprefix("x_") in self.KEEP:
-                made[name].persist()
+                made[name] = write(spark, made[name], name)
         return made[name]
 
     def duck(self, name: str) -> str:

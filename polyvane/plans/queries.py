@@ -9,6 +9,7 @@ from polyvane.operators.evaluate import add_evaluation
 from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_rules
 from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.polyphony import add_notes, add_slices
+from polyvane.operators.stats import add_stats
 from polyvane.operators.transform import add_desync
 from polyvane.plans.dialect import Plan
 
@@ -32,8 +33,10 @@ def build() -> Plan:
     add_discoveries(plan, "x_", "x_residuals", soft_z=None)
     add_calibration(plan)
     add_rules(plan)
+    add_cells(plan, "v_", ("V",))
     add_baselines(plan)
     add_evaluation(plan)
+    add_stats(plan)
     return plan
 
 
@@ -50,7 +53,13 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
            "atom_auc": "SELECT atom, n_pos, n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
            "enrichment": "SELECT polarity, n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
-           "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT * FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}"}
+           "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT * FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}",
+           "flagship": "SELECT cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {v_residuals} ORDER BY z, cell LIMIT 20",
+           "melodic_deltas": "SELECT * FROM {deltas}", "figures": "SELECT * FROM {figures}", "exchanges": "SELECT * FROM {exchanges}", "motion_counts": "SELECT * FROM {motion_counts}", "imitation": "SELECT piece, va, vb, lag, round(r, 4) AS r FROM {imitation}",
+           "piece_stats": "SELECT piece, tonic, mode, lowest, highest, round(mean_pitch, 6) AS mean_pitch, round(sounding, 6) AS sounding, round(sync, 6) AS sync FROM {piece_stats}", "geometry_fire": "SELECT * FROM {geometry}",
+           "markov_nll": "SELECT n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
+           "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT n, round(kappa, 6) AS kappa FROM {kappa}",
+           "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}"}
 
 
 def plan() -> Plan:
@@ -69,6 +78,10 @@ def queries() -> dict:
     return {k: make(k) for k in QUERIES}
 
 
+def flagship(spark, sf_dir: str):
+    return queries()["flagship"](spark, sf_dir)
+
+
 def oracle_sql() -> dict[str, str]:
     p = plan()
     return {k: p.duck(f"query_{k}") for k in QUERIES}
