@@ -4,11 +4,10 @@ A document's set is its distinct k-word shingles. One hash per shingle fills 128
 a bin drawn by its own sequence of random picks until a filled one comes up (optimal densification). 32 bands of 4 bins
 give buckets: two sets of similarity 0.8 miss each other in all bands with probability 0.59 ** 32 = 5e-8.
 
-Equal sets are one class from the start. In a bucket every class is paired with the smallest one only (a star), so pairs
+Equal sets are one class from the start. In a bucket every class is paired with its most central one only (a star), so pairs
 are at most bands times classes. Each pair is confirmed on the full sets. A bucket whose members don't all end in one component
-goes on: in round t its 4 ** t smallest members that weren't yet stars are paired with all members of other components,
-until no bucket is left with an untried pair across components. So no link between two texts of one bucket is lost,
-and no bucket's pairs are all listed where its members are linked.
+may still hold links that no star met: its members are compared across components in blocks, and what joins components is
+confirmed in turn. So no link between two texts of one bucket is lost, and no bucket's pairs are ever listed.
 
 Defined cases: a text with fewer words than k has its whole sequence as one shingle; null, empty or word-less texts have no
 shingles and no links; rows that share an id are one node; a null id is linked with nothing and kept; an empty table gives
@@ -19,13 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvane.llm.textvec import NOT_SPACE, U, Words, by_chunk, lists, mix, odd, text_bytes
 from polyvane.llm.work import Work, components
 
 BINS, BANDS, PICKS = 128, 32, 1024
+#: Members of a bucket in one block.
+BLOCK = 1024
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +112,76 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     return both.mapInArrow(check, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")).where("linked").select("a", "b")
 
 
+def _across(work: Work, members: DataFrame, label: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links between members of one bucket that the stars left in different components.
+
+    A bucket's members are dealt to blocks of BLOCK, and each pair of blocks is compared in one task, on 32 bits of each shingle hash, so that
+    no link is missed and nothing but links comes out: of those only the ones that join components, at most one a member. They
+    are then confirmed on the full sets like all others.
+    """
+    named = members.join(label, members.rep == label.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y")
+    named = work.table(named.join(mixed.select("bucket", "c"), "bucket"), "mixed")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = named.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "component")
+
+    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        value, first = _sets(batch.column(1), k)
+        return pa.RecordBatch.from_arrays([batch.column(0), lists((value >> U(32)).astype(np.uint32).view(np.int32), np.diff(first))], ["rep", "tokens"])
+
+    sets = texts.join(named.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(by_chunk("text", tokens), "rep long, tokens array<int>")
+    rows = rows.join(work.table(sets, "tokens"), "rep").select("bucket", "i", "j", "rep", "n", "component", "tokens")
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = np.stack([held[c].to_numpy() for c in ("bucket", "i", "j")])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for a, b in zip(np.concatenate([[0], cut[:-1]]), cut, strict=True) if len(cut) else ():
+                yield _joins(held.slice(int(a), int(b - a)), threshold)
+            held = held.slice(int(cut[-1])) if len(cut) else held
+        if held is not None and held.num_rows:
+            yield _joins(held, threshold)
+
+    found = work.table(dealt.mapInArrow(compare, "a long, b long").distinct(), "found")
+    return work.table(confirm(found, texts, k, threshold), "across")
+
+
+def _joins(rows: pa.Table, threshold: int) -> pa.RecordBatch:
+    """Links of one pair of blocks that join components: bit sets over the tokens that two members share, compared row by row."""
+    rep, n, part = (rows[c].to_numpy() for c in ("rep", "n", "component"))
+    column = rows["tokens"].combine_chunks()
+    value, m = column.flatten().to_numpy(), len(rep)
+    owner = np.repeat(np.arange(m), np.diff(column.offsets.to_numpy()))
+    _, token, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[token]
+    width = -(-int(shared.sum()) // 64) or 1
+    bits = np.zeros((m, width), np.uint64)
+    token, owner = number[token[keep]], owner[keep]
+    np.bitwise_or.at(bits.reshape(-1), owner * width + (token >> 6), U(1) << (token & 63).astype(np.uint64))
+    _, part = np.unique(part, return_inverse=True)
+    largest = np.bincount(part).argmax()
+    a, b = [], []
+    for x in np.flatnonzero(part != largest).tolist():
+        y = np.flatnonzero((part != part[x]) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
+        if len(y):
+            common = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+            for hit in y[100 * common >= threshold * (n[y] + n[x] - common)].tolist():
+                if part[hit] != part[x]:
+                    a.append(min(rep[x], rep[hit]))
+                    b.append(max(rep[x], rep[hit]))
+                    old, new = part[hit], part[x]
+                    if old == largest:
+                        old, new = new, old
+                    part[part == old] = new
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id)."""
     work = Work(docs.sparkSession, "near")
@@ -123,46 +194,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     member = lead.select("rep", "n", F.explode("bands").alias("bucket"))
     bucket = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("c")).where("hub <> last")
     bucket = work.table(bucket, "buckets")
-    large = work.table(member.join(bucket.where("c > 2").select("bucket", "hub"), "bucket").select("bucket", "hub", "rep", "n"), "stars")
+    large = member.join(bucket.where("c > 2").select("bucket", "c"), "bucket")
+    large = work.table(large, "large")
     # equal member lists recur over the bands: one of them is enough
-    same = large.groupBy("bucket").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("m"), F.count("*").alias("c"))
+    same = large.groupBy("bucket").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("m"), F.max("c").alias("c"))
     large = large.join(same.groupBy("m", "c").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+    # a star's centre is the member that meets most others over all bands: in a family of copies, what they were copied from
+    central = large.groupBy("rep").agg(F.sum("c").alias("score"))
+    scored = work.table(large.join(central, "rep"), "stars")
+    hubs = scored.groupBy("bucket").agg((-F.max(F.struct("score", -F.col("rep")))["col2"]).alias("hub"))
+    stars = scored.join(hubs, "bucket").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
     sizes = classes.select("rep", "n")
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes allow the similarity."""
-        for x in "ab":
-            pairs = pairs.join(sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")), x)
-        return pairs.where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b").distinct()
-
-    stars = large.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    pairs = work.table(fits(bucket.where("c = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).unionByName(stars).distinct()), "pairs0")
-    texts = work.table(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select(F.col("rep").alias("id"))).distinct(), "id", "left_semi"), "texts")
-    links = work.table(confirm(pairs, texts, k, threshold), "links0")
-    label = components(work, links.toDF('u', 'v'), "cc0_")
-    rank = Window.partitionBy("bucket").orderBy("rep")
-    left, stars_done, t = large, 1, 0
-    while True:
-        t += 1
-        named = left.join(label, left.rep == label.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        # members that have been stars are done with; a bucket is left while one of the others may still link across
-        named = work.table(named.join(mixed.select("bucket"), "bucket", "left_semi"), f"mixed{t}")
-        if named.isEmpty():
-            break
-        ranked = named.withColumn("r", F.row_number().over(rank))
-        hubs = ranked.where(f"r > {stars_done} and r <= {stars_done + 4 ** t}").select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"), F.col("r").alias("ra"))
-        tried = hubs.join(ranked.where(f"r > {stars_done}").select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"), F.col("r").alias("rb")), "bucket")
-        tried = tried.where(f"rb > ra and ca <> cb and 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b").distinct()
-        found = work.table(confirm(tried, texts, k, threshold), f"links{t}")
-        stars_done += 4 ** t
-        more = not found.isEmpty()
-        if more:
-            links = links.unionByName(found)
-            label = components(work, links.toDF('u', 'v'), f"cc{t}_")
-        left = named.select("bucket", "rep", "n")
-        if ranked.where(f"r > {stars_done + 1}").isEmpty():
-            break
+    pairs = bucket.where("c = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).unionByName(stars).distinct()
+    for x in "ab":
+        pairs = pairs.join(sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")), x)
+    pairs = work.table(pairs.where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b"), "pairs")
+    texts = work.table(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(scored.select(F.col("rep").alias("id"))).distinct(), "id", "left_semi"), "texts")
+    links = work.table(confirm(pairs, texts, k, threshold), "links")
+    label = components(work, links.toDF("u", "v"), "first")
+    links = links.unionByName(_across(work, scored.select("bucket", "rep", "n"), label, texts, k, threshold))
+    label = components(work, links.toDF("u", "v"), "all")
     whole = classes.join(label, classes.rep == label.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("bands").join(whole, ["n", "s1", "s2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
