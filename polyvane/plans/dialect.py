@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyvane.plans.scratch import write
+from polyvane.plans.scratch import shared, write
 
 #: Macro -> (Spark, DuckDB); {0}, {1} are its arguments.
 MACROS = {
@@ -79,11 +79,27 @@ class Plan:
             return tables[name]
         if name not in made:
             sql = expand(self.nodes[name], False)
-            made[name] = spark.sql(sql, **{x: self.frame(x, tables, spark, made) for x in self.inputs(sql)})
+            build = lambda: spark.sql(sql, **{x: self.frame(x, tables, spark, made) for x in self.inputs(sql)})
             if name.removeprefix("x_") in self.KEEP:
-                made[name] = write(spark, made[name], name)
+                key = (name, self.text(name), *(f.semanticHash() for _, f in sorted(tables.items())))
+                made[name] = shared(spark, key, lambda: write(spark, build(), name))
+            else:
+                made[name] = build()
         return made[name]
 
+    def text(self, name: str) -> str:
+        """The relation's SQL with that of all it reads."""
+        seen: dict[str, str] = {}
+
+        def visit(x: str) -> None:
+            if x in self.nodes and x not in seen:
+                seen[x] = self.nodes[x]
+                for y in self.inputs(self.nodes[x]):
+                    visit(y)
+
+        visit(name)
+        return "\n".join(f"{k}: {v}" for k, v in sorted(seen.items()))
+
     def duck(self, name: str) -> str:
         order: list[str] = []
 

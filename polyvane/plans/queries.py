@@ -48,7 +48,7 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "residuals": "SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {residuals}",
            "discover_hard": "SELECT * FROM {discover_hard}", "discover_full": "SELECT * FROM {discover_full}", "fixed_rules": "SELECT field, cell, kind, round(rho, 6) AS rho FROM {fixed_rules}",
            "rotated": "SELECT * FROM {rotated}", "rotated_metric": "SELECT * FROM {rotated_metric}", "rotated_phrase": "SELECT * FROM {rotated_phrase}", "permuted": "SELECT * FROM {permuted}", "recombined": "SELECT * FROM {recombined}",
-           "calibration": "SELECT z_cut, q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT soft_z, eligible, adds, round(frac, 6) AS frac FROM {soft_calibration}",
+           "calibration": "SELECT @DOUBLE(z_cut) AS z_cut, @DOUBLE(q) AS q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT @DOUBLE(soft_z) AS soft_z, eligible, adds, round(frac, 6) AS frac FROM {soft_calibration}",
            "attribution": "SELECT field, cell, polarity, type, round(z_real, 6) AS z_real, round(z_desync, 6) AS z_desync FROM {attribution}", "admission": "SELECT * FROM {admission}", "prohibitions": "SELECT * FROM {prohibitions}",
            "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
            "atom_auc": "SELECT atom, n_pos, n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",

@@ -9,6 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_made: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """The table of a relation over the same inputs in this application; written by its first reader."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def forget() -> None:
+    """Have shared relations computed anew, as benchmarks must."""
+    _made.clear()
 
 
 def root(spark: SparkSession) -> str:
