@@ -25,7 +25,7 @@ def slices(spark):
 
 
 def value(sql):
-    return duckdb.sql(f"SELECT {expand(sql, True)}").fetchone()[0]
+    return duckdb.sql(f"SELECT {expand(sql, True)}").fetchall()[0][0]
 
 
 def test_cells():
