@@ -67,7 +67,8 @@ def _runs_of(buf: np.ndarray, offs: np.ndarray, match: int) -> tuple[np.ndarray,
     stop[:-1] = cut[1:] | ~valid[1:]
     last = np.flatnonzero(stop & valid)
     at = (low[first] & U(0xFFFFFF)).astype(np.int64)
-    return first, last - first + 1, at - first, h[at]
+    # anchors are minima, so their hashes crowd at the low end; mixed once more they are spread evenly over keys and filter bits
+    return first, last - first + 1, at - first, mix(h[at])
 
 
 def runs(buf: np.ndarray, offs: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
