@@ -87,9 +87,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of pairs(a, b) those with 100 * |A and B| >= threshold * |A or B| on full sets; a hot ``a`` is split by AQE."""
+    """Of pairs(a, b) those with 100 * |A and B| >= threshold * |A or B| on full sets; a hot ``a`` is split by AQE.
+
+    Pairs and texts both grow with the corpus: these joins are merge joins at every size, never broadcasts.
+    """
     left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches):
         for batch in batches:
@@ -151,26 +154,27 @@ def _across(work: Work, members: DataFrame, label: DataFrame, texts: DataFrame,
 
 
 def _joins(rows: pa.Table, threshold: int) -> pa.RecordBatch:
-    """Links of one pair of blocks that join components: bit sets over the tokens that two members share, compared row by row."""
+    """Links of one pair of blocks that join components: a member's common tokens with all others, by an index from tokens to members."""
     rep, n, part = (rows[c].to_numpy() for c in ("rep", "n", "component"))
     column = rows["tokens"].combine_chunks()
     value, m = column.flatten().to_numpy(), len(rep)
     owner = np.repeat(np.arange(m), np.diff(column.offsets.to_numpy()))
     _, token, count = np.unique(value, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[token]
-    width = -(-int(shared.sum()) // 64) or 1
-    bits = np.zeros((m, width), np.uint64)
-    token, owner = number[token[keep]], owner[keep]
-    np.bitwise_or.at(bits.reshape(-1), owner * width + (token >> 6), U(1) << (token & 63).astype(np.uint64))
+    keep = count[token] > 1
+    token, owner = token[keep], owner[keep]
+    order = np.argsort(token, kind="stable")
+    holders, token_at = owner[order], np.searchsorted(token[order], np.arange(len(count) + 1))
+    own_at = np.searchsorted(owner, np.arange(m + 1))
     _, part = np.unique(part, return_inverse=True)
     largest = np.bincount(part).argmax()
     a, b = [], []
     for x in np.flatnonzero(part != largest).tolist():
         y = np.flatnonzero((part != part[x]) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
         if len(y):
-            common = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+            mine = token[own_at[x]:own_at[x + 1]]
+            size = token_at[mine + 1] - token_at[mine]
+            spread = np.repeat(token_at[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            common = np.bincount(holders[spread], minlength=m)[y]
             for hit in y[100 * common >= threshold * (n[y] + n[x] - common)].tolist():
                 if part[hit] != part[x]:
                     a.append(min(rep[x], rep[hit]))
@@ -209,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     for x in "ab":
         pairs = pairs.join(sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")), x)
     pairs = work.table(pairs.where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b"), "pairs")
-    texts = work.table(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(scored.select(F.col("rep").alias("id"))).distinct(), "id", "left_semi"), "texts")
+    texts = work.table(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(scored.select(F.col("rep").alias("id"))).distinct().hint("merge"), "id", "left_semi"), "texts")
     links = work.table(confirm(pairs, texts, k, threshold), "links")
     label = components(work, links.toDF("u", "v"), "first")
     links = links.unionByName(_across(work, scored.select("bucket", "rep", "n"), label, texts, k, threshold))
