@@ -25,8 +25,8 @@ from polyvane.llm.textvec import NOT_SPACE, U, Words, by_chunk, lists, mix, odd,
 from polyvane.llm.work import Work, components
 
 BINS, BANDS, PICKS = 128, 32, 1024
-#: Members of a bucket in one block.
-BLOCK = 1024
+#: Members of a bucket in one block; words of 64 bits that a task's bit sets may take.
+BLOCK, BITS = 1024, 2 << 20
 
 
 def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,8 @@ def _across(work: Work, members: DataFrame, label: DataFrame, texts: DataFrame,
 
 
 def _joins(rows: pa.Table, threshold: int) -> pa.RecordBatch:
-    """Links of one pair of blocks that join components: a member's common tokens with all others, by an index from tokens to members."""
+    """Links of one pair of blocks that join components: a member's common tokens with all others, by bit sets over the shared tokens or, where those
+    would be large, by an index from tokens to members."""
     rep, n, part = (rows[c].to_numpy() for c in ("rep", "n", "component"))
     column = rows["tokens"].combine_chunks()
     value, m = column.flatten().to_numpy(), len(rep)
@@ -165,16 +166,24 @@ def _joins(rows: pa.Table, threshold: int) -> pa.RecordBatch:
     order = np.argsort(token, kind="stable")
     holders, token_at = owner[order], np.searchsorted(token[order], np.arange(len(count) + 1))
     own_at = np.searchsorted(owner, np.arange(m + 1))
+    number = np.cumsum(count > 1) - 1
+    width = int(number[-1]) // 64 + 1 if len(number) else 1
+    bits = np.zeros((m, width), np.uint64) if m * width <= BITS else None  # else the index, slower and never larger than the rows
+    if bits is not None:
+        np.bitwise_or.at(bits.reshape(-1), owner * width + (number[token] >> 6), U(1) << (number[token] & 63).astype(np.uint64))
     _, part = np.unique(part, return_inverse=True)
     largest = np.bincount(part).argmax()
     a, b = [], []
     for x in np.flatnonzero(part != largest).tolist():
         y = np.flatnonzero((part != part[x]) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
         if len(y):
-            mine = token[own_at[x]:own_at[x + 1]]
-            size = token_at[mine + 1] - token_at[mine]
-            spread = np.repeat(token_at[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            common = np.bincount(holders[spread], minlength=m)[y]
+            if bits is not None:
+                common = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+            else:
+                mine = token[own_at[x]:own_at[x + 1]]
+                size = token_at[mine + 1] - token_at[mine]
+                spread = np.repeat(token_at[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                common = np.bincount(holders[spread], minlength=m)[y]
             for hit in y[100 * common >= threshold * (n[y] + n[x] - common)].tolist():
                 if part[hit] != part[x]:
                     a.append(min(rep[x], rep[hit]))
