@@ -60,7 +60,7 @@ def add_slices(plan: Plan, p: str = "", source: str = "raw_slices") -> None:
     deg = lambda m: C.pmod(f"{m} - tonic")
     lag = ", ".join(f"lag({m}) OVER w AS {m}0" for m in M)
     plan.add(**{
-        f"{p}slices": f"SELECT *, {', '.join(f'{deg(m)} AS d{m[1]}' for m in M)}, i % 8 * 0.5 AS pos, {C.metric('(i % 8 * 0.5)')} AS metric FROM {{{source}}}",
+        f"{p}slices": f"SELECT *, {', '.join(f'{deg(m)} AS d{m[1]}' for m in M)}, @DOUBLE(i % 8) * 0.5 AS pos, {C.metric('(i % 8 * 0.5)')} AS metric FROM {{{source}}}",
         f"{p}steps": f"SELECT *, {lag}, {', '.join(f'lag(d{m[1]}) OVER w AS d{m[1]}0' for m in M)} FROM {{{p}slices}} WINDOW w AS (PARTITION BY piece ORDER BY i)",
         f"{p}pairs": f"""SELECT piece, i, va, vb, role, {pick('va')} AS a, {pick('vb')} AS b, {pick('va', '0')} AS a0, {pick('vb', '0')} AS b0
             FROM {{{p}steps}} CROSS JOIN {PAIRS} WHERE {' AND '.join(f'{m} IS NOT NULL AND {m}0 IS NOT NULL' for m in M)}""",

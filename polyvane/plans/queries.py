@@ -48,12 +48,12 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "residuals": "SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {residuals}",
            "discover_hard": "SELECT * FROM {discover_hard}", "discover_full": "SELECT * FROM {discover_full}", "fixed_rules": "SELECT field, cell, kind, round(rho, 6) AS rho FROM {fixed_rules}",
            "rotated": "SELECT * FROM {rotated}", "rotated_metric": "SELECT * FROM {rotated_metric}", "rotated_phrase": "SELECT * FROM {rotated_phrase}", "permuted": "SELECT * FROM {permuted}", "recombined": "SELECT * FROM {recombined}",
-           "calibration": "SELECT @DOUBLE(z_cut) AS z_cut, @DOUBLE(q) AS q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT @DOUBLE(soft_z) AS soft_z, eligible, adds, round(frac, 6) AS frac FROM {soft_calibration}",
+           "calibration": "SELECT @DOUBLE(z_cut) AS z_cut, @DOUBLE(q) AS q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT @DOUBLE(soft_z) AS soft_z, cast(eligible AS bigint) AS eligible, cast(adds AS bigint) AS adds, round(frac, 6) AS frac FROM {soft_calibration}",
            "attribution": "SELECT field, cell, polarity, type, round(z_real, 6) AS z_real, round(z_desync, 6) AS z_desync FROM {attribution}", "admission": "SELECT * FROM {admission}", "prohibitions": "SELECT * FROM {prohibitions}",
            "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
-           "atom_auc": "SELECT atom, n_pos, n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
-           "enrichment": "SELECT polarity, n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
-           "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT * FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}",
+           "atom_auc": "SELECT atom, cast(n_pos AS bigint) AS n_pos, cast(n_neg AS bigint) AS n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
+           "enrichment": "SELECT polarity, cast(n_found AS bigint) AS n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
+           "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT n, cast(uncovered AS bigint) AS uncovered FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}",
            "flagship": "SELECT cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {v_residuals} ORDER BY z, cell LIMIT 20",
            "melodic_deltas": "SELECT * FROM {deltas}", "figures": "SELECT * FROM {figures}", "exchanges": "SELECT * FROM {exchanges}", "motion_counts": "SELECT * FROM {motion_counts}", "imitation": "SELECT piece, va, vb, lag, round(r, 4) AS r FROM {imitation}",
            "piece_stats": "SELECT piece, tonic, mode, lowest, highest, round(mean_pitch, 6) AS mean_pitch, round(sounding, 6) AS sounding, round(sync, 6) AS sync FROM {piece_stats}", "geometry_fire": "SELECT * FROM {geometry}",
