@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyvane.llm.textvec import U, by_chunk, chunks, lists, mix, odd, span_hash, text_bytes
+from polyvane.llm.textvec import U, by_chunk, chunks, gather, lists, mix, odd, span_hash, text_bytes
 from polyvane.llm.work import Work
 
 MATCH, GRAM = 200, 32
 #: Bytes of runs sorted in memory at once; bytes of a long text winnowed at once; bits of a broadcast filter.
-BLOCK, SEGMENT, FILTER_BITS = 8 << 20, 8 << 20, 27
+BLOCK, SEGMENT, FILTER_BITS = 8 << 20, 2 << 20, 27
 
 
 def _runs_of(buf: np.ndarray, offs: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
@@ -137,7 +137,7 @@ class Shard:
         """Order of the suffixes at the anchors, and common prefixes with the one before (0 across anchors)."""
         m, width = len(self.start), -(-self.match // 8) * 8
         context = np.memmap(tempfile.TemporaryFile(dir=self.scratch.name), np.uint8, "w+", shape=(m, width)) if self.external else np.zeros((m, width), np.uint8)
-        step = max(1, BLOCK // width)
+        step = max(1, BLOCK // (8 * width))  # positions are eight bytes each
         for a in range(0, m, step):
             rows = np.arange(a, min(a + step, m))
             at = (self.start + self.off)[rows, None] + np.arange(width)
@@ -263,8 +263,7 @@ def repeated_spans(texts: DataFrame, work: Work, match: int = MATCH) -> DataFram
         new[1:] = (r1[order][1:] != r1[order][:-1]) | (r2[order][1:] != r2[order][:-1])
         lead, n = order[new], np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
         size = (stop - first)[lead]
-        place = np.cumsum(size) - size
-        data = buf[np.repeat(first[lead] - place, size) + np.arange(int(size.sum()))]
+        data = gather(buf, first[lead], stop[lead])
         region = pa.BinaryArray.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
         return pa.RecordBatch.from_arrays([pa.array(a[lead].view(np.int64)), pa.array(off[lead].astype(np.int32)), region, pa.array(r1[lead].view(np.int64)), pa.array(r2[lead].view(np.int64)), pa.array(n),
                                            lists(batch.column(0).take(pa.array(doc[order])), n), lists((first - offs[doc])[order].astype(np.int32), n)], ["a", "off", "region", "r1", "r2", "n", "keys", "starts"])

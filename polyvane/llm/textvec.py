@@ -105,15 +105,37 @@ def spans(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mask & ~prev), np.flatnonzero(mask & ~nxt) + 1
 
 
+def blocks(size: np.ndarray, limit: int = CHUNK >> 1) -> Iterator[slice]:
+    """Slices over items of the given sizes whose sizes sum to at most ``limit``, or of one item."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, side="right")))
+        yield slice(a, b)
+        a = b
+
+
+def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the spans one after the other; temporaries are those of one block."""
+    size = ends - starts
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), buf.dtype)
+    for some in blocks(size):
+        n, at = size[some], int(place[some.start])
+        total = int(n.sum())
+        out[at:at + total] = buf[np.repeat(starts[some] - (place[some] - at), n) + np.arange(total)]
+    return out
+
+
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each non-empty span of bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    first = np.cumsum(lens) - lens
-    pos = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    value = (buf[np.repeat(starts, lens) + pos].astype(np.uint64) + U(1)) * odd(int(lens.max()), seed)[pos]
-    return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each non-empty span of bytes; temporaries are those of one block."""
+    out, size = np.zeros(len(starts), np.uint64), ends - starts
+    for some in blocks(size):
+        lens = size[some]
+        first = np.cumsum(lens) - lens
+        pos = np.arange(int(lens.sum())) - np.repeat(first, lens)
+        value = (buf[np.repeat(starts[some], lens) + pos].astype(np.uint64) + U(1)) * odd(int(lens.max()), seed)[pos]
+        out[some] = np.add.reduceat(value, first) + lens.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    return mix(out)
 
 
 class Words:
