@@ -19,14 +19,14 @@ def add_evaluation(plan: Plan, source: str = "residuals", p: str = "") -> None:
         f"{p}testable": f"SELECT field, cell, nr, n0, rho, z FROM (SELECT *, max({C.one(TESTABLE)}) OVER (PARTITION BY field) AS tested FROM {{{source}}}) r WHERE tested = 0 OR {TESTABLE}",
         f"{p}hits": " UNION ALL ".join(f"SELECT '{a}' AS atom, field, cell, '{polarity}' AS polarity FROM {{{source}}} WHERE field = '{f}' AND ({where})" for a, f, polarity, where in PREDICATES),
         # positives match the atom; negatives match no atom of its field and polarity
-        f"{p}scored": f"""SELECT a.atom, {sign} * t.z AS s, CASE WHEN h.cell IS NULL THEN 0 ELSE 1 END AS pos FROM {{{p}testable}} t JOIN {ATOMS} ON a.field = t.field
+        f"{p}scored": f"""SELECT a.atom, {sign} * round(t.z, 9) AS s, CASE WHEN h.cell IS NULL THEN 0 ELSE 1 END AS pos FROM {{{p}testable}} t JOIN {ATOMS} ON a.field = t.field
             LEFT JOIN {{{p}hits}} h ON h.atom = a.atom AND h.cell = t.cell
             LEFT JOIN (SELECT DISTINCT field, cell, polarity FROM {{{p}hits}}) o ON o.field = t.field AND o.cell = t.cell AND o.polarity = a.polarity
             WHERE h.cell IS NOT NULL OR o.cell IS NULL""".replace("polarity WHEN", "a.polarity WHEN"),
         f"{p}atom_auc": f"""SELECT atom, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN (ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) END AS auc FROM
             (SELECT atom, sum(pos) AS n_pos, sum(1 - pos) AS n_neg, sum(pos * (r + (ties - 1) / 2.0)) AS ranks FROM
              (SELECT atom, pos, rank() OVER (PARTITION BY atom ORDER BY s) AS r, count(*) OVER (PARTITION BY atom, s) AS ties FROM {{{p}scored}}) q GROUP BY atom) g""",
-        f"{p}covered": f"""SELECT a.polarity, t.field, t.cell, {sign.replace('polarity', 'a.polarity')} * t.z AS s, CASE WHEN h.cell IS NULL THEN 0 ELSE 1 END AS hit FROM {{{p}testable}} t JOIN (SELECT DISTINCT field, polarity FROM {ATOMS}) a ON a.field = t.field
+        f"{p}covered": f"""SELECT a.polarity, t.field, t.cell, {sign.replace('polarity', 'a.polarity')} * round(t.z, 9) AS s, CASE WHEN h.cell IS NULL THEN 0 ELSE 1 END AS hit FROM {{{p}testable}} t JOIN (SELECT DISTINCT field, polarity FROM {ATOMS}) a ON a.field = t.field
             LEFT JOIN (SELECT DISTINCT field, cell, polarity FROM {{{p}hits}}) h ON h.field = t.field AND h.cell = t.cell AND h.polarity = a.polarity""",
         # a group of ties that crosses rank k counts by the share of it that fits: no order among equals matters
         f"{p}precision_at_k": f"""SELECT polarity, k, sum(CASE WHEN before >= least(k, total) THEN 0 ELSE hits * least(n, least(k, total) - before) * 1.0 / n END) / max(least(k, total)) AS precision, max(base) AS base FROM

@@ -20,6 +20,7 @@ MACROS = {
     "BIT": ("bit_get({0}, {1})", "(({0} >> ({1})::INT) & 1)"),
     "DOUBLE": ("cast({0} AS double)", "({0})::DOUBLE"),
     "ANY": ("bool_or({0})", "bool_or({0})"),
+    "LATEST": ("last_value({0}) IGNORE NULLS", "last_value({0} IGNORE NULLS)"),
     "LISTED": ("listagg({0}, ',') WITHIN GROUP (ORDER BY {1})", "string_agg({0}, ',' ORDER BY {1})"),
     "BITS": ("(SELECT {0}, posexplode(split({1}, '[|]')) AS (pos, bit) FROM {2})", "(SELECT {0}, unnest(string_split({1}, '|')) AS bit, generate_subscripts(string_split({1}, '|'), 1) - 1 AS pos FROM {2})"),
 }
@@ -60,7 +61,9 @@ def expand(sql: str, duck: bool) -> str:
 class Plan:
     #: Relations that several others read: written once instead of computed again by each. That also keeps plans small.
     KEEP = ("notes", "raw_slices", "steps", "beats", "phrases", "moves", "held", "numbered", "residuals", "cells_real", "cells_null", "pitch_cat", "dp_cat",
-            "discover_full", "discover_hard", "hits", "testable", "calibration_hard", "bits")
+            "discover_full", "discover_hard", "hits", "testable", "calibration_hard", "bits",
+            "uniform_residuals", "independent_residuals", "u_testable", "i_testable", "u_hits", "i_hits", "method_auc", "paired",
+            "ladder_units", "ladder_cells")
 
     def __init__(self):
         self.nodes: dict[str, str] = {}

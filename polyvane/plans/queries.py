@@ -7,7 +7,9 @@ from polyvane.operators.baselines import add_baselines
 from polyvane.operators.counts import add_counts
 from polyvane.operators.evaluate import add_evaluation
 from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_rules
+from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
 from polyvane.operators.nulls import add_catalogues, add_nulls
+from polyvane.operators.paired import PAIRED_QUERIES, add_paired
 from polyvane.operators.polyphony import add_notes, add_slices
 from polyvane.operators.stats import add_stats
 from polyvane.operators.transform import add_desync
@@ -37,6 +39,8 @@ def build() -> Plan:
     add_baselines(plan)
     add_evaluation(plan)
     add_stats(plan)
+    add_paired(plan)
+    add_ladder(plan)
     return plan
 
 
@@ -59,7 +63,8 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "piece_stats": "SELECT piece, tonic, mode, lowest, highest, round(mean_pitch, 6) AS mean_pitch, round(sounding, 6) AS sounding, round(sync, 6) AS sync FROM {piece_stats}", "geometry_fire": "SELECT * FROM {geometry}",
            "markov_nll": "SELECT n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
            "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT n, round(kappa, 6) AS kappa FROM {kappa}",
-           "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}"}
+           "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}",
+           **PAIRED_QUERIES, **LADDER_QUERIES}
 
 
 def plan() -> Plan:

@@ -117,7 +117,7 @@ def test_empty_events(spark):
         assert plan().frame(name, tables, spark).count() == 0
 
 
-@pytest.mark.parametrize("name", ["notes", "tonic", "phrases", "real_v", "real_q", "real_d", "null_m", "null_w", "geometry_fire", "kappa"])
+@pytest.mark.parametrize("name", ["notes", "tonic", "phrases", "real_v", "real_q", "real_d", "null_m", "null_w", "geometry_fire", "kappa", "paired_tests", "spearman", "fragility", "null_ladder"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("events", "conversations", "labels"):
@@ -139,3 +139,42 @@ def test_fitted_nulls():
     assert np.allclose(log_linear(codes, w), w) and np.allclose(productive(codes, w), w)
     w = np.array([20.0, 5, 5, 20, 5, 20, 20, 5])  # parity: no pair of bits depends, so pairs expect all cells alike
     assert np.allclose(log_linear(codes, w), 12.5) and (np.abs(productive(codes, w) - w).max() > 1)
+
+
+def pairs_plan(diffs):
+    p = plan()
+    return p.add(paired="SELECT 'x' AS method, atom, @DOUBLE(d) AS d FROM (VALUES " + ", ".join(f"('{k:02}', {d})" for k, d in enumerate(diffs)) + ") AS v(atom, d)")
+
+
+@pytest.mark.parametrize("diffs", [[0.3, -0.1, 0.2, 0.2, -0.2, 0.0, 0.5, 0.1], [0.1], [0.25, 0.5, 0.75, 1.0, 1.25, 1.5], [-0.5, 0.5], [0.0, 0.0]])
+def test_paired_tests_by_enumeration(diffs):
+    from itertools import product
+
+    sql = pairs_plan(diffs).duck("paired_tests")
+    got = dict(zip(duckdb.sql(sql).columns, duckdb.sql(sql).fetchall()[0], strict=True))
+    d = [x for x in diffs if x]
+    size = sorted(abs(x) for x in d)
+    rank = [sum(2 * k + 2 for k, y in enumerate(size) if y == abs(x)) / size.count(abs(x)) for x in d]
+    plus, total = sum(r for r, x in zip(rank, d) if x > 0), sum(rank)
+    sums = [sum(r for r, take in zip(rank, t) if take) for t in product((0, 1), repeat=len(d))]
+    assert got["p_wilcoxon"] == pytest.approx(min(1, 2 * sum(x <= min(plus, total - plus) + 1e-9 for x in sums) / len(sums)), abs=1e-9)
+    assert got["rank_biserial"] == pytest.approx((2 * plus - total) / total if d else 0)
+    wins = sum(x > 0 for x in d)
+    assert got["p_sign"] == pytest.approx(min(1, 2 * sum(math.comb(len(d), k) for k in range(min(wins, len(d) - wins) + 1)) / 2 ** len(d)))
+    walsh = sorted((a + b) / 2 for k, a in enumerate(diffs) for b in diffs[k:])
+    assert got["hodges_lehmann"] == pytest.approx((walsh[len(walsh) // 2] + walsh[(len(walsh) - 1) // 2]) / 2)
+    assert got["median_diff"] == pytest.approx(sorted(diffs)[len(diffs) // 2]) and got["n"] == len(diffs)
+
+
+def test_fragility():
+    sql = pairs_plan([0.5, 0.2, -0.1, -0.3, 0.1]).duck("fragility")
+    assert duckdb.sql(sql).fetchall()[0][1:] == (1, 1.0)
+
+
+def test_ladder_counts_every_unit(spark, slices):
+    units = sum(None not in a + b for rows in slices.values() for (_, a), (_, b) in zip(rows, rows[1:]))
+    total = Counter()
+    for r in queries()["ladder_counts"](spark, SF).collect():
+        total[r.level, r.field] += r.n
+    for level in ("L1", "L2", "L3", "L3D", "L4"):
+        assert [total[level, f] for f in "VHSU"] == [16 * units * k for k in (6, 3, 1, 1)]
