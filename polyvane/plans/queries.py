@@ -13,6 +13,7 @@ from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.paired import PAIRED_QUERIES, add_paired
 from polyvane.operators.polyphony import add_notes, add_slices
 from polyvane.operators.stats import add_stats
+from polyvane.operators.synthetic import truth_all
 from polyvane.operators.transform import add_desync
 from polyvane.plans.dialect import Plan
 
@@ -82,7 +83,7 @@ def queries() -> dict:
 
         return run
 
-    return {k: make(k) for k in QUERIES}
+    return {k: make(k) for k in QUERIES} | {"synthetic_truth": truth_all}
 
 
 def flagship(spark, sf_dir: str):
