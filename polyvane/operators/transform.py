@@ -6,16 +6,18 @@ All draws are hashes of (scheme, seed, piece, voice): the same on every run, par
 from __future__ import annotations
 
 from polyvane.functions import cells as C
-from polyvane.operators.polyphony import SLOTS, VOICES, pick
+from polyvane.operators.counts import add_counts
+from polyvane.operators.infer import add_residuals
+from polyvane.operators.polyphony import SLOTS, VOICES, add_slices, pick, values
 from polyvane.plans.dialect import Plan
 
 STAY = "piece, i, tonic, mode, xs, xa, xt, xb"
 
 
-def _gather(moved: str) -> str:
+def _gather(moved: str, source: str = "{raw_slices}") -> str:
     """Slices whose pitches come from moved(piece, i, voice, m)."""
     return f"""SELECT b.{STAY.replace(', ', ', b.')}, {', '.join(f"max(CASE WHEN v.voice = '{v}' THEN v.m END) AS m{v.lower()}" for v in C.VOICES)}
-        FROM {{raw_slices}} b LEFT JOIN ({moved}) v ON v.piece = b.piece AND v.i = b.i GROUP BY b.{STAY.replace(', ', ', b.')}"""
+        FROM {source} b LEFT JOIN ({moved}) v ON v.piece = b.piece AND v.i = b.i GROUP BY b.{STAY.replace(', ', ', b.')}"""
 
 
 def draw(name: str, n: str, *keys: str) -> str:
@@ -46,3 +48,20 @@ def add_desync(plan: Plan, seed: int = 0) -> None:
             JOIN {{numbered_pieces}} t ON t.k = (d.k + CASE s.voice WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'T' THEN 2 ELSE 3 END) % d.n"""),
         transposed=f"SELECT {STAY}, {', '.join(f'm{v.lower()} + 5 AS m{v.lower()}' for v in C.VOICES)} FROM {{raw_slices}}".replace("tonic,", "(tonic + 5) % 12 AS tonic,"),
     )
+
+
+def add_circular(plan: Plan, copies: int = 16) -> None:
+    """A null of real counts: those of so many independently rotated copies of the corpus, each copy of a piece a piece of its own."""
+    voiced = f"SELECT r.piece, r.i, v.voice, {pick('v.voice')} AS m FROM {{copied}} r CROSS JOIN {VOICES}"
+    shift = f"CASE voice WHEN 'S' THEN 0 ELSE 1 + {draw('circular', str(SLOTS - 1), 'piece', 'voice')} END"
+    plan.add(copied=f"SELECT piece * {copies} + c.k AS piece, {STAY.removeprefix('piece, ')}, ms, ma, mt, mb FROM {{raw_slices}} CROSS JOIN {values([(k,) for k in range(copies)], 'c(k)')}",
+             shifted=_gather(f"SELECT piece, {C.pmod(f'i - ({shift})', SLOTS)} AS i, voice, m FROM ({voiced}) s", "{copied}"))
+    add_slices(plan, "c_", "shifted")
+    add_counts(plan, "c_", rest=False)
+    pair = lambda f: f"SELECT '{f}' AS field, coalesce(r.cell, c.cell) AS cell, @DOUBLE(coalesce(r.n, 0)) AS nr, @DOUBLE(c.n) AS null_n FROM {{real_{f.lower()}}} r FULL OUTER JOIN {{c_real_{f.lower()}}} c ON c.cell = r.cell"
+    plan.add(circular_joined=" UNION ALL ".join(map(pair, CIRCULAR)))
+    add_residuals(plan, "circular_residuals", "circular_joined")
+
+
+#: Fields that a rotation of whole voices changes and that read nothing but slices.
+CIRCULAR = ("V", "O", "H", "S")

@@ -14,18 +14,23 @@ from polyvane.operators.paired import PAIRED_QUERIES, add_paired
 from polyvane.operators.polyphony import add_notes, add_slices
 from polyvane.operators.stats import add_stats
 from polyvane.operators.synthetic import truth_all
-from polyvane.operators.transform import add_desync
+from polyvane.operators.transform import add_circular, add_desync
 from polyvane.plans.dialect import Plan
 
 TABLES = ("events", "conversations", "labels")
 
 
-def build() -> Plan:
+#: Catalogues other than each voice's own, and the queries that are also registered over them.
+VARIANTS = {"pooled": {"pooled": True}, "swapped": {"swapped": True}}
+VARIED = ("residuals", "discover_hard", "atom_auc")
+
+
+def build(**catalogue: bool) -> Plan:
     plan = Plan()
     add_notes(plan)
     add_slices(plan)
     add_counts(plan)
-    add_catalogues(plan)
+    add_catalogues(plan, **catalogue)
     add_nulls(plan)
     add_cells(plan)
     add_discoveries(plan)
@@ -44,6 +49,7 @@ def build() -> Plan:
     add_paired(plan)
     add_ladder(plan)
     add_families(plan)
+    add_circular(plan)
     return plan
 
 
@@ -57,7 +63,7 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "rotated": "SELECT * FROM {rotated}", "rotated_metric": "SELECT * FROM {rotated_metric}", "rotated_phrase": "SELECT * FROM {rotated_phrase}", "permuted": "SELECT * FROM {permuted}", "recombined": "SELECT * FROM {recombined}",
            "calibration": "SELECT @DOUBLE(z_cut) AS z_cut, @DOUBLE(q) AS q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT @DOUBLE(soft_z) AS soft_z, cast(eligible AS bigint) AS eligible, cast(adds AS bigint) AS adds, round(frac, 6) AS frac FROM {soft_calibration}",
            "attribution": "SELECT field, cell, polarity, type, round(z_real, 6) AS z_real, round(z_desync, 6) AS z_desync FROM {attribution}", "admission": "SELECT * FROM {admission}", "prohibitions": "SELECT * FROM {prohibitions}",
-           "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
+           "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "circular_null": "SELECT field, cell, nr, n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {circular_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
            "atom_auc": "SELECT atom, cast(n_pos AS bigint) AS n_pos, cast(n_neg AS bigint) AS n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
            "enrichment": "SELECT polarity, cast(n_found AS bigint) AS n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
            "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT n, cast(uncovered AS bigint) AS uncovered FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}",
@@ -70,20 +76,25 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            **PAIRED_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES}
 
 
-def plan() -> Plan:
-    p = build()
+def plan(**catalogue: bool) -> Plan:
+    p = build(**catalogue)
     return p.add(**{f"query_{k}": v for k, v in QUERIES.items()})
 
 
+def _named() -> dict[str, tuple[str, dict[str, bool]]]:
+    """Registered name -> query, catalogue."""
+    return {k: (k, {}) for k in QUERIES} | {f"{v}_{k}": (k, catalogue) for v, catalogue in VARIANTS.items() for k in VARIED}
+
+
 def queries() -> dict:
-    def make(name):
+    def make(name, catalogue):
         def run(spark, sf_dir):
             tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-            return plan().frame(f"query_{name}", tables, spark)
+            return plan(**catalogue).frame(f"query_{name}", tables, spark)
 
         return run
 
-    return {k: make(k) for k in QUERIES} | {"synthetic_truth": truth_all}
+    return {k: make(*v) for k, v in _named().items()} | {"synthetic_truth": truth_all}
 
 
 def flagship(spark, sf_dir: str):
@@ -91,5 +102,5 @@ def flagship(spark, sf_dir: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    p = plan()
-    return {k: p.duck(f"query_{k}") for k in QUERIES}
+    plans = {v: plan(**catalogue) for v, catalogue in VARIANTS.items()} | {"": plan()}
+    return {k: plans[k.split("_")[0] if catalogue else ""].duck(f"query_{name}") for k, (name, catalogue) in _named().items()}
