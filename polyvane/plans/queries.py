@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from polyvane.functions import cells as C
-from polyvane.operators.baselines import add_baselines
+from polyvane.operators.baselines import add_baselines, fitted_nulls, log_linear, productive
 from polyvane.operators.counts import add_counts
 from polyvane.operators.evaluate import add_evaluation
 from polyvane.operators.families import FAMILY_QUERIES, add_families
-from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_rules
+from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_residuals, add_rules
 from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
 from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.paired import PAIRED_QUERIES, add_paired
@@ -86,6 +86,19 @@ def _named() -> dict[str, tuple[str, dict[str, bool]]]:
     return {k: (k, {}) for k in QUERIES} | {f"{v}_{k}": (k, catalogue) for v, catalogue in VARIANTS.items() for k in VARIED}
 
 
+def _fitted(model):
+    """Residuals against a null fitted to the cells of each signature; iterative, so there is no SQL."""
+
+    def run(spark, sf_dir):
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+        p = plan()
+        add_residuals(p, "fitted_residuals", "fitted")
+        p.add(query_fitted="SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {fitted_residuals}")
+        return p.frame("query_fitted", tables | {"fitted": fitted_nulls(p.frame("residuals", tables, spark), model)}, spark)
+
+    return run
+
+
 def queries() -> dict:
     def make(name, catalogue):
         def run(spark, sf_dir):
@@ -94,7 +107,7 @@ def queries() -> dict:
 
         return run
 
-    return {k: make(*v) for k, v in _named().items()} | {"synthetic_truth": truth_all}
+    return {k: make(*v) for k, v in _named().items()} | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear)}
 
 
 def flagship(spark, sf_dir: str):

@@ -117,7 +117,7 @@ def test_empty_events(spark):
         assert plan().frame(name, tables, spark).count() == 0
 
 
-@pytest.mark.parametrize("name", ["notes", "tonic", "phrases", "real_v", "real_q", "real_d", "null_m", "null_w", "geometry_fire", "kappa", "paired_tests", "spearman", "fragility", "null_ladder"])
+@pytest.mark.parametrize("name", ["notes", "tonic", "phrases", "real_v", "real_q", "real_d", "null_m", "null_w", "geometry_fire", "kappa", "paired_tests", "spearman", "fragility", "null_ladder", "bit_substitution", "circular_null", "pooled_atom_auc", "swapped_residuals"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("events", "conversations", "labels"):
@@ -178,3 +178,37 @@ def test_ladder_counts_every_unit(spark, slices):
         total[r.level, r.field] += r.n
     for level in ("L1", "L2", "L3", "L3D", "L4"):
         assert [total[level, f] for f in "VHSU"] == [16 * units * k for k in (6, 3, 1, 1)]
+
+
+@pytest.mark.parametrize("name", ["productive_null", "loglinear_null"])
+def test_fitted_queries(spark, name):
+    real = {(r.field, r.cell): r.nr for r in queries()["residuals"](spark, SF).collect()}
+    rows = queries()[name](spark, SF).collect()
+    assert {(r.field, r.cell): r.nr for r in rows} == real
+    total = defaultdict(float)
+    for r in rows:
+        assert r.n0 >= 0
+        total[r.field] += r.n0
+    assert all(total[f] > 0 for f in C.FIELDS)
+
+
+def test_bit_substitution_by_hand(spark, slices):
+    rows = {(r.family, r.member): r for r in queries()["bit_substitution"](spark, SF).collect()}
+    assert Counter(f for f, _ in rows) == {"A1": 66, "A6": 12, "A7": 12, "A11": 12}
+    assert sum(r.target for r in rows.values()) == 4
+    full = [(t, m) for x in slices.values() for t, m in x if None not in m]
+    pitch = defaultdict(Counter)
+    for r in queries()["notes"](spark, SF).collect():
+        pitch[r.voice][r.midi] += 1
+    units = [(x[0][0], max(1, sum(None not in m for _, m in x))) for x in slices.values()]
+    for e in (0, 11):
+        real = sum(sum((v - t) % 12 == e for v in m) >= 2 for t, m in full)
+        null = 0.0
+        for tonic, n in units:
+            none, one_only = 1.0, 0.0
+            for v in "SATB":
+                p = sum(c for m, c in pitch[v].items() if (m - tonic) % 12 == e) / sum(pitch[v].values())
+                none, one_only = none * (1 - p), one_only * (1 - p) + none * p
+            null += 16 * n * (1 - none - one_only)
+        rate = (null + 0.5) * len(full) / (16 * sum(n for _, n in units))
+        assert rows["A11", str(e)].z == pytest.approx((real - rate) / math.sqrt(rate + 0.5), abs=1e-5)
