@@ -63,7 +63,7 @@ class Plan:
     KEEP = ("notes", "raw_slices", "steps", "beats", "phrases", "moves", "held", "numbered", "residuals", "cells_real", "cells_null", "pitch_cat", "dp_cat",
             "discover_full", "discover_hard", "hits", "testable", "calibration_hard", "bits",
             "uniform_residuals", "independent_residuals", "u_testable", "i_testable", "u_hits", "i_hits", "method_auc", "paired",
-            "ladder_units", "ladder_cells")
+            "ladder_units", "ladder_cells", "placed")
 
     def __init__(self):
         self.nodes: dict[str, str] = {}

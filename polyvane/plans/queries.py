@@ -12,6 +12,7 @@ from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
 from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.paired import PAIRED_QUERIES, add_paired
 from polyvane.operators.polyphony import add_notes, add_slices
+from polyvane.operators.reconstruct import add_reconstruction, compliance, reconstruct
 from polyvane.operators.stats import add_stats
 from polyvane.operators.synthetic import truth_all
 from polyvane.operators.transform import add_circular, add_desync
@@ -50,6 +51,7 @@ def build(**catalogue: bool) -> Plan:
     add_ladder(plan)
     add_families(plan)
     add_circular(plan)
+    add_reconstruction(plan)
     return plan
 
 
@@ -73,7 +75,7 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "markov_nll": "SELECT n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
            "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT n, round(kappa, 6) AS kappa FROM {kappa}",
            "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}",
-           **PAIRED_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES}
+           **PAIRED_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
 
 
 def plan(**catalogue: bool) -> Plan:
@@ -99,6 +101,17 @@ def _fitted(model):
     return run
 
 
+def _reconstructed(measured: bool):
+    def run(spark, sf_dir):
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+        p, made = plan(), {}
+        placed, starts, steps, ranges = (p.frame(x, tables, spark, made) for x in ("placed", "recon_starts", "recon_steps", "recon_ranges"))
+        out = reconstruct(placed, starts, steps, ranges, copies=4 if measured else 1)
+        return compliance(placed, out) if measured else out
+
+    return run
+
+
 def queries() -> dict:
     def make(name, catalogue):
         def run(spark, sf_dir):
@@ -107,7 +120,8 @@ def queries() -> dict:
 
         return run
 
-    return {k: make(*v) for k, v in _named().items()} | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear)}
+    return {k: make(*v) for k, v in _named().items()} | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear),
+                                                             "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True)}
 
 
 def flagship(spark, sf_dir: str):
