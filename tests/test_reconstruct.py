@@ -48,3 +48,16 @@ def test_gate(spark, parts):
     rows = queries()["reconstruction_gate"](spark, SF).collect()
     print(rows)
     assert len(rows) == 4 and all(0 < r.tvd < 1 for r in rows)
+
+
+def test_gate_on_walks(spark):
+    """Where voices are walks of small steps the model meets the gate's 0.05."""
+    from polyvane.operators.synthetic import generate
+
+    generate(spark, "S1", 60).createOrReplaceTempView("walks")
+    placed = spark.sql("""SELECT *, lag(midi) OVER (PARTITION BY piece, voice ORDER BY i) AS before, cast(pmod(lag(midi) OVER (PARTITION BY piece, voice ORDER BY i), 12) AS int) AS degree FROM
+        (SELECT piece, i, i + 2 AS stop, tonic, mode, cast(i % 16 = 0 AS int) AS first, CASE i % 16 WHEN 12 THEN 'final' WHEN 10 THEN 'penult' ELSE 'interior' END AS place,
+         CASE WHEN i % 4 = 0 THEN 'strong' ELSE 'weak' END AS metre, stack(4, 'S', ms, 'A', ma, 'T', mt, 'B', mb) AS (voice, midi) FROM walks)""")
+    tables, p = {"placed": placed, "notes": placed}, plan()
+    starts, steps, ranges = (p.frame(x, tables, spark) for x in ("recon_starts", "recon_steps", "recon_ranges"))
+    assert all(r.tvd <= 0.05 for r in compliance(placed, reconstruct(placed, starts, steps, ranges, copies=4)).collect())
