@@ -1,8 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, native.
 
-Equal blocks of words are dealt to sources by highest quotients weight / (2 k + 1), then each source's blocks to its
-shards by the shards' sizes. A shard lays its documents on a tape in seeded order and takes its quota of blocks from the
-start, twice round at most; a document gives the words of it that the blocks cover.
+Words are dealt to sources by highest quotients weight / (2 k + 1), then each source's words to its shards by the shards'
+sizes. A shard lays its documents on a tape in seeded order and takes its quota of words from the start, twice round at
+most; a document gives the words of it that the quota covers.
+
+No quota is cut: a source at its cap gives every document ``most`` times, and the words of any other source are no more
+than ``most`` times its size. At just that many words each shard's quota is ``most`` times its own size, and quotas only
+grow with the number of words dealt, so none is ever above that.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; a source without words has target 0;
 rows with equal id, source and size are interchangeable; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +30,7 @@ def sainte_lague(rows: DataFrame, group: list[str], key: list[Column], weight: s
     those few contested seats are ranked, however many seats there are.
     """
     own = Window.partitionBy(*group)
-    share = F.col(weight) / F.sum(weight).over(own)
+    share = F.coalesce(F.try_divide(F.col(weight), F.sum(weight).over(own)), F.lit(0.0))
     ahead = rows.withColumn("_n", F.count(F.when(F.col(weight) > 0, 1)).over(own)).withColumn("_share", share)
     ahead = ahead.withColumn("_low", F.greatest(F.lit(0), F.floor(F.col("_share") * F.col(seats) - F.col("_share") * F.col("_n") / 2 - 1)).cast("long"))
     ahead = ahead.withColumn("_high", F.ceil(F.col("_share") * F.col(seats) + F.col("_share") * F.col("_n") / 2 + 1).cast("long"))
@@ -65,8 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: the id, size, source_size, target, taken, source, shard.
 
-    Block size: 1/200 of the smallest positive target, within 1 to 4096 words. Shards: one per 50,000 documents,
-    within 64 to 16,384, so that a source with a third of all rows is many windows.
+    What is taken from a source is its target to within a word or two. Shards: one per 50,000 documents, within 64 to
+    16,384, so that a source with a third of all rows is many windows.
     """
     work = Work(docs.sparkSession, "mix")
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -78,15 +82,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     cells = work.table(sized.groupBy("source", "shard").agg(F.sum("size").alias("cell")), "cells")
     sources = source_targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), weights, share, float(most))
     every = Window.partitionBy(F.lit(1))
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
-    sources = sources.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(4096), F.floor(smallest / 200))), F.lit(1)).cast("long"))
-    sources = sources.withColumn("blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long")).withColumn("_all", F.lit(1))
-    sources = sainte_lague(sources, ["_all"], [F.col("source").isNull(), F.col("source")], "target", "blocks").withColumnRenamed("quota", "source_blocks")
-    sources = work.table(sources.select("source", "source_size", "target", "block", "source_blocks"), "sources")
+    top = most * F.col("source_size")
+    full = F.col("target") >= top
+    sources = sources.withColumn("_open", F.when(full, 0.0).otherwise(F.col("target"))).withColumn("_all", F.lit(1))
+    sources = sources.withColumn("_words", F.round(F.sum("target").over(every)).cast("long") - F.sum(F.when(full, top).otherwise(0)).over(every))
+    sources = sainte_lague(sources, ["_all"], [F.col("source").isNull(), F.col("source")], "_open", "_words")
+    sources = sources.withColumn("source_words", F.when(full, top).otherwise(F.least("quota", top)))
+    sources = work.table(sources.select("source", "source_size", "target", "source_words"), "sources")
 
     left = cells.alias("c").join(sources.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select(
-        "c.source", "shard", "cell", "source_size", "target", "block", "source_blocks")
-    quotas = sainte_lague(left, ["source"], [F.col("shard")], "cell", "source_blocks").withColumn("_words", F.col("quota") * F.col("block"))
+        "c.source", "shard", "cell", "source_size", "target", "source_words")
+    quotas = sainte_lague(left, ["source"], [F.col("shard")], "cell", "source_words").withColumnRenamed("quota", "_words")
     tape = Window.partitionBy("source", "shard").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = sized.withColumn("_end", F.sum("size").over(tape))
     rounds = F.when(F.col("cell") > 0, F.least(F.lit(most), F.floor(F.col("_words") / F.col("cell")))).otherwise(0).cast("long")

@@ -105,6 +105,30 @@ def test_mix(docs, none, texts):
     assert mix(none).count() == 0
 
 
+def test_mix_takes_its_targets(spark):
+    """Small sources at their cap, documents of very unequal length, several to a shard and none: nothing of a target is lost."""
+    from polyvane.llm.mixing import mix
+
+    rng = random.Random(4)
+    rows = [(0, "", "blank"), (1, None, "blank")]
+    for s, n in enumerate((900, 300, 150, 40, 3)):
+        rows += [(len(rows) + k, "w " * int(rng.lognormvariate(6, 1.2)), f"s{s}") for k in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(frame).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    full = {s for s in size if target[s] == 2 * size[s]}
+    assert {"s4", "blank"} <= full and len(full) < len(size)
+    assert all(r.taken == 2 * r.size for r in got if r.source in full)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    assert abs(sum(taken.values()) - sum(target.values())) <= 0.5
+    assert [r.taken for r in mix(frame.where("source = 'blank'")).collect()] == [0, 0]
+
+
 def brute_windows(text, window=10):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return words, [tuple(words[k:k + window]) for k in range(max(len(words) - window, 0) + 1)] if words else []
