@@ -10,10 +10,13 @@ from polyvane.plans.dialect import Plan
 
 PREDICATES = predicates()
 ATOMS = values([(a, f, p) for a, f, p, _ in PREDICATES], "a(atom, field, polarity)")
+#: Draws of random discovery.
+RANDOM_DRAWS = 500
 
 
 def add_evaluation(plan: Plan, source: str = "residuals", p: str = "") -> None:
     sign = "(CASE polarity WHEN 'under' THEN -1 ELSE 1 END)"
+    draws = values([(k,) for k in range(RANDOM_DRAWS)], "g(draw)")
     ks = values([(k,) for k in (25, 50, 100, 200)], "k(k)")
     plan.add(**{
         f"{p}testable": f"SELECT field, cell, nr, n0, rho, z FROM (SELECT *, max({C.one(TESTABLE)}) OVER (PARTITION BY field) AS tested FROM {{{source}}}) r WHERE tested = 0 OR {TESTABLE}",
@@ -37,11 +40,11 @@ def add_evaluation(plan: Plan, source: str = "residuals", p: str = "") -> None:
              FROM {{{p}covered}} c LEFT JOIN {{discover_full}} d ON d.field = c.field AND d.cell = c.cell AND d.polarity = c.polarity GROUP BY c.polarity) s""",
         f"{p}completeness": f"""SELECT a.atom, a.field, a.polarity, max(CASE WHEN d.cell IS NULL THEN 0 ELSE 1 END) AS recovered, count(h.cell) AS cells FROM {ATOMS} LEFT JOIN {{{p}hits}} h ON h.atom = a.atom
             LEFT JOIN {{discover_full}} d ON d.field = h.field AND d.cell = h.cell AND d.polarity = h.polarity GROUP BY a.atom, a.field, a.polarity""",
-        # as many cells at random, by field and polarity, as were discovered: how many atoms would be met
-        f"{p}random_discovery": f"""SELECT draw, @DOUBLE(count(DISTINCT atom)) / {len(PREDICATES)} AS completeness FROM
+        # as many cells at random, by field and polarity, as were discovered: how many atoms would be met; a draw that meets none has 0
+        f"{p}random_discovery": f"""SELECT g.draw, @DOUBLE(count(DISTINCT m.atom)) / {len(PREDICATES)} AS completeness FROM {draws} LEFT JOIN (SELECT s.draw, h.atom FROM
             (SELECT t.field, t.cell, q.polarity, q.n, g.draw, row_number() OVER (PARTITION BY t.field, q.polarity, g.draw ORDER BY @HASH32(concat_ws('|', 'random', g.draw, q.polarity, t.field, t.cell)), t.cell) AS r
-             FROM {{{p}testable}} t JOIN (SELECT field, polarity, count(*) AS n FROM {{discover_full}} GROUP BY field, polarity) q ON q.field = t.field CROSS JOIN {values([(k,) for k in range(20)], 'g(draw)')}) s
-            JOIN {{{p}hits}} h ON h.field = s.field AND h.cell = s.cell AND h.polarity = s.polarity WHERE s.r <= s.n GROUP BY draw""",
+             FROM {{{p}testable}} t JOIN (SELECT field, polarity, count(*) AS n FROM {{discover_full}} GROUP BY field, polarity) q ON q.field = t.field CROSS JOIN {draws}) s
+            JOIN {{{p}hits}} h ON h.field = s.field AND h.cell = s.cell AND h.polarity = s.polarity WHERE s.r <= s.n) m ON m.draw = g.draw GROUP BY g.draw""",
         f"{p}empty_false": f"""SELECT count(*) AS n, sum({C.one(f'NOT ({_cover()})')}) AS uncovered FROM {{{source}}} r JOIN {{discover_full}} d ON d.field = r.field AND d.cell = r.cell
             LEFT JOIN (SELECT DISTINCT field AS hf, cell AS hc FROM {{{p}hits}} WHERE polarity = 'under') h ON h.hf = r.field AND h.hc = r.cell
             WHERE d.polarity = 'under' AND r.nr = 0 AND r.n0 >= 24 AND r.field IN ('V', 'H', 'O', 'M', 'G', 'S', 'U', 'W', 'R')""",

@@ -12,7 +12,7 @@ from polyvane.operators.polyphony import values
 from polyvane.plans.dialect import Plan
 
 DELTAS = (0.05, 0.1)
-DRAWS = 1000
+DRAWS = 10000
 #: Grid side: its square is more than twice the largest sum of ranks, 1 + ... + number of atoms, plus one.
 SIDE = int((len(PREDICATES) * (len(PREDICATES) + 1) + 1) ** 0.5) + 1
 
@@ -22,7 +22,7 @@ def add_paired(plan: Plan) -> None:
     add_evaluation(plan, "independent_residuals", "i_")
     own = "PARTITION BY method"
     side = ", ".join(f"({k})" for k in range(SIDE))
-    draws = values([(k,) for k in range(DRAWS)], "g(draw)")
+    draws = f"(SELECT x.a * 100 + y.a AS draw FROM {values([(k,) for k in range(DRAWS // 100)], 'x(a)')} CROSS JOIN {values([(k,) for k in range(100)], 'y(a)')}) g"
     ranked = f"(SELECT method, draw, mean, row_number() OVER (PARTITION BY method ORDER BY mean, draw) AS r FROM {{atom_draws}}) s"
     shared = "SELECT r.field, r.cell, r.rho AS x, u.rho AS y FROM {residuals} r JOIN {independent_residuals} u ON u.field = r.field AND u.cell = r.cell"
     rank = lambda v: f"rank() OVER (PARTITION BY field ORDER BY round({v}, 9)) + (count(*) OVER (PARTITION BY field, round({v}, 9)) - 1) / 2.0"

@@ -1,5 +1,6 @@
 """The pattern-discovery engine against plain Python and its own invariants."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -166,6 +167,27 @@ def test_paired_tests_by_enumeration(diffs):
     assert got["median_diff"] == pytest.approx(sorted(diffs)[len(diffs) // 2]) and got["n"] == len(diffs)
 
 
+def test_random_discovery_keeps_every_draw(spark):
+    """One cell of ten is drawn and one holds the only atom: nine draws of ten meet nothing."""
+    cells = ", ".join(f"('V', 'c{k}')" for k in range(10))
+    p = plan().add(testable=f"SELECT * FROM (VALUES {cells}) AS v(field, cell)", discover_full="SELECT 'V' AS field, 'c0' AS cell, 'under' AS polarity",
+                   hits="SELECT 'atom' AS atom, 'V' AS field, 'c3' AS cell, 'under' AS polarity")
+    want = {}
+    for draw in range(500):
+        first = min((hashlib.md5(f"random|{draw}|under|V|c{k}".encode()).hexdigest()[:8], k) for k in range(10))
+        want[draw] = (first[1] == 3) / len(predicates())
+    assert 0 < sum(x > 0 for x in want.values()) < 100
+    assert dict(duckdb.sql(p.duck("random_discovery")).fetchall()) == pytest.approx(want)
+    assert {r.draw: r.completeness for r in p.frame("random_discovery", {}, spark).collect()} == pytest.approx(want)
+
+
+def test_atom_interval_of_ten_thousand_draws():
+    diffs = [0.3, -0.1, 0.2, 0.25, -0.2, 0.0, 0.5]
+    pick = lambda draw, k: diffs[int(hashlib.md5(f"atom|x|{draw}|{k}".encode()).hexdigest()[:8], 16) % len(diffs)]
+    means = sorted(sum(pick(draw, k) for k in range(len(diffs))) / len(diffs) for draw in range(10_000))
+    assert duckdb.sql(pairs_plan(diffs).duck("atom_interval")).fetchall()[0][1:] == pytest.approx((means[250], means[9749]))
+
+
 def test_fragility():
     sql = pairs_plan([0.5, 0.2, -0.1, -0.3, 0.1]).duck("fragility")
     assert duckdb.sql(sql).fetchall()[0][1:] == (1, 1.0)
