@@ -8,8 +8,10 @@ In a shard the suffixes that start at the anchors are the sampled ones. They are
 prefix with the one before. All other suffixes are induced, one byte to the left at a time: suffixes go, in order, to the queue of their
 (anchor, preceding byte); reading the queues in order gives the order one step on. The common prefix of queue neighbours is one more than
 the least one between them in the step before, so no bytes are compared again. A window that has 200 bytes in common with a
-neighbour is repeated. A shard of many anchors is done in memory a few megabytes at a time; of an anchor with more than that, text,
-tuples and queues lie in files of the task's own, gone at its end, so that a lost executor costs one task.
+neighbour is repeated. A shard of many anchors is done in memory a few megabytes at a time. All distinct runs of one anchor are
+gathered in one task's memory, however many; of an anchor with more than four such blocks only the contexts, and each
+order and its prefixes once they are made, lie in files of the task's own, gone at its end. The README gives the memory
+that takes.
 
 Repeated windows are given back to the texts that hold them; kept bytes are what no repeated window covers.
 
