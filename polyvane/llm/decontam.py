@@ -3,221 +3,166 @@
 An item's windows (``window`` consecutive words; a shorter item is one window) are sets of 5-word shingles (windows of
 fewer than 5 words: the whole sequence). Containment asks for every shingle, so one necessary prefix token is enough: the
 window's rarest shingle, by document frequency over the whole corpus. Documents' shingles are joined with those tokens; a
-match at offset o must leave room for the window's words before and after it (length and position bounds), and all words
-of the window are then compared in place.
+match at offset o must leave room for the window's words before and after it (length and position bounds), and the words
+themselves, as text, are then compared with the window's.
 
-The window index is broadcast in blocks of at most ``max_windows`` windows (counted first); a larger benchmark takes more
-passes, never a larger broadcast.
+A window that many items hold is indexed once; which items hold it is a table of its own, met only by distinct (document,
+window) pairs of confirmed occurrences. Token hashes only steer the join. Nothing is broadcast but a bit filter of at most
+16 MB over the tokens, which lets the few shingles through that may be tokens; the join with the windows is Spark's, at
+every size of the benchmark, and AQE splits it where one token is hot.
 
 Defined cases: null or word-less texts have no words and are clean; null or word-less items have no windows; an item id
-that repeats is one item with all windows; documents that repeat are reported row by row; empty tables give empty or clean
-results; other columns are ignored, whatever their names.
+that repeats is one item with all windows; a null item id is the item ''; documents that repeat are reported row by row; empty
+tables give empty or clean results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyvane.llm.textvec import ALNUM, Words, by_chunk, chunks, gram_hash, lists, spans
+from polyvane.llm.filters import BitFilter
+from polyvane.llm.textvec import ALNUM, Words, by_chunk, gather, gram_hash, lists
 from polyvane.llm.work import Work
 
 SHINGLE = 5
-#: Windows in one broadcast block: about 100 bytes each.
-MAX_WINDOWS = 500_000
-STATE = "n_words long, starts array<int>, ends array<int>, items array<string>"
+#: Digests of contaminated texts that are broadcast to the rows they remove; more meet them in a merge join.
+MAX_BROADCAST = 500_000
+HITS = "array<struct<token:bigint,at:int,lead:int,words:string>>"
+
+
+def _joined(w: Words, first: np.ndarray, size: np.ndarray) -> pa.StringArray:
+    """For each i the ``size[i]`` words from word ``first[i]`` on, lower-cased, with a space between."""
+    begin = np.cumsum(size) - size
+    word = np.repeat(first - begin, size) + np.arange(int(size.sum()))
+    length = w.ends[word] - w.starts[word] + 1  # with the byte after the word, which becomes a space
+    data = gather(np.append(w.buf, np.uint8(32)), w.starts[word], w.ends[word] + 1)
+    stop = np.cumsum(length)
+    data[stop - 1] = 32
+    keep = np.ones(len(data), bool)
+    keep[stop[begin + size - 1] - 1] = False
+    offs = np.concatenate([[0], np.cumsum(np.add.reduceat(length, begin) - 1)]) if len(first) else np.zeros(1, np.int64)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data[keep]))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (item, words): the item as string and the word hashes of one window."""
+    """Distinct (item, words, n, tokens): the item as string, a window's words, their number, the hashes of its shingles by offset."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(batch.column(1), ALNUM)
         count = np.where(w.n >= window, w.n - window + 1, np.minimum(w.n, 1))
         size = np.repeat(np.minimum(w.n, window), count)
         at = np.repeat(w.first[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        first = np.cumsum(size) - size
-        flat = w.h[np.repeat(at - first, size) + np.arange(int(size.sum()))]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), count))), lists(flat.view(np.int64), size)], ["item", "words"])
+        tokens = np.maximum(size - SHINGLE, 0) + 1
+        begin = np.cumsum(tokens) - tokens
+        start = np.repeat(at - begin, tokens) + np.arange(int(tokens.sum()))
+        kind, value = np.repeat(np.minimum(size, SHINGLE), tokens), np.zeros(len(start), np.uint64)
+        for k in np.unique(kind):
+            value[kind == k] = gram_hash(w.h, start[kind == k], int(k))
+        item = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), count)))
+        return pa.RecordBatch.from_arrays([item, _joined(w, at, size), pa.array(size.astype(np.int32)), lists(value.view(np.int64), tokens)], ["item", "words", "n", "tokens"])
 
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    return items.mapInArrow(by_chunk("text", one), "item string, words array<long>").distinct()
-
-
-class Index:
-    """A block of windows as padded arrays, with the tokens to look for."""
-
-    def __init__(self, items: list[str], words: list[list[int]], window: int):
-        self.items = np.array(items, dtype=object)
-        self.size = np.array([len(x) for x in words], np.int64)
-        self.words = np.zeros((len(words), window), np.uint64)
-        for i, x in enumerate(words):
-            self.words[i, :len(x)] = np.array(x, np.int64).view(np.uint64)
-        token, owner, offset = [], [], []
-        for size in np.unique(self.size):
-            rows = np.flatnonzero(self.size == size)
-            k = min(int(size), SHINGLE)
-            flat = self.words[rows, :size].reshape(-1)
-            for o in range(int(size) - k + 1):
-                token.append(gram_hash(flat, np.arange(len(rows)) * int(size) + o, k))
-                owner.append(rows)
-                offset.append(np.full(len(rows), o))
-        self.token = np.concatenate(token) if token else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offset) if offset else np.zeros(0, np.int64)
-        self.kinds = sorted({min(int(x), SHINGLE) for x in np.unique(self.size)})
-
-    def keep_rarest(self, count: dict[int, int]) -> None:
-        """One token for each window; windows with a token that no document has can't occur and go."""
-        often = np.array([count.get(int(x), 0) for x in self.token.view(np.int64)], np.int64)
-        order = np.lexsort((self.offset, self.token, often, self.owner))
-        first = order[np.concatenate([[True], np.diff(self.owner[order]) > 0])] if len(order) else order
-        first = first[often[first] > 0]
-        first = first[np.argsort(self.token[first], kind="stable")]
-        self.token, self.owner, self.offset = self.token[first], self.owner[first], self.offset[first]
-        self.seal()
-
-    def seal(self) -> None:
-        """Sorted distinct tokens, with a bit table in front of the search."""
-        self.keys, self.at = np.unique(self.token, return_index=True)
-        self.many = np.diff(np.concatenate([self.at, [len(self.token)]]))
-        self.bits = max(16, int(len(self.keys) * 16 - 1).bit_length()) if len(self.keys) else 1
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[self.keys >> np.uint64(64 - self.bits)] = True
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which values are tokens, and the place of each in ``keys``."""
-        maybe = np.flatnonzero(self.seen[value >> np.uint64(64 - self.bits)])
-        if not len(maybe) or not len(self.keys):
-            return maybe[:0], maybe[:0]
-        place = np.minimum(np.searchsorted(self.keys, value[maybe]), len(self.keys) - 1)
-        same = self.keys[place] == value[maybe]
-        return maybe[same], place[same]
-
-
-def _frequencies(docs: DataFrame, text: str, index: Index) -> dict[int, int]:
-    """In how many documents each token of the block occurs; no more rows than tokens come back."""
-    if not len(index.keys):
-        return {}
-    shared = docs.sparkSession.sparkContext.broadcast((index.keys, index.seen, index.bits, index.kinds))
+    return items.mapInArrow(by_chunk("text", one), "item string, words string, n int, tokens array<long>").distinct()
+
+
+def _frequencies(docs: DataFrame, keep, kinds: list[int]) -> DataFrame:
+    """(token, n): in how many documents each shingle that the filter lets through occurs."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        probe = Index([], [], 1)
-        probe.keys, probe.seen, probe.bits, kinds = shared.value
-        w, found = Words(batch.column(0), ALNUM), []
+        w, found, where = Words(batch.column(0), ALNUM), [], []
+        for k in kinds:
+            value, at, _ = w.grams(k)
+            some = np.flatnonzero(keep.value(value))
+            found.append(value[some])
+            where.append(np.searchsorted(w.first, at[some], side="right"))
+        value, doc = np.concatenate(found), np.concatenate(where)
+        order = np.lexsort((doc, value))
+        value, doc = value[order], doc[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+        token, n = np.unique(value[new], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    return docs.select("text").mapInArrow(by_chunk("text", count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _occurrences(docs: DataFrame, keep, kinds: list[int], window: int) -> DataFrame:
+    """(id, n_words, hits): of each document the shingles that the filter lets through, with the words around that a window may take in."""
+    key = docs.schema["id"].dataType.simpleString()
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, token, place, before, around = Words(batch.column(1), ALNUM), [], [], [], []
+        owner = np.repeat(np.arange(batch.num_rows), w.n)
         for k in kinds:
             value, at, _ = w.grams(k)
-            hit, place = probe.find(value)
-            found.append(np.stack([np.searchsorted(w.first, at[hit], side="right"), place], 1))
-        both = np.unique(np.concatenate(found), axis=0)
-        token, n = np.unique(both[:, 1], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(probe.keys[token].view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(by_chunk("text", count), "token long, n long")
-    found = {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator()}
-    shared.unpersist()
-    return found
-
-
-def _hits(w: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows found in a chunk: the word each starts at, its size, its row in the index."""
-    starts, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in index.kinds:
-        value, at, _ = w.grams(k)
-        hit, place = index.find(value)
-        many = index.many[place]
-        ref = np.repeat(index.at[place] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        p, owner = np.repeat(at[hit], many), index.owner[ref]
-        right = np.minimum(index.size[owner], SHINGLE) == k
-        starts.append((p - index.offset[ref])[right])
-        owners.append(owner[right])
-    start, owner = np.concatenate(starts), np.concatenate(owners)
-    size = index.size[owner]
-    if not len(start):
-        return start, size, owner
-    doc = np.searchsorted(w.first, np.maximum(start, 0), side="right") - 1
-    room = (start >= w.first[doc]) & (start + size <= w.first[doc + 1])
-    start, size, owner = start[room], size[room], owner[room]
-    same = np.ones(len(start), bool)
-    for j in range(index.words.shape[1]):
-        live = np.flatnonzero(same & (size > j))
-        same[live] = w.h[start[live] + j] == index.words[owner[live], j]
-    return start[same], size[same], owner[same]
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, max_windows: int) -> Iterator[tuple[Index, bool]]:
-    """The index by blocks, and whether the block is the last."""
-    work = Work(docs.sparkSession, "decontam")
-    windows = work.table(benchmark_windows(benchmark, window, item_id, item_text), "windows")
-    blocks = max(1, -(-windows.count() // max_windows))
-    for b in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).collect()
-        index = Index([r["item"] for r in rows], [r["words"] for r in rows], window)
-        index.seal()
-        index.keep_rarest(_frequencies(docs, text, index))
-        yield index, b == blocks - 1
+            some = np.flatnonzero(keep.value(value))
+            at, reach = at[some], max(window - SHINGLE, 0) if k == SHINGLE else 0
+            left = np.maximum(at - reach, w.first[owner[at]]) if len(at) else at
+            right = np.minimum(at + k + reach, w.first[owner[at] + 1]) if len(at) else at
+            token.append(value[some])
+            place.append(at)
+            before.append(at - left)
+            around.append(right - left)
+        token, place, before, around = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (token, place, before, around))
+        order = np.argsort(place, kind="stable")
+        token, place, before, around = token[order], place[order], before[order], around[order]
+        doc = owner[place]
+        fields = [pa.array(token.astype(np.uint64).view(np.int64)), pa.array((place - w.first[doc]).astype(np.int32)), pa.array(before.astype(np.int32)), _joined(w, place - before, around)]
+        hits = lists(pa.StructArray.from_arrays(fields, ["token", "at", "lead", "words"]), np.bincount(doc, minlength=batch.num_rows))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.n.astype(np.int64)), hits], ["id", "n_words", "hits"])
+
+    return docs.mapInArrow(by_chunk("text", find), f"id {key}, n_words long, hits {HITS}")
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows(row, id, n_words, hits) of docs(id, text), found(row, start, n, wid): occurrences of windows, held(wid, item)."""
+    work, spark = Work(docs.sparkSession, "decontam"), docs.sparkSession
+    raw = work.table(benchmark_windows(benchmark, window, item_id, item_text), "raw")
+    windows = raw.groupBy("words", "n").agg(F.first("tokens").alias("tokens"))
+    windows = work.table(windows.withColumn("wid", F.monotonically_increasing_id()), "windows")
+    held = raw.select("item", "words").join(windows.select("words", "wid"), "words").select("wid", "item")
+    tokens = windows.select("wid", F.posexplode("tokens").alias("offset", "token"))
+    stats = windows.agg(F.collect_set(F.least("n", F.lit(SHINGLE))).alias("kinds"), F.count("*").alias("n")).first()
+    kinds, share = sorted(stats["kinds"]), spark.sparkContext.broadcast
+    often = _frequencies(docs, share(BitFilter(tokens, "token", stats["n"] * max(1, window - SHINGLE + 1))), kinds) if kinds else spark.createDataFrame([], "token long, n long")
+    # one token a window, the rarest; a window with a token that no document has can't occur
+    ranked = tokens.join(often, "token", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("often"), "token", "offset")).alias("p")).where("p.often > 0")
+    prefix = work.table(windows.select("wid", "words", "n").join(ranked.select("wid", "p.token", "p.offset"), "wid").withColumnsRenamed({"n": "size", "words": "wanted"}), "prefix")
+    keep = share(BitFilter(prefix, "token", stats["n"]))
+    rows = work.table(_occurrences(docs, keep, kinds, window).withColumn("row", F.monotonically_increasing_id()), "rows")
+    hits = rows.where("size(hits) > 0").select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
+    met = hits.join(prefix, "token").where("lead >= offset and wanted = array_join(slice(split(words, ' '), lead - offset + 1, size), ' ')")
+    found = work.table(met.select("row", (F.col("at") - F.col("offset")).alias("start"), F.col("size").alias("n"), "wid"), "found")
+    return rows, found, held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """One row per document: the id, n_words, starts and ends (word spans that windows cover, merged), items (their ids)."""
-    none = F.array()
-    now = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), none.cast("array<int>").alias("starts"),
-                      none.cast("array<int>").alias("ends"), none.cast("array<string>").alias("items"))
-    key = now.schema["id"].dataType.simpleString()
-    for index, last in _blocks(docs, benchmark, window, text, item_id, item_text, max_windows):
-        marker = _marker(docs.sparkSession.sparkContext.broadcast(index), last)
-        now = now.mapInArrow(by_chunk("text", marker), f"id {key}, {'' if last else 'text string, '}{STATE}")
-    return now.select(F.col("id").alias(doc_id), "n_words", "starts", "ends", "items")
-
-
-def _marker(shared, last: bool):
-    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index = shared.value
-        w = Words(batch.column(1), ALNUM)
-        start, size, owner = _hits(w, index)
-        cover = np.zeros(len(w.h) + 1, np.int64)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + size, -1)
-        for side, sign in ((3, 1), (4, -1)):  # what earlier blocks have found
-            col = batch.column(side)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(col.offsets.to_numpy()))
-            np.add.at(cover, w.first[row] + col.flatten().to_numpy(), sign)
-        a, b = spans(np.cumsum(cover)[:-1] > 0, w.first)
-        row = np.searchsorted(w.first, a, side="right") - 1
-        count = np.bincount(row, minlength=batch.num_rows)
-        doc = np.searchsorted(w.first, start, side="right") - 1
-        found = {(int(d), x) for d, x in zip(doc, index.items[owner], strict=True)}
-        old = batch.column(5)
-        found |= {(int(d), x) for d, x in zip(np.repeat(np.arange(batch.num_rows), np.diff(old.offsets.to_numpy())), old.flatten().to_pylist(), strict=True)}
-        named = sorted(found)
-        items = lists([x for _, x in named], np.bincount([d for d, _ in named] or np.zeros(0, np.int64), minlength=batch.num_rows), pa.string()) if named else lists(pa.array([], pa.string()), np.zeros(batch.num_rows, np.int64))
-        out = [pa.array(w.n.astype(np.int64)), lists((a - w.first[row]).astype(np.int32), count), lists((b - w.first[row]).astype(np.int32), count), items]
-        names = ["id", "n_words", "starts", "ends", "items"]
-        return pa.RecordBatch.from_arrays([batch.column(0), *out] if last else [batch.column(0), batch.column(1), *out], names if last else [names[0], "text", *names[1:]])
-
-    return mark
+                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: the id, n_words, starts and ends (word spans that windows cover, merged), items (their ids, sorted)."""
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows, found, held = _search(docs, benchmark, window, item_id, item_text)
+    own = Window.partitionBy("row").orderBy("start", "stop")
+    spans = found.select("row", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
+    spans = spans.withColumn("reach", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("island", F.sum((F.coalesce(F.col("start") > F.col("reach"), F.lit(True))).cast("int")).over(own))
+    merged = spans.groupBy("row", "island").agg(F.min("start").alias("a"), F.max("stop").alias("b")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    named = found.select("row", "wid").distinct().join(held, "wid").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    none = F.array().cast("array<int>")
+    some = rows.where("size(hits) > 0").select("row", "id", "n_words").join(merged, "row", "left").join(named, "row", "left").select(
+        "id", "n_words", F.coalesce("spans.a", none).alias("starts"), F.coalesce("spans.b", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    clean = rows.where("size(hits) = 0").select("id", "n_words", none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
+    return clean.unionByName(some).withColumnRenamed("id", doc_id)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id",
-                        item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The clean documents with all their columns; rows are filtered where they are, without a shuffle."""
-    at = docs.columns.index(text)
-    for index, _ in _blocks(docs, benchmark, window, text, item_id, item_text, max_windows):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches, shared=shared):
-            for batch in batches:
-                for part in chunks(batch, text):
-                    w = Words(part.column(at), ALNUM)
-                    start, _, _ = _hits(w, shared.value)
-                    keep = np.ones(part.num_rows, bool)
-                    keep[np.searchsorted(w.first, start, side="right") - 1] = False
-                    yield part if keep.all() else part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+                        item_text: str = "text") -> DataFrame:
+    """The clean documents with all their columns. A text is known by its SHA-256, so that rows need no id."""
+    work, digest = Work(docs.sparkSession, "clean"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    rows, found, _ = _search(docs.select(digest.alias("id"), F.col(text).alias("text")), benchmark, window, item_id, item_text)
+    gone = work.table(rows.where("size(hits) > 0").join(found.select("row").distinct(), "row", "left_semi").select(F.col("id").alias("_digest")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone.hint("merge")
+    own = F.sha2(F.coalesce(F.col(f"d.{text}"), F.lit("")), 256)
+    return docs.alias("d").join(gone.alias("g"), own == F.col("g._digest"), "left_anti")
