@@ -29,6 +29,11 @@ def unescape(text: Column) -> Column:
     return F.when(F.instr(text, "\\") > 0, F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(text)
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text of a formatted string that its loss mask covers, read from the string itself and unescaped, nothing between the spans."""
+    return F.concat_ws("", F.transform(spans, lambda x: unescape(F.substring(formatted, (x["start"] + 1).cast("int"), x["length"].cast("int")))))
+
+
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(": "), text, F.lit(CLOSE))
 

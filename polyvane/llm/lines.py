@@ -3,8 +3,12 @@ r"""Line deduplication over a sharded minimal perfect hash.
 Pass one counts, per distinct line key (128-bit hash), the documents that hold it and the largest of their ids. Keys held by
 enough documents are dealt to shards; each shard builds a minimal perfect hash (levels of bits, a key taking the first level
 where it is alone) that indexes compact arrays: fingerprint, document count, last id. In pass two documents probe the
-arrays with their lines' hashes; lines are never joined or shuffled. Shards are broadcast in blocks of at most
-``max_entries`` lines (counted first); more frequent lines take more passes, never a larger broadcast.
+arrays with their lines' hashes.
+
+Up to ``max_entries`` frequent lines (counted first) all shards are broadcast, and documents probe them where they are. Beyond that the
+shards stay files in the shared folder: 44 bytes of each long line are dealt to tasks by shard, in parts of equal size however hot a
+line or shard is; a task reads the shards of its part, one at a time, and what has to go returns to the documents. Texts are read twice,
+whatever the number of shards.
 
 Defined cases: null or empty texts are one empty line; each row counts as a document of its own, and a null id ranks below
 all others; lines of a document that repeat count once for it, and all of them go or stay; an empty table gives an
@@ -19,11 +23,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvane.llm.textvec import NOT_SPACE, U, by_chunk, lines, lists, lower, mix, span_hash, text_bytes
-from polyvane.llm.work import Work
+from polyvane.llm.work import Work, arrow_fs
 
 #: Frequent lines in one broadcast block (21 bytes each) and in one shard.
 MAX_ENTRIES, SHARD = 3_000_000, 200_000
@@ -143,19 +149,62 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, doc_
     frequent = frequent_lines(docs, work, least_chars, least_docs)
     total = frequent.count()
     shards = max(1, -(-total // shard))
-    bodies = work.table(build_shards(frequent, shards), "shards")
-    step = max(1, max_entries // shard)
-    blocks = [range(a, min(a + step, shards)) for a in range(0, shards, step)]
-    now = docs.withColumn("gone", F.array().cast("array<int>"))
-    for k, block in enumerate(blocks):
-        rows = bodies.where(F.col("shard").between(block[0], block[-1])).collect()
-        shared, final = spark.sparkContext.broadcast({r["shard"]: bytes(r["body"]) for r in rows}), k == len(blocks) - 1
-        now = now.mapInArrow(by_chunk("text", _dropper(shared, shards, least_chars, least_docs, final)),
-                             "id long, n_lines long, n_dropped long, kept string" if final else "id long, text string, gone array<int>")
-    return now.withColumnRenamed("id", doc_id)
-
-
-def _dropper(shared, shards: int, least_chars: int, least_docs: int, final: bool):
+    build_shards(frequent, shards).write.partitionBy("shard").parquet(f"{work.path}/shards")
+    work.drop("lines")
+    if total <= max_entries:
+        rows = spark.read.schema("body binary, shard int").parquet(f"{work.path}/shards").collect()
+        shared, now = spark.sparkContext.broadcast({r["shard"]: bytes(r["body"]) for r in rows}), docs.withColumn("gone", F.array().cast("array<int>"))
+    else:
+        shared, now = spark.sparkContext.broadcast({}), _dealt(docs, work, shards, least_chars, least_docs)
+    return now.mapInArrow(by_chunk("text", _dropper(shared, shards, least_chars, least_docs)), "id long, n_lines long, n_dropped long, kept string").withColumnRenamed("id", doc_id)
+
+
+def _dealt(docs: DataFrame, work: Work, shards: int, least_chars: int, least_docs: int) -> DataFrame:
+    """(id, text, gone): the numbers of the lines that go, found shard by shard. Rows that repeat id and text share them."""
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(" "), F.coalesce("text", F.lit(""))), 256))
+    docs, folder = docs.withColumn("key", key), f"{work.path}/shards"
+
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buf, offs = text_bytes(batch.column(1))
+        _, _, count, row, h1, h2 = _keys(buf, offs, least_chars)
+        doc = np.repeat(np.arange(batch.num_rows), count)[row]
+        at = pa.array(doc)
+        place = row - (np.cumsum(count) - count)[doc]
+        own = ((h1 >> U(32)) % U(shards)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array(place.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(own)], ["key", "id", "line", "h1", "h2", "shard"])
+
+    lines_of = work.table(docs.select("id", "text", "key").mapInArrow(by_chunk("text", emit), "key binary, id long, line int, h1 long, h2 long, shard int"), "dealt")
+    dealt = lines_of.repartitionByRange(max(shards, work.spark.sparkContext.defaultParallelism), "shard", F.xxhash64("key", "line")).sortWithinPartitions("shard")
+
+    def look_up(batches):
+        at, parts = None, {}
+        for batch in batches:
+            own = batch.column(5).to_numpy()
+            for some in np.unique(own).tolist():
+                if some != at:
+                    at, parts = some, {some: read_shard(folder, some)}
+                rows = batch.filter(pa.array(own == some))
+                h1, h2 = (rows.column(c).to_numpy().view(np.uint64) for c in (3, 4))
+                n, last = probe(parts, shards, h1, h2)
+                out = (n >= least_docs) & (last != pc.fill_null(rows.column(1), LEAST).to_numpy())
+                if out.any():
+                    yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(out)) for c in (0, 2)], ["key", "line"])
+
+    gone = dealt.mapInArrow(look_up, "key binary, line int").distinct().groupBy("key").agg(F.collect_list("line").alias("gone"))
+    return docs.join(gone, "key", "left").select("id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+
+def read_shard(folder: str, shard: int) -> tuple:
+    """A shard's hash and arrays from its file in the shared folder; a shard without lines has no file."""
+    fs, path = arrow_fs(f"{folder}/shard={shard}")
+    files = fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True))
+    found = [pq.read_table(f.path, filesystem=fs, columns=["body"], partitioning=None)["body"][0].as_py() for f in files if f.path.endswith(".parquet")]
+    if not found:
+        return PerfectHash(np.zeros(0, np.uint64)), np.zeros(1, np.uint64), np.zeros(1, np.uint32), np.zeros(1, np.int64), []
+    return pickle.loads(found[0])
+
+
+def _dropper(shared, shards: int, least_chars: int, least_docs: int):
     parts: dict[int, tuple] = {}
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,9 +221,6 @@ def _dropper(shared, shards: int, least_chars: int, least_docs: int, final: bool
         before = batch.column(2)
         gone[np.repeat(first, np.diff(before.offsets.to_numpy())) + before.flatten().to_numpy()] = True
         dropped = np.bincount(doc[gone], minlength=batch.num_rows)
-        if not final:
-            at = np.flatnonzero(gone)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists((at - first[doc[at]]).astype(np.int32), dropped)], ["id", "text", "gone"])
         keep = np.flatnonzero(~gone)
         lead = np.ones(len(keep), np.int64)  # a kept line brings the line feed before it, unless it is its text's first kept one
         lead[np.flatnonzero(np.diff(doc[keep], prepend=-1))] = 0

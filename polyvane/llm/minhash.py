@@ -118,9 +118,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
 def _across(work: Work, members: DataFrame, label: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """Links between members of one bucket that the stars left in different components.
 
-    A bucket's members are dealt to blocks of BLOCK, and each pair of blocks is compared in one task, on 32 bits of each shingle hash, so that
-    no link is missed and nothing but links comes out: of those only the ones that join components, at most one a member. They
-    are then confirmed on the full sets like all others.
+    A bucket's members are dealt to blocks of BLOCK, and each pair of blocks is compared in one task, on whole shingle hashes, the same that
+    ``confirm`` compares: no link is missed and nothing but links comes out, of those only the ones that join components, at most one
+    a member. They are then confirmed on the full sets like all others.
     """
     named = members.join(label, members.rep == label.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y")
@@ -131,9 +131,9 @@ def _across(work: Work, members: DataFrame, label: DataFrame, texts: DataFrame,
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, first = _sets(batch.column(1), k)
-        return pa.RecordBatch.from_arrays([batch.column(0), lists((value >> U(32)).astype(np.uint32).view(np.int32), np.diff(first))], ["rep", "tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0), lists(value.view(np.int64), np.diff(first))], ["rep", "tokens"])
 
-    sets = texts.join(named.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(by_chunk("text", tokens), "rep long, tokens array<int>")
+    sets = texts.join(named.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(by_chunk("text", tokens), "rep long, tokens array<long>")
     rows = rows.join(work.table(sets, "tokens"), "rep").select("bucket", "i", "j", "rep", "n", "component", "tokens")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
 
@@ -153,6 +153,19 @@ def _across(work: Work, members: DataFrame, label: DataFrame, texts: DataFrame,
     return work.table(confirm(found, texts, k, threshold), "across")
 
 
+def _without_twins(large: DataFrame, work: Work) -> DataFrame:
+    """Buckets whose member lists equal that of another, as they do over the bands of a family, go but for one. Sums of hashes name the
+    candidates; the lists themselves are then compared member by member.
+    """
+    summed = large.groupBy("bucket").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("m"), F.max("c").alias("c"))
+    summed = work.table(summed, "sums")
+    leads = summed.groupBy("m", "c").agg(F.min("bucket").alias("lead"), F.max("bucket").alias("last")).where("lead <> last")
+    twins = work.table(summed.join(leads.select("m", "c", "lead"), ["m", "c"]).where("bucket <> lead").select("bucket", "lead", "c"), "twins")
+    led = large.join(twins.select(F.col("lead").alias("bucket")).distinct(), "bucket", "left_semi").select(F.col("bucket").alias("lead"), "rep")
+    met = large.select("bucket", "rep").join(twins, "bucket").join(led, ["lead", "rep"]).groupBy("bucket", "c").agg(F.count("*").alias("met")).where("met = c")
+    return large.join(work.table(met.select("bucket"), "equal"), "bucket", "left_anti")
+
+
 def _joins(rows: pa.Table, threshold: int) -> pa.RecordBatch:
     """Links of one pair of blocks that join components: a member's common tokens with all others, by bit sets over the shared tokens or, where those
     would be large, by an index from tokens to members."""
@@ -209,9 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     bucket = work.table(bucket, "buckets")
     large = member.join(bucket.where("c > 2").select("bucket", "c"), "bucket")
     large = work.table(large, "large")
-    # equal member lists recur over the bands: one of them is enough
-    same = large.groupBy("bucket").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("m"), F.max("c").alias("c"))
-    large = large.join(same.groupBy("m", "c").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+    large = _without_twins(large, work)
     # a star's centre is the member that meets most others over all bands: in a family of copies, what they were copied from
     central = large.groupBy("rep").agg(F.sum("c").alias("score"))
     scored = work.table(large.join(central, "rep"), "stars")
@@ -224,10 +235,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     pairs = work.table(pairs.where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b"), "pairs")
     texts = work.table(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(scored.select(F.col("rep").alias("id"))).distinct().hint("merge"), "id", "left_semi"), "texts")
     links = work.table(confirm(pairs, texts, k, threshold), "links")
-    label = components(work, links.toDF("u", "v"), "first")
-    links = links.unionByName(_across(work, scored.select("bucket", "rep", "n"), label, texts, k, threshold))
-    label = components(work, links.toDF("u", "v"), "all")
-    whole = classes.join(label, classes.rep == label.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    first = components(work, links.toDF("u", "v"), "first")
+    across = _across(work, scored.select("bucket", "rep", "n"), first, texts, k, threshold)
+    # the second round runs on the components of the first, joined by what was found across them
+    for x in "ab":
+        across = across.join(first.toDF(x, f"{x}_in"), x, "left").withColumn(x, F.coalesce(f"{x}_in", x)).drop(f"{x}_in")
+    second = components(work, across.toDF("u", "v"), "second")
+    label = first.toDF("rep", "at").unionByName(second.toDF("rep", "at").join(first.select(F.col("node").alias("rep")), "rep", "left_anti"))
+    label = label.join(second.toDF("at", "whole"), "at", "left").select("rep", F.coalesce("whole", "at").alias("component"))
+    whole = classes.join(label, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    whole = work.table(whole, "whole")
+    work.drop("classes", "buckets", "large", "sums", "twins", "equal", "stars", "pairs", "texts", "links", "mixed", "tokens", "found", "across")
     out = rows.drop("bands").join(whole, ["n", "s1", "s2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -210,24 +210,30 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 
 def sample_labels(labels: DataFrame, label: str, parts: int, held: int, most: int, doc_id: str) -> DataFrame:
-    """(id, y): at most ``most`` labelled rows outside the held-out fold, those whose ids have the smallest hashes."""
+    """(id as string, y): at most ``most`` labelled rows outside the held-out fold, those whose ids have the smallest hashes."""
     rows = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(doc_id, parts) != held))
-    rows = rows.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = rows.groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     return rows.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def sample_texts(docs: DataFrame, taken: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(text, id, y): one text for each sampled id, so that an id which recurs in documents can't outgrow the sample: its smallest text."""
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).join(F.broadcast(taken), "id")
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "id", "y")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, most: int = MAX_ROWS,
                 doc_id: str = "doc_id", text: str = "text") -> Additive:
-    taken = F.broadcast(sample_labels(labels, label, parts, held, most, doc_id))  # at most ``most`` rows of two numbers
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(taken, "id").where("text is not null")
+    # at most ``most`` rows of an id and a number are broadcast, and as many rows of features come to the driver
+    rows = sample_texts(docs, sample_labels(labels, label, parts, held, most, doc_id), doc_id, text).where("text is not null")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(batch.column(0))
         return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array(c) for c in x.T]], ["id", "y", *FEATURES])
 
-    table = rows.select("text", "id", "y").mapInArrow(by_chunk("text", one), "id long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    table = rows.mapInArrow(by_chunk("text", one), "id string, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     x = np.stack([table[f].to_numpy() for f in FEATURES], 1) if table.num_rows else np.zeros((0, len(FEATURES)))
-    order = np.lexsort((*x.T, table["id"].to_numpy()))  # the rows come in any order
+    order = np.argsort(table["id"].to_numpy(zero_copy_only=False).astype(str))  # the rows come in any order
     return Additive().fit(x[order], table["y"].to_numpy().astype(float)[order])
 
 

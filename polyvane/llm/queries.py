@@ -59,14 +59,15 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from polyvane.llm.chat import format_chats, unescape
+    from polyvane.llm.chat import format_chats, under_mask
 
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = _read(spark, sf_dir, "conversations")
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    chats = format_chats(turns.unionByName(extra))
-    # under the mask: the raw text of each learnt turn, whose place in the string the spans name
-    loss = F.concat_ws("", F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: unescape(x["raw_text"])))
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
+    value = lambda name: F.expr(f"CAST({name} AS {kinds[name]})").alias(name)
+    extra = spark.sql(f"SELECT * FROM VALUES (-7, 0, 'user', r'{said}'), (-7, 1, 'assistant', r'{said}') AS t(conv_id, turn, role, text)").select(*map(value, ("conv_id", "turn", "role", "text")))
+    chats = format_chats(turns.select("conv_id", "turn", "role", "text").unionByName(extra))
+    loss = under_mask(F.col("formatted"), F.col("loss_spans"))
     source = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(source, 256).alias("turns_sha256"),
                         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
@@ -133,22 +134,24 @@ s3 AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS before, coalesce(sum(w) OVER b,
 s4 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - before) / (sum(w) OVER () - w_before) AS level FROM s3),
 s5 AS (SELECT *, (SELECT arg_min(level, (cap / w, r)) FROM s4 WHERE level <= cap / w) AS lv FROM s4),
 s6 AS (SELECT source, source_size, coalesce(least(cap, lv * w), cap) AS target FROM s5),
-s7 AS (SELECT *, coalesce(greatest(1, least(4096, floor(min(target) FILTER (target > 0) OVER () / 200))), 1)::BIGINT AS block FROM s6),
-s8 AS (SELECT *, round(sum(target) OVER () / block)::BIGINT AS blocks, sum(target) OVER () AS t, count(*) FILTER (target > 0) OVER () AS n FROM s7),
-s9 AS (SELECT *, greatest(0, floor(target / t * blocks - target / t * n / 2 - 1))::BIGINT AS low,
-              ceil(target / t * blocks + target / t * n / 2 + 1)::BIGINT AS high FROM s8),
-sq AS (SELECT source, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source IS NULL, source, k) AS rn FROM s9, unnest(range(low, high + 1)) AS u(k) WHERE target > 0),
-sl AS (SELECT (SELECT max(blocks) FROM s9) - (SELECT sum(low) FROM s9 WHERE target > 0) AS rest),
+s7 AS (SELECT *, target >= 2 * source_size AS complete, 2 * source_size AS top FROM s6),
+s8 AS (SELECT *, CASE WHEN complete THEN 0.0::DOUBLE ELSE target END AS open,
+              round(sum(target) OVER ())::BIGINT - sum(CASE WHEN complete THEN top ELSE 0 END) OVER () AS words FROM s7),
+s9 AS (SELECT *, coalesce(open / nullif(sum(open) OVER (), 0), 0) AS share, count(*) FILTER (open > 0) OVER () AS n FROM s8),
+sb AS (SELECT *, greatest(0, floor(share * words - share * n / 2 - 1))::BIGINT AS low, ceil(share * words + share * n / 2 + 1)::BIGINT AS high FROM s9),
+sq AS (SELECT source, k, row_number() OVER (ORDER BY open / (2 * k + 1) DESC, source IS NULL, source, k) AS rn FROM sb, unnest(range(low, high + 1)) AS u(k) WHERE open > 0),
+sl AS (SELECT max(words) - sum(low) AS rest FROM sb),
 sn AS (SELECT source, count(*) FILTER (rn <= rest) AS won FROM sq, sl GROUP BY source),
-sr AS (SELECT s9.*, CASE WHEN target > 0 THEN low + coalesce(won, 0) ELSE 0 END AS source_blocks FROM s9 LEFT JOIN sn ON s9.source IS NOT DISTINCT FROM sn.source),
-c1 AS (SELECT c.*, source_size, target, block, source_blocks, sum(cell) OVER (PARTITION BY c.source)::DOUBLE AS t,
+sr AS (SELECT sb.*, CASE WHEN complete THEN top ELSE least(top, CASE WHEN open > 0 THEN low + coalesce(won, 0) ELSE 0 END) END AS source_words
+       FROM sb LEFT JOIN sn ON sb.source IS NOT DISTINCT FROM sn.source),
+c1 AS (SELECT c.*, source_size, target, source_words, sum(cell) OVER (PARTITION BY c.source)::DOUBLE AS t,
               count(*) FILTER (cell > 0) OVER (PARTITION BY c.source) AS n FROM c JOIN sr ON c.source IS NOT DISTINCT FROM sr.source),
-c2 AS (SELECT *, greatest(0, floor(cell / t * source_blocks - cell / t * n / 2 - 1))::BIGINT AS low,
-              ceil(cell / t * source_blocks + cell / t * n / 2 + 1)::BIGINT AS high FROM c1),
+c2 AS (SELECT *, greatest(0, floor(cell / t * source_words - cell / t * n / 2 - 1))::BIGINT AS low,
+              ceil(cell / t * source_words + cell / t * n / 2 + 1)::BIGINT AS high FROM c1),
 cq AS (SELECT source, shard, k, row_number() OVER (PARTITION BY source ORDER BY cell / (2 * k + 1) DESC, shard, k) AS rn FROM c2, unnest(range(low, high + 1)) AS u(k) WHERE cell > 0),
-cl AS (SELECT source, max(source_blocks) - sum(low) AS rest FROM c2 WHERE cell > 0 GROUP BY source),
+cl AS (SELECT source, max(source_words) - sum(low) AS rest FROM c2 WHERE cell > 0 GROUP BY source),
 cn AS (SELECT cq.source, shard, count(*) FILTER (rn <= rest) AS won FROM cq JOIN cl ON cq.source IS NOT DISTINCT FROM cl.source GROUP BY ALL),
-cr AS (SELECT c2.*, CASE WHEN cell > 0 THEN (low + coalesce(won, 0)) * block ELSE 0 END AS words
+cr AS (SELECT c2.*, CASE WHEN cell > 0 THEN low + coalesce(won, 0) ELSE 0 END AS words
        FROM c2 LEFT JOIN cn ON c2.source IS NOT DISTINCT FROM cn.source AND c2.shard = cn.shard),
 tp AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS z FROM e),
 f AS (SELECT tp.*, source_size, target, cell, words, CASE WHEN cell > 0 THEN least(2, words // cell) ELSE 0 END AS rounds
@@ -177,12 +180,13 @@ FROM documents d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_i
 """
 
 OP6_SQL = rf"""
-WITH l AS (SELECT doc_id, i, x, {LOWER.format("trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
-           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
-f AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (top IS NOT NULL AND top <> doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (top IS NULL OR top = doc_id), '')) AS kept_sha256
-FROM l LEFT JOIN f USING (k) GROUP BY doc_id
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT r, doc_id, i, x, {LOWER.format("trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+      FROM (SELECT r, doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM d)),
+f AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.k IS NOT NULL AND top IS DISTINCT FROM doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (f.k IS NULL OR top IS NOT DISTINCT FROM doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.k = f.k GROUP BY r, doc_id
 """
 
 OP7_SQL = r"""
@@ -201,7 +205,7 @@ FROM x GROUP BY conv_id
 
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 

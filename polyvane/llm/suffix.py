@@ -4,14 +4,16 @@ Every 200-byte window has an anchor: the leftmost of its smallest hashed 32-byte
 so windows are sorted anchor by anchor, in shards, instead of all at once. Consecutive windows with one anchor are a run. Anchors
 that occur once are dropped first; equal runs are combined, within a chunk, within a map task, and over all.
 
-In a shard the suffixes that start at the anchors are the sampled ones. They are sorted by their bytes, and each gets the length of its common
-prefix with the one before. All other suffixes are induced, one byte to the left at a time: suffixes go, in order, to the queue of their
-(anchor, preceding byte); reading the queues in order gives the order one step on. The common prefix of queue neighbours is one more than
-the least one between them in the step before, so no bytes are compared again. A window that has 200 bytes in common with a
-neighbour is repeated. A shard of many anchors is done in memory a few megabytes at a time. All distinct runs of one anchor are
-gathered in one task's memory, however many; of an anchor with more than four such blocks only the contexts, and each
-order and its prefixes once they are made, lie in files of the task's own, gone at its end. The README gives the memory
-that takes.
+In a shard the suffixes that start at the anchors are the sampled ones. They are sorted by recursion: strings of words become strings of names
+half as long, and so on. Each then gets the length of its common prefix with the one before. All other suffixes are induced, one byte to
+the left at a time: suffixes go, in order, to the queue of their (anchor, preceding byte); reading the queues in order gives the order one
+step on. The common prefix of queue neighbours is one more than the least one between them in the step before, so no bytes are
+compared again. A window that has 200 bytes in common with a neighbour is repeated.
+
+Shards of many anchors are done in memory, a few megabytes at a time. An anchor with more than ``HOT`` distinct runs is first split over tasks, by
+distance and shared bytes, again and again while it is hot. An anchor that is nevertheless larger than two such blocks is sorted on
+disk, whatever its place in the shard: tuples go through priority queues that spill sorted runs and merge them, and no more than a part of
+them is in memory at once (``External``).
 
 Repeated windows are given back to the texts that hold them; kept bytes are what no repeated window covers.
 
@@ -21,6 +23,7 @@ are no longer UTF-8 stay bytes (``kept`` is binary); an empty table gives an emp
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -29,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyvane.llm.filters import BitFilter
 from polyvane.llm.textvec import U, by_chunk, chunks, gather, lists, mix, odd, span_hash, text_bytes
 from polyvane.llm.work import Work
 
 MATCH, GRAM = 200, 32
-#: Bytes of runs sorted in memory at once; bytes of a long text winnowed at once; bits of a broadcast filter.
-BLOCK, SEGMENT, FILTER_BITS = 8 << 20, 2 << 20, 27
+#: Bytes of runs sorted in memory at once; bytes of a long text winnowed at once.
+BLOCK, SEGMENT = 8 << 20, 2 << 20
+#: Distinct runs of an anchor beyond which it is split, and by how many distances at a time; hot anchors that are broadcast.
+HOT, WIDTHS, MAX_BROADCAST = 1_000, (32, 8, 1), 500_000
 
 
 def _runs_of(buf: np.ndarray, offs: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
@@ -85,23 +91,6 @@ def runs(buf: np.ndarray, offs: np.ndarray, match: int) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-class BitFilter:
-    """A broadcast bit table of fixed size (2 ** FILTER_BITS bits) over 64-bit hashes: a prefilter that lets through all members and,
-    the fuller it is, others too; an exact join or count always follows.
-    """
-
-    def __init__(self, hashes: DataFrame, name: str):
-        word = F.shiftrightunsigned(name, 64 - FILTER_BITS + 6)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - FILTER_BITS}) & 63 as int))")
-        table = hashes.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        self.words[table["w"].to_numpy()] = table["b"].to_numpy().view(np.uint64)
-
-    def __call__(self, value: np.ndarray) -> np.ndarray:
-        place = value >> U(64 - FILTER_BITS)
-        return (self.words[place >> U(6)] >> (place & U(63))) & U(1) == 1
-
-
 def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """min(lcp[a + 1 .. b]) for a < b, by doubling."""
     gap = b - a
@@ -117,46 +106,69 @@ def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_names(words: np.ndarray) -> np.ndarray:
+    """Order of the rows, by recursion on reduced strings: each pair of neighbouring columns is named by its rank, and the strings of names, half as
+    long, are sorted the same way, until a first name tells all rows apart or is all that is left.
+    """
+    m, k = words.shape
+    if k == 1:
+        return np.argsort(words[:, 0], kind="stable")
+    names = np.empty((m, (k + 1) // 2), np.uint64)
+    for c in range(0, k - 1, 2):
+        order = np.lexsort((words[:, c + 1], words[:, c]))
+        x, y = words[order, c], words[order, c + 1]
+        names[order, c // 2] = np.concatenate([[0], np.cumsum((x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+        if not c and names[order[-1], 0] == m - 1:
+            return order
+    if k % 2:
+        names[:, -1] = words[:, -1]
+    return by_names(names)
+
+
+def contexts(text: np.ndarray, at: np.ndarray, stop: np.ndarray, match: int) -> np.ndarray:
+    """The ``match`` bytes from each place on, 0 from ``stop`` on and up to a multiple of eight."""
+    width = -(-match // 8) * 8
+    out = np.zeros((len(at), width), np.uint8)
+    step = max(1, BLOCK // (8 * width))  # positions are eight bytes each
+    for a in range(0, len(at), step):
+        some = slice(a, a + step)
+        place = at[some, None] + np.arange(width)
+        out[some] = np.where((place < stop[some, None]) & (np.arange(width) < match), text[np.minimum(place, len(text) - 1)], 0)
+    return out
+
+
+def prefixes(sorted_rows: np.ndarray, before: np.ndarray | None, match: int) -> np.ndarray:
+    """Common prefix of each row with the one before; ``before`` is that of the first, if there is one."""
+    lcp = np.zeros(len(sorted_rows), np.uint8)
+    for a in range(0, len(sorted_rows), 1 << 14):
+        now = sorted_rows[a:a + (1 << 14)]
+        last = np.concatenate([sorted_rows[a - 1:a] if a else now[:1] if before is None else before[None], now[:-1]])
+        differ = now != last
+        lcp[a:a + len(now)] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), match), match)
+    if before is None and len(lcp):
+        lcp[0] = 0
+    return lcp
+
+
 class Shard:
-    """Runs of whole anchors: text, and by run its start in it, length, anchor distance and anchor number."""
+    """Runs of whole anchors, in memory: text, and by run its start in it, length, anchor distance and anchor number."""
 
-    def __init__(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray, group: np.ndarray, match: int, external: bool):
-        self.text, self.start, self.size, self.off, self.group, self.match, self.external = text, start, size, off, group, match, external
+    def __init__(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray, group: np.ndarray, match: int):
+        self.text, self.start, self.size, self.off, self.group, self.match = text, start, size, off, group, match
         self.windows = size - match + 1
         self.base = np.cumsum(self.windows) - self.windows
         self.nearest = off - self.windows + 1  # distance of the last window to the anchor
-        self.scratch = tempfile.TemporaryDirectory(prefix="suffix-") if external else None
-
-    def _array(self, like: np.ndarray) -> np.ndarray:
-        """Arrays of an external shard lie in files."""
-        if not self.external:
-            return like
-        out = np.memmap(tempfile.TemporaryFile(dir=self.scratch.name), like.dtype, "w+", shape=like.shape)
-        out[:] = like
-        return out
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
         """Order of the suffixes at the anchors, and common prefixes with the one before (0 across anchors)."""
-        m, width = len(self.start), -(-self.match // 8) * 8
-        context = np.memmap(tempfile.TemporaryFile(dir=self.scratch.name), np.uint8, "w+", shape=(m, width)) if self.external else np.zeros((m, width), np.uint8)
-        step = max(1, BLOCK // (8 * width))  # positions are eight bytes each
-        for a in range(0, m, step):
-            rows = np.arange(a, min(a + step, m))
-            at = (self.start + self.off)[rows, None] + np.arange(width)
-            inside = at < (self.start + self.size)[rows, None]
-            context[rows] = np.where(inside & (np.arange(width) < self.match), self.text[np.minimum(at, len(self.text) - 1)], 0)
-        words = context.view(">u8")
-        order = np.arange(m)
-        for k in range(width // 8 - 1, -1, -1):  # least significant word first
-            order = order[np.argsort(words[order, k].astype(np.uint64), kind="stable")]
-        order = order[np.argsort(self.group[order], kind="stable")]
-        lcp = np.zeros(m, np.uint8)
-        for a in range(1, m, step):
-            rows = np.arange(a, min(a + step, m))
-            differ = context[order[rows]] != context[order[rows - 1]]
-            first = np.where(differ.any(axis=1), differ.argmax(axis=1), self.match)
-            lcp[rows] = np.where(self.group[order[rows]] == self.group[order[rows - 1]], np.minimum(first, self.match), 0)
-        return self._array(order), self._array(lcp)
+        context = contexts(self.text, self.start + self.off, self.start + self.size, self.match)
+        order = by_names(np.concatenate([self.group[:, None].astype(np.uint64), context.view(">u8").astype(np.uint64)], axis=1))
+        lcp = np.zeros(len(order), np.uint8)
+        for a in range(0, len(order), 1 << 14):  # sorted a part at a time: contexts are the largest arrays here
+            part = order[max(a - 1, 0):a + (1 << 14)]
+            lcp[a:a + (1 << 14)] = prefixes(context[part], None, self.match)[1 if a else 0:]
+        lcp[1:][self.group[order[1:]] != self.group[order[:-1]]] = 0
+        return order, lcp
 
     def repeated(self, twice: np.ndarray) -> np.ndarray:
         """A flag for each window, run by run; ``twice`` marks runs that occur more than once as they are."""
@@ -167,21 +179,15 @@ class Shard:
                 live = np.flatnonzero(self.off[order] >= d)
                 if not len(live):
                     break
-                if len(live) < len(order):
-                    lcp = np.minimum.reduceat(lcp[:live[-1] + 1], np.concatenate([[0], live[:-1] + 1]))
-                    order = order[live]
-                order, lcp = self._induce(order, lcp, d)
-            at, near = np.asarray(order), np.asarray(lcp)
-            live = np.flatnonzero(self.nearest[at] <= d)
-            if not len(live):
-                continue
-            if len(live) < len(at):
-                near = np.minimum.reduceat(near[:live[-1] + 1], np.concatenate([[0], live[:-1] + 1]))
-                at = at[live]
-            same = near >= self.match
-            same[0] = False
-            hit = at[same | np.concatenate([same[1:], [False]])]
-            flags[self.base[hit] + self.off[hit] - d] = True
+                lcp, _ = thin(lcp, live, MOST)
+                order, lcp = self._induce(order[live], lcp, d)
+            live = np.flatnonzero(self.nearest[order] <= d)
+            if len(live):
+                near, _ = thin(lcp, live, MOST)
+                at, same = order[live], near >= self.match
+                same[0] = False
+                hit = at[same | np.concatenate([same[1:], [False]])]
+                flags[self.base[hit] + self.off[hit] - d] = True
         return flags
 
     def _induce(self, order: np.ndarray, lcp: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,20 +198,237 @@ class Shard:
         same = key[to][1:] == key[to][:-1]
         new = np.zeros(len(to), np.uint8)
         a, b = to[:-1][same], to[1:][same]
-        new[1:][same] = np.minimum(_least(np.asarray(lcp), a, b).astype(np.int64) + 1, self.match)
-        return self._array(np.asarray(order)[to]), self._array(new)
-
-
-def _sort_shard(match: int):
-    def flush(table: pa.Table, external: bool) -> pa.RecordBatch | None:
-        anchor = table["a"].to_numpy()
-        region = table["region"].combine_chunks().cast(pa.large_binary())
-        offs = np.frombuffer(region.buffers()[1], np.int64)[region.offset:region.offset + len(region) + 1]
-        text = np.frombuffer(region.buffers()[2], np.uint8)
-        _, group = np.unique(anchor, return_inverse=True)
-        twice = table["n"].to_numpy() > 1
-        shard = Shard(text, offs[:-1], np.diff(offs), table["off"].to_numpy().astype(np.int64), group, match, external)
-        flags = shard.repeated(twice)
+        new[1:][same] = np.minimum(_least(lcp, a, b).astype(np.int64) + 1, self.match)
+        return order[to], new
+
+
+#: Above every common prefix.
+MOST = 255
+
+
+def thin(lcp: np.ndarray, live: np.ndarray, carry: int) -> tuple[np.ndarray, int]:
+    """Common prefixes of the suffixes that stay with those that stayed before, and the least prefix after the last of them; ``carry`` is
+    what the part before left over.
+    """
+    if not len(live):
+        return lcp[:0], int(lcp.min(initial=carry))
+    out = np.minimum.reduceat(lcp[:live[-1] + 1], np.concatenate([[0], live[:-1] + 1]))
+    out[0] = min(out[0], carry)
+    return out, int(lcp[live[-1] + 1:].min(initial=MOST))
+
+
+class Queue:
+    """A priority queue on disk, for tuples in bulk: a batch is pushed sorted, as a run of its own in a file, and ``drain`` merges the runs a
+    part at a time, ``fan`` at once.
+    """
+
+    def __init__(self, folder: str, kind: np.dtype, part: int, fan: int = 64):
+        self.file, self.kind, self.part, self.fan = tempfile.TemporaryFile(dir=folder), kind, part, fan
+        self.end, self.runs = 0, []
+
+    def _write(self, rows: np.ndarray) -> None:
+        raw = memoryview(np.ascontiguousarray(rows)).cast("B")
+        while len(raw):
+            done = os.pwrite(self.file.fileno(), raw, self.end)
+            self.end, raw = self.end + done, raw[done:]
+
+    def push(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.runs.append((self.end, len(rows)))
+            self._write(rows)
+
+    def drain(self) -> Iterator[np.ndarray]:
+        while len(self.runs) > self.fan:
+            some, self.runs = self.runs[:self.fan], self.runs[self.fan:]
+            begin = self.end
+            for rows in self._merge(some):
+                self._write(rows)
+            self.runs.append((begin, (self.end - begin) // self.kind.itemsize))
+        yield from self._merge(self.runs)
+        self.file.close()
+
+    def _merge(self, runs: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+        part, size = max(1, self.part // max(len(runs), 1)), self.kind.itemsize
+        place, left, held = [p for p, _ in runs], [n for _, n in runs], [np.zeros(0, self.kind) for _ in runs]
+        while any(left) or any(len(x) for x in held):
+            for k in range(len(runs)):
+                if not len(held[k]) and left[k]:
+                    held[k] = np.frombuffer(os.pread(self.file.fileno(), min(part, left[k]) * size, place[k]), self.kind)
+                    place[k], left[k] = place[k] + len(held[k]) * size, left[k] - len(held[k])
+            # all that is not above the last key of any run that goes on can come out
+            bound = min((x["key"][-1] for x, n in zip(held, left, strict=True) if n), default=None)
+            cut = [len(x) if bound is None else int(np.searchsorted(x["key"], bound, side="right")) for x in held]
+            rows = np.concatenate([x[:c] for x, c in zip(held, cut, strict=True)])
+            held = [x[c:] for x, c in zip(held, cut, strict=True)]
+            yield rows[np.argsort(rows["key"], kind="stable")] if len(runs) > 1 else rows
+
+
+class External:
+    """The distinct runs of one anchor, however many, on disk: batches come in by ``add`` and are not kept.
+
+    Tuples (anchor suffix, run) wait in a queue that sorts them; then, one byte to the left at a time, tuples (preceding byte, place, run, common prefix) go
+    through a queue each. The preceding bytes lie in a file by distance. In memory are, besides the parts at hand, a run's distance, number
+    of windows, preceding byte and flag of one step: about ten bytes a run.
+    """
+
+    def __init__(self, match: int, part: int = 1 << 18, fan: int = 64):
+        self.match, self.part, self.few, self.fan, self.m = match, max(64, part // 64 * 64), max(8, part // 128 * 8), fan, 0
+        self.scratch = tempfile.TemporaryDirectory(prefix="suffix-")
+        self.width = -(-match // 8) * 8
+        self.seeds = Queue(self.scratch.name, np.dtype([("key", f"S{self.width}"), ("run", "<i8")]), self.few, fan)
+        self.left, self.names = self._file(), self._file()
+        self.off, self.nearest, self.twice = [], [], []
+
+    def _file(self):
+        return tempfile.TemporaryFile(dir=self.scratch.name)
+
+    def add(self, table: pa.Table) -> None:
+        for a in range(0, table.num_rows, self.few):
+            self._add(table.slice(a, self.few))
+
+    def _add(self, table: pa.Table) -> None:
+        text, offs = region_bytes(table)
+        start, off = offs[:-1], table["off"].to_numpy().astype(np.int64)
+        context = contexts(text, start + off, offs[1:], self.match)
+        order = by_names(context.view(">u8").astype(np.uint64))
+        rows = np.empty(len(order), self.seeds.kind)
+        rows["key"], rows["run"] = context[order].view(f"S{self.width}").reshape(-1), self.m + order
+        self.seeds.push(rows)
+        for a in range(0, len(off), 2048):
+            back = off[a:a + 2048, None] - np.arange(1, self.match)
+            np.where(back >= 0, text[np.maximum(start[a:a + 2048, None] + back, 0)], 0).astype(np.uint8).tofile(self.left)
+        np.stack([table[c].to_numpy() for c in ("r1", "r2")], 1).tofile(self.names)
+        self.off.append(off.astype(np.int16))
+        self.nearest.append((off - (np.diff(offs) - self.match)).astype(np.int16))
+        self.twice.append(table["n"].to_numpy() > 1)
+        self.m += len(off)
+
+    def _columns(self) -> None:
+        """Preceding bytes by distance instead of by run."""
+        out, wide = self._file(), self.match - 1
+        self.left.seek(0)
+        for a in range(0, self.m, self.few):
+            rows = np.frombuffer(self.left.read(self.few * wide), np.uint8).reshape(-1, wide)
+            for d in range(int(self.off.max())):
+                os.pwrite(out.fileno(), rows[:, d].tobytes(), d * self.m + a)
+        self.left = out
+
+    def spans(self) -> Iterator[pa.RecordBatch]:
+        """(r1, r2, lo, hi) of repeated windows, run by run."""
+        self.off, self.nearest, self.twice = np.concatenate(self.off), np.concatenate(self.nearest), np.concatenate(self.twice)
+        self._columns()
+        flags, last = self._file(), int(self.off.max())
+        now = self._in_order()
+        for d in range(last + 1):
+            flag = np.zeros(self.m, bool)
+            now = self._spill(self._marked(now if not d else self._induced(now, d), d, flag))
+            os.pwrite(flags.fileno(), np.packbits(flag, bitorder="little").tobytes(), d * -(-self.m // 8))
+        yield from self._found(flags, last)
+        self.scratch.cleanup()
+
+    STEP = np.dtype([("run", "<i8"), ("near", "u1")])
+
+    def _spill(self, parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        """A step's tuples, in order, to a file, to be read for the next one."""
+        out = self._file()
+        for rows in parts:
+            rows.tofile(out)
+        out.flush()
+        out.seek(0)
+
+        def read() -> Iterator[np.ndarray]:
+            while raw := out.read(self.part * self.STEP.itemsize):
+                yield np.frombuffer(raw, self.STEP)
+
+        return read()
+
+    def _in_order(self) -> Iterator[np.ndarray]:
+        before = None
+        for rows in self.seeds.drain():
+            text = np.frombuffer(rows["key"].tobytes(), np.uint8).reshape(-1, self.width)
+            out = np.empty(len(rows), self.STEP)
+            out["run"], out["near"] = rows["run"], prefixes(text, before, self.match)
+            before = text[-1] if len(text) else before
+            yield out
+
+    def _induced(self, parts: Iterator[np.ndarray], d: int) -> Iterator[np.ndarray]:
+        """One step to the left. A tuple's prefix is one more than the least since the last tuple that went to the same queue."""
+        column = np.frombuffer(os.pread(self.left.fileno(), self.m, (d - 1) * self.m), np.uint8)
+        queue = Queue(self.scratch.name, np.dtype([("key", "<u8"), ("run", "<i8"), ("near", "u1")]), self.part, self.fan)
+        carry, least, seen, place = MOST, np.full(256, MOST), np.zeros(256, bool), 0
+        for rows in parts:
+            live = np.flatnonzero(self.off[rows["run"]] >= d)
+            near, carry = thin(rows["near"], live, carry)
+            if not len(live):
+                continue
+            run = rows["run"][live]
+            byte = column[run]
+            to = np.argsort(byte, kind="stable")
+            same = byte[to][1:] == byte[to][:-1]
+            value = np.zeros(len(to), np.int64)
+            value[1:][same] = _least(near, to[:-1][same], to[1:][same]).astype(np.int64) + 1
+            head = np.concatenate([[True], ~same])
+            lead, tail = to[head], to[np.concatenate([~same, [True]])]
+            since = np.minimum.accumulate(near)
+            own = byte[lead]
+            value[head] = np.where(seen[own], np.minimum(least[own], since[lead]) + 1, 0)
+            until = np.append(np.minimum.accumulate(near[::-1])[::-1], MOST)
+            least = np.minimum(least, since[-1])
+            least[byte[tail]] = until[tail + 1]
+            seen[own] = True
+            out = np.empty(len(to), queue.kind)
+            out["key"], out["run"], out["near"] = byte[to].astype(np.uint64) << U(48) | (place + to).astype(np.uint64), run[to], np.minimum(value, self.match)
+            queue.push(out)
+            place += len(to)
+        for rows in queue.drain():
+            out = np.empty(len(rows), self.STEP)
+            out["run"], out["near"] = rows["run"], rows["near"]
+            yield out
+
+    def _marked(self, parts: Iterator[np.ndarray], d: int, flag: np.ndarray) -> Iterator[np.ndarray]:
+        """Passes a step's tuples on; flags runs whose window at distance d equals that of a neighbour."""
+        carry, before = MOST, -1
+        for rows in parts:
+            live = np.flatnonzero(self.nearest[rows["run"]] <= d)
+            near, carry = thin(rows["near"], live, carry)
+            if len(live):
+                at, same = rows["run"][live], near >= self.match
+                if before < 0:
+                    same[0] = False
+                flag[at[same]] = True
+                flag[np.concatenate([[before], at[:-1]])[same]] = True
+                before = int(at[-1])
+            yield rows
+
+    def _found(self, flags, last: int) -> Iterator[pa.RecordBatch]:
+        self.names.seek(0)
+        for a in range(0, self.m, self.few):
+            n = min(self.few, self.m - a)
+            names = np.frombuffer(self.names.read(16 * n), np.int64).reshape(-1, 2)
+            bits = [np.unpackbits(np.frombuffer(os.pread(flags.fileno(), -(-n // 8), d * -(-self.m // 8) + a // 8), np.uint8), bitorder="little")[:n] for d in range(last + 1)]
+            d, off = np.arange(last + 1), self.off[a:a + n, None]
+            hit = np.stack(bits, 1).astype(bool) | (self.twice[a:a + n, None] & (d <= off) & (d >= self.nearest[a:a + n, None]))
+            edge = np.zeros((n, 1), bool)
+            run, near = np.nonzero(hit & ~np.concatenate([edge, hit[:, :-1]], 1))
+            _, far = np.nonzero(hit & ~np.concatenate([hit[:, 1:], edge], 1))
+            # windows count from the left end of the run, distances from the anchor
+            yield pa.RecordBatch.from_arrays([pa.array(names[run, 0]), pa.array(names[run, 1]), pa.array((off[run, 0] - far).astype(np.int32)), pa.array((off[run, 0] - near + 1).astype(np.int32))], ["r1", "r2", "lo", "hi"])
+
+
+def region_bytes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the column ``region`` and their borders."""
+    region = table["region"]
+    region = (region.combine_chunks() if isinstance(region, pa.ChunkedArray) else region).cast(pa.large_binary())
+    offs = np.frombuffer(region.buffers()[1], np.int64)[region.offset:region.offset + len(region) + 1]
+    return np.frombuffer(region.buffers()[2], np.uint8)[offs[0]:offs[-1]], offs - offs[0]
+
+
+def _sort_shard(match: int, block: int = BLOCK):
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        text, offs = region_bytes(table)
+        _, group = np.unique(table["a"].to_numpy(), return_inverse=True)
+        shard = Shard(text, offs[:-1], np.diff(offs), table["off"].to_numpy().astype(np.int64), group, match)
+        flags = shard.repeated(table["n"].to_numpy() > 1)
         edge = np.zeros(len(flags) + 1, bool)
         edge[shard.base] = True
         start = np.flatnonzero(flags & ~(np.concatenate([[False], flags[:-1]]) & ~edge[:-1]))
@@ -216,25 +439,70 @@ def _sort_shard(match: int):
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, large, own = 0, None, None
         for batch in batches:  # sorted by anchor: all but the last anchor are complete
+            if large is not None:
+                n = int(np.searchsorted(batch.column(0).to_numpy(), own, side="right"))
+                large.add(pa.Table.from_batches([batch.slice(0, n)]))
+                batch = batch.slice(n)
+                if not batch.num_rows:
+                    continue
+                yield from large.spans()
+                large = None
             held.append(batch)
-            size += batch.column(batch.schema.get_field_index("region")).nbytes
-            if size < BLOCK:
+            size += batch.column(2).nbytes
+            if size < block:
                 continue
             table = pa.Table.from_batches(held)
             anchor = table["a"].to_numpy()
             done = int(np.searchsorted(anchor, anchor[-1]))
             if done:
-                yield flush(table.slice(0, done), False)
+                yield flush(table.slice(0, done))
                 held = table.slice(done).to_batches()
-                size = sum(x.column(x.schema.get_field_index("region")).nbytes for x in held)
+                size = sum(x.column(2).nbytes for x in held)
+            if size > 2 * block:  # one anchor: from here on it is sorted on disk
+                large, own = External(match), anchor[-1]
+                for x in held:
+                    large.add(pa.Table.from_batches([x]))
+                held, size = [], 0
+        if large is not None:
+            yield from large.spans()
         if held:
-            yield flush(pa.Table.from_batches(held), size > 4 * BLOCK)
+            yield flush(pa.Table.from_batches(held))
 
     return sort
 
 
+def _repeated_runs(runs: DataFrame, work: Work, match: int, widths: tuple[int, ...] = WIDTHS, hot: int = HOT) -> DataFrame:
+    """(r1, r2, lo, hi): repeated windows of runs(a, off, region, r1, r2, n).
+
+    An anchor of more than ``hot`` distinct runs is split: windows are grouped by their distance to the anchor, ``widths[0]`` distances a group, and by
+    the bytes that all windows of the group share. Equal windows stay together. What is still hot is split by the next width; at a width
+    of one a group is one window.
+    """
+    name, whole = f"w{len(widths)}", ["a", "off", "region", "r1", "r2"]
+
+    def sort(rows: DataFrame) -> DataFrame:
+        shards = rows.groupBy(*whole).agg(F.sum("n").alias("n")).repartition("a").sortWithinPartitions("a")
+        return shards.mapInArrow(_sort_shard(match), "r1 long, r2 long, lo int, hi int")
+
+    many = work.table(runs.groupBy("a").agg(F.countDistinct("r1").alias("c")).where(F.col("c") > hot).select("a"), f"hot-{name}") if widths else None
+    if many is None or not (n := many.count()):
+        return work.table(sort(runs), f"spans-{name}")
+    many = F.broadcast(many) if n <= MAX_BROADCAST else many.hint("merge")
+    heavy = runs.join(many, "a", "left_semi").groupBy(*whole).agg(F.sum("n").alias("n"))
+    step, size = widths[0], F.length("region")
+    lo = F.explode(F.sequence(F.floor(F.greatest(F.col("off") - size + match, F.lit(0)) / step) * step, F.col("off").cast("long"), F.lit(step).cast("long"))).alias("lo")
+    parts = heavy.select(*whole, "n", lo).withColumn("far", F.least(F.col("lo") + step - 1, "off").cast("int")).withColumn("near", F.greatest("lo", F.col("off") - F.length("region") + match).cast("int"))
+    cut = lambda a, n: F.substring("region", (F.col("off") + a + 1).cast("int"), n.cast("int"))
+    shared = F.xxhash64("a", "lo", cut(-F.col("lo"), F.col("lo")), cut(F.lit(0), F.lit(match) - F.col("lo") - step + 1))
+    parts = parts.select("r1", "r2", "n", (F.col("off") - F.col("far")).alias("shift"), shared.alias("b"), F.col("far").alias("d"), cut(-F.col("far"), F.col("far") - F.col("near") + match).alias("part"))
+    parts = work.table(parts.withColumn("s1", F.xxhash64("b", "d", "part")).withColumn("s2", F.xxhash64(F.lit(1), "part", "d", "b")), f"parts-{name}")
+    below = _repeated_runs(parts.select(F.col("b").alias("a"), F.col("d").alias("off"), F.col("part").alias("region"), F.col("s1").alias("r1"), F.col("s2").alias("r2"), "n"), work, match, widths[1:], hot)
+    back = parts.select("r1", "r2", "s1", "s2", "shift").join(below.toDF("s1", "s2", "lo", "hi"), ["s1", "s2"]).select("r1", "r2", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
+    return work.table(sort(runs.join(many, "a", "left_anti")).unionByName(back), f"spans-{name}")
+
+
 def repeated_spans(texts: DataFrame, work: Work, match: int = MATCH) -> DataFrame:
     """(key, starts, ends) for the texts(key, text) that hold repeated windows; spans may overlap. Rows with one key are one
     text that occurs so often.
@@ -248,7 +516,7 @@ def repeated_spans(texts: DataFrame, work: Work, match: int = MATCH) -> DataFram
 
     counted = texts.mapInArrow(by_chunk("text", anchors), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     again = work.table(counted.where("n > 1").select("a"), "anchors")
-    shared = spark.sparkContext.broadcast(BitFilter(again, "a"))
+    shared = spark.sparkContext.broadcast(BitFilter(again, "a", again.count()))
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         buf, offs = text_bytes(batch.column(1))
@@ -271,13 +539,13 @@ def repeated_spans(texts: DataFrame, work: Work, match: int = MATCH) -> DataFram
                                            lists(batch.column(0).take(pa.array(doc[order])), n), lists((first - offs[doc])[order].astype(np.int32), n)], ["a", "off", "region", "r1", "r2", "n", "keys", "starts"])
 
     found = work.table(texts.mapInArrow(by_chunk("text", emit), "a long, off int, region binary, r1 long, r2 long, n long, keys array<binary>, starts array<int>").join(again, "a", "left_semi"), "runs")
-    groups = found.groupBy("a", "off", "region", "r1", "r2").agg(F.sum("n").alias("n"))
-    shards = groups.repartition("a").sortWithinPartitions("a")
-    spans = work.table(shards.mapInArrow(_sort_shard(match), "r1 long, r2 long, lo int, hi int"), "spans")
+    spans = _repeated_runs(found.select("a", "off", "region", "r1", "r2", "n"), work, match)
     held = found.select("r1", "r2", F.explode(F.arrays_zip("keys", "starts")).alias("x")).select("r1", "r2", "x.keys", "x.starts")
     hits = held.join(spans, ["r1", "r2"]).select(F.col("keys").alias("key"), (F.col("starts") + F.col("lo")).alias("s"), (F.col("starts") + F.col("hi") + match - 1).alias("e")).distinct()
     out = hits.groupBy("key").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
-    return work.table(out, "hits")
+    out = work.table(out, "hits")
+    work.drop("anchors", "runs")
+    return out
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +556,7 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), body.alias("text"), F.unhex(F.sha2(body, 256)).alias("sha256")).withColumn("key", F.substring("sha256", 1, 16))
     spans = repeated_spans(rows.select("key", "text"), work, match)
-    shared = docs.sparkSession.sparkContext.broadcast(BitFilter(spans.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("h")), "h"))
+    shared = docs.sparkSession.sparkContext.broadcast(BitFilter(spans.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("h")), "h", spans.count()))
 
     def concerned(batches):
         for batch in batches:

@@ -2,12 +2,20 @@
 
 A text's features are its distinct words and distinct word beginnings of 4, 5 and 6 bytes. Of the features of at most ``MAX_ROWS``
 labelled rows per class (those of smallest hash), those that tell the classes apart best are kept (``MAX_FEATURES``); a logistic
-model on them is fitted with a penalty on the squared change of the score when the identity terms of a labelled text are swapped for
-others of their group. So a group's name can't carry weight of its own, whatever company the labels show it in.
+model on them is fitted with a penalty on the squared change of its score under counterfactuals of the labelled texts:
+
+- where a text names a group by an identity term, the term is swapped for every other term of its group;
+- each text is also given one neutral mention of a term, drawn by the hash of its id, which is swapped for all others of its group and
+  compared with the text as it is.
+
+So a group's name can't carry weight of its own, whatever company the labels show it in, or whether they show it at all. The model is linear in
+its features, so a swap changes the score by the difference of the terms' own weights, and counterfactuals are counted by pair of
+terms: their number is bounded by the vocabulary, not by the sample. ``active`` counts them, ``gap`` is their mean absolute change of
+the score in log-odds.
 
 Defined cases: null counts as empty, which scores by the intercept; labelled rows with a null label are not learnt from; with one class
-or none every score is that class's share (0 if none); rows that repeat are scored row by row; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+or none every score is that class's share (0 if none); rows that repeat are scored row by row, and learnt from once an id; ids may be
+of any type; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyvane.llm.quality import fold
-from polyvane.llm.textvec import ALNUM, U, Words, by_chunk, lists, mix, span_hash
+from polyvane.llm.quality import fold, sample_texts
+from polyvane.llm.textvec import ALNUM, U, Words, by_chunk, lists, mix
 
 MAX_ROWS, MAX_FEATURES = 10_000, 4_000
-#: Identity terms by group; a term is swapped for the others of its group.
+#: Identity terms by group; a term is swapped for all others of its group.
 IDENTITY = {
     "gender": "man woman men women male female boy girl homme femme mann frau hombre mujer transgender nonbinary".split(),
     "belief": "christian muslim jewish jew hindu buddhist atheist catholic protestant chretien musulman juif christ moslem jude cristiano judio".split(),
@@ -56,21 +64,33 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return value[value != 0], at[value != 0]
 
 
-def _swap_table() -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For each identity term, sorted by hash: its features and those of the next term of its group."""
-    own, other = [], []
+TERMS = [t for group in IDENTITY.values() for t in group]
+
+
+def term_features() -> tuple[np.ndarray, list[np.ndarray]]:
+    """By identity term: the hash of the word, and the hashes of all its features."""
+    h, p = _hash(TERMS)
+    return h, [np.unique([x[k] for x in (h, *p) if x[k]]) for k in range(len(TERMS))]
+
+
+def counterfactuals(named: np.ndarray, given: np.ndarray) -> list[tuple[int, int, float]]:
+    """(term, other or -1 for none, weight): what texts that name a term, and texts that were given a neutral mention of it, are compared with.
+    A mention's comparisons weigh one in all for each kind.
+    """
+    out, at = [], 0
     for group in IDENTITY.values():
-        own += group
-        other += group[1:] + group[:1]
-    h, p = _hash(own)
-    g, q = _hash(other)
-    order = np.argsort(h)
-    return h[order], [x[order] for x in (h, *p)], [x[order] for x in (g, *q)]
+        for i in range(at, at + len(group)):
+            n = float(named[i] + given[i])
+            out += [(i, j, n / (len(group) - 1)) for j in range(at, at + len(group)) if j != i and n]
+            out += [(i, -1, float(given[i]))] if given[i] else []
+        at += len(group)
+    return out
 
 
 class Toxicity:
     def __init__(self, keys: np.ndarray, weight: np.ndarray, base: float):
         self.keys, self.weight, self.base = keys, weight, base
+        self.active, self.gap = 0, 0.0
         self.seen = np.zeros(1 << 20, bool)
         self.seen[keys >> U(44)] = True
 
@@ -90,26 +110,27 @@ class Toxicity:
         return 1 / (1 + np.exp(-(self.base + np.bincount(doc, self.weight[row], len(w.n)))))
 
 
-def fit_logistic(doc: np.ndarray, row: np.ndarray, y: np.ndarray, n_features: int, swap_doc: np.ndarray, swap_row: np.ndarray, swap_sign: np.ndarray,
-                 n_swaps: int, ridge: float = 0.3, counterfactual: float = 5.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(doc: np.ndarray, row: np.ndarray, y: np.ndarray, n_features: int, pair: np.ndarray, pair_row: np.ndarray, pair_sign: np.ndarray,
+                 pair_weight: np.ndarray, ridge: float = 0.3, counterfactual: float = 5.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent with diagonal scaling.
 
-    Loss: log loss over texts + ridge |w|^2 / 2 + counterfactual * sum over swaps of (change of score)^2 / 2.
+    Loss: log loss over texts + ridge |w|^2 / 2 + counterfactual * sum over pairs of weight * (change of score)^2 / 2, where
+    the change of pair p is the sum of sign * w over its (pair, row, sign) entries.
     """
-    w, base = np.zeros(n_features), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    w, base, n_pairs = np.zeros(n_features), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), len(pair_weight)
     v, v_base, last, last_base, t = w.copy(), base, w, base, 1.0
     size = np.bincount(doc, minlength=len(y)) + 1.0
     reach = 0.25 * np.bincount(row, size[doc], n_features) + ridge
-    if n_swaps:
-        many = np.bincount(swap_doc, minlength=n_swaps).astype(float)
-        reach += counterfactual * np.bincount(swap_row, many[swap_doc], n_features)
+    if n_pairs:
+        many = np.bincount(pair, minlength=n_pairs) * pair_weight
+        reach += counterfactual * np.bincount(pair_row, many[pair], n_features)
     reach_base = 0.25 * size.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(v_base + np.bincount(doc, v[row], len(y)))))
         g = np.bincount(row, (p - y)[doc], n_features) + ridge * v
-        if n_swaps:
-            change = np.bincount(swap_doc, swap_sign * v[swap_row], n_swaps)
-            g += counterfactual * np.bincount(swap_row, swap_sign * change[swap_doc], n_features)
+        if n_pairs:
+            change = np.bincount(pair, pair_sign * v[pair_row], n_pairs) * pair_weight
+            g += counterfactual * np.bincount(pair_row, pair_sign * change[pair], n_features)
         w, base = v - g / reach, v_base - (p - y).sum() / reach_base
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, v_base = w + (t - 1) / t_next * (w - last), base + (t - 1) / t_next * (base - last_base)
@@ -120,14 +141,13 @@ def fit_logistic(doc: np.ndarray, row: np.ndarray, y: np.ndarray, n_features: in
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0, most: int = MAX_ROWS,
                  most_features: int = MAX_FEATURES, doc_id: str = "doc_id", text: str = "text", counterfactual: float = 5.0) -> Toxicity:
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(doc_id, parts) != held))
-    usable = usable.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    usable = usable.groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         only = max(counts, default=0)
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0), 30.0 if only else -30.0)
     first = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
-    taken = F.broadcast(first[0].unionByName(first[1]))  # at most twice ``most`` rows of two numbers
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(taken, "id").select("text", "id", "y")
+    rows = sample_texts(docs, first[0].unionByName(first[1]), doc_id, text)  # at most twice ``most`` rows
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(batch.column(0), ALNUM)
@@ -147,38 +167,40 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts
     sure = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = held_by.withColumn("z", odds / sure).where("abs(z) >= 2").orderBy(F.abs("z").desc(), "f").limit(most_features)
     keys = np.array([r["f"] for r in best.select("f").collect()], np.int64).view(np.uint64)
-    keys = np.unique(np.concatenate([keys, *(x[x != 0] for x in _swap_table()[1])]))  # identity terms are always in the model
+    term, owned = term_features()
+    keys = np.unique(np.concatenate([keys, *owned]))  # identity terms are always in the model
     model = Toxicity(keys, np.zeros(len(keys)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        probe, w = shared.value, Words(batch.column(0), ALNUM)
-        doc, row = probe.find(*tokens(w))
-        term, own, other = _swap_table()
-        at = np.minimum(np.searchsorted(term, w.h), len(term) - 1)
+        w = Words(batch.column(0), ALNUM)
+        doc, row = shared.value.find(*tokens(w))
+        order = np.argsort(term)
+        at = order[np.minimum(np.searchsorted(term[order], w.h), len(term) - 1)]
         hit = np.flatnonzero(term[at] == w.h)
-        swapped, sign, where = [], [], []
-        owner = np.searchsorted(w.first, hit, side="right") - 1
-        for side, s in ((own, 1), (other, -1)):
-            value = np.concatenate([x[at[hit]] for x in side])
-            d, r = probe.find(value[value != 0], np.tile(owner, 4)[value != 0])
-            swapped.append(r)
-            where.append(d)
-            sign.append(np.full(len(r), s))
-        r, d, s = np.concatenate(swapped), np.concatenate(where), np.concatenate(sign)
-        order = np.argsort(d, kind="stable")
+        both = np.unique((np.searchsorted(w.first, hit, side="right") - 1) * len(term) + at[hit])
         n = batch.num_rows
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists(row.astype(np.int32), np.bincount(doc, minlength=n)), lists(r[order].astype(np.int32), np.bincount(d, minlength=n)),
-                                           lists(s[order].astype(np.int32), np.bincount(d, minlength=n))], ["id", "y", "row", "swap", "sign"])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists(row.astype(np.int32), np.bincount(doc, minlength=n)),
+                                           lists((both % len(term)).astype(np.int32), np.bincount(both // len(term), minlength=n))], ["id", "y", "row", "named"])
 
-    table = rows.mapInArrow(by_chunk("text", encode), "id long, y int, row array<int>, swap array<int>, sign array<int>").toArrow().sort_by("id").combine_chunks()
+    given = F.pmod(F.xxhash64(F.lit("mention"), "id"), F.lit(len(TERMS))).cast("int").alias("given")
+    found = rows.mapInArrow(by_chunk("text", encode), "id string, y int, row array<int>, named array<int>").select("*", given)
+    table = found.toArrow().sort_by("id").combine_chunks()
     y = table["y"].to_numpy().astype(float)
-    flat = {c: (table[c].combine_chunks().flatten().to_numpy(), np.diff(table[c].combine_chunks().offsets.to_numpy())) for c in ("row", "swap", "sign")}
-    doc, swap_doc = (np.repeat(np.arange(len(y)), flat[c][1]) for c in ("row", "swap"))
-    w, base = fit_logistic(doc, flat["row"][0], y, len(keys), swap_doc, flat["swap"][0], flat["sign"][0].astype(float), len(y), counterfactual=counterfactual)
+    held_rows = table["row"].combine_chunks()
+    doc = np.repeat(np.arange(len(y)), np.diff(held_rows.offsets.to_numpy()))
+    pairs = counterfactuals(np.bincount(table["named"].combine_chunks().flatten().to_numpy(), minlength=len(TERMS)), np.bincount(table["given"].to_numpy(), minlength=len(TERMS)))
+    places = [np.searchsorted(keys, x) for x in owned]
+    sides = [(p, k, s) for p, (a, b, _) in enumerate(pairs) for side, s in ((a, 1.0), (b, -1.0)) if side >= 0 for k in places[side]]
+    pair, pair_row, pair_sign = (np.array(x) for x in zip(*sides, strict=True)) if sides else (np.zeros(0, np.int64),) * 3
+    weight = np.array([x[2] for x in pairs])
+    w, base = fit_logistic(doc, held_rows.flatten().to_numpy(), y, len(keys), pair, pair_row, pair_sign, weight, counterfactual=counterfactual)
     # the sample has its own share of toxic rows; the intercept goes back to that of all labelled rows
     base += float(np.log(counts[1] / counts[0]) - np.log(n1 / n0))
-    return Toxicity(keys, w, base)
+    out = Toxicity(keys, w, base)
+    out.active = int(round(weight.sum()))
+    out.gap = float(np.abs(np.bincount(pair, pair_sign * w[pair_row], len(weight))) @ weight / weight.sum()) if len(weight) else 0.0
+    return out
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

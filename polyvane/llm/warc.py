@@ -21,22 +21,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyvane.llm.work import Work
+from polyvane.llm.work import Work, arrow_fs, qualified
 
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, declared_digest string, payload_digest string, payload_bytes long, payload string"
 BLOCK, GAP, MOST = 16 << 20, 64 << 10, 8 << 20
 
 
-def _fs(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a URI, on executors: local, HDFS, S3, GCS, whatever Arrow opens."""
-    return pa.fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-
-
 def _record(page: int | None, url: str, payload: bytes, digest: str, kind: str, refers: int | None) -> bytes:
     body = b"" if kind == "revisit" else payload
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{page}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}"]
@@ -63,7 +57,11 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write archives and the index under ``path``; returns the index. Clean-up of stray archives is the caller's."""
+    """Write archives and the index under ``path``; returns the index. Clean-up of stray archives is the caller's.
+
+    A path without a scheme is in Hadoop's default file system, for the executors' archives as for the index.
+    """
+    path = qualified(pages.sparkSession, path)
     body = F.coalesce(F.col(html), F.lit(""))
     clean = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", "")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), clean.alias("url"), body.alias("html"), F.unhex(F.sha2(body, 256)).alias("digest"))
@@ -85,7 +83,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, page_id: str
                 continue
             if out is None:
                 name = f"{path}/archive/{uuid.uuid4().hex}.warc.gz"
-                fs, local = _fs(name)
+                fs, local = arrow_fs(name)
                 fs.create_dir(os.path.dirname(local), recursive=True)
                 out = fs.open_output_stream(local, compression=None)
             place, size = [], []
@@ -124,7 +122,7 @@ def read_warc(index: DataFrame, payload: bool = True) -> DataFrame:
                     if stream is not None:
                         stream.close()
                     name = file[a]
-                    fs, local = _fs(name)
+                    fs, local = arrow_fs(name)
                     stream = fs.open_input_file(local)
                 data = stream.read_at(end - place[a], place[a])
                 found = []

@@ -7,21 +7,41 @@ Where it is unset, as in local tests, a private temporary folder is used and set
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI: one without a scheme is in Hadoop's default file system, which need not be the local one."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    full = jvm.org.apache.hadoop.fs.Path(path).makeQualified(jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf), jvm.org.apache.hadoop.fs.Path("/")).toString()
+    return "file:///" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
+
+
+def arrow_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a qualified URI, on executors: local, HDFS, S3, GCS, whatever Arrow opens."""
+    if ":" not in path:
+        raise ValueError(f"not a URI: {path}")
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one of our own only if the session has none."""
+    """The folder of spark.checkpoint.dir, as a URI. Where the session has none, a local folder of our own in local mode; an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="polyvane-")
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return qualified(spark, path).rstrip("/")
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -29,13 +49,27 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_open: list[Work] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, the folders of all operators called in it: their results must have been written elsewhere by then."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        while len(_open) > before:
+            _open[-1].close()
+
+
 class Work:
-    """A run's own folder under the shared one; holds Parquet tables by name."""
+    """A run's own folder under the shared one; holds Parquet tables by name. It goes with its ``scope``, or with the interpreter."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._at_exit)
+        _open.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back with the same schema: lost executors then cost no recomputation."""
@@ -44,14 +78,21 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Tables that no result will read again."""
         for name in names:
             delete(self.spark, f"{self.path}/{name}")
 
-    def _at_exit(self) -> None:
-        try:
+    def close(self) -> None:
+        if self in _open:
+            _open.remove(self)
+        with contextlib.suppress(Exception):  # the session may have ended; nothing is left to clean with
             delete(self.spark, self.path)
-        except Exception:  # the session has ended; nothing is left to clean with
-            pass
+
+
+@atexit.register
+def _close_all() -> None:
+    while _open:
+        _open[-1].close()
 
 
 def components(work: Work, edges: DataFrame, name: str = "cc") -> DataFrame:

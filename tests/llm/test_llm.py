@@ -47,18 +47,48 @@ def test_exact(spark, docs, none, texts):
     groups = defaultdict(list)
     for i, t in texts:
         groups[t or ""].append(i)
-    got = exact_flags(docs).collect()
-    assert len(got) == len(texts)
-    by_id = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got}
-    for t, ids in groups.items():
-        top = max((i for i in ids if i is not None), default=None)
+    want = []
+    for ids in groups.values():
+        top, stays = max((i for i in ids if i is not None), default=None), 0
         for i in ids:
-            assert (i, top, len(ids), i == top) in by_id
+            stays += i == top
+            want.append((i, top, len(ids), i == top and stays == 1))
+    flags = lambda **more: sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_flags(docs, **more).collect()), key=str)
+    assert flags() == sorted(want, key=str)
+    # with digests and tags that tell nothing, contents are still told apart, and nothing stops
+    assert flags(digest=lambda t: F.lit("same")) == sorted(want, key=str)
+    assert flags(digest=lambda t: F.lit("same"), tag=lambda t: F.lit(7).cast("long")) == sorted(want, key=str)
     assert exact_dedup(docs).columns == docs.columns
-    assert sorted(r.doc_id for r in exact_dedup(docs).collect()) == sorted(max(x for x in ids if x is not None) for ids in groups.values()) + [15]
-    assert exact_flags(none).count() == 0
-    weak = exact_flags(docs, digest=lambda t: F.lit("same"))  # with a digest that tells nothing, contents are still told apart
-    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in weak.collect()} == by_id
+    kept = exact_dedup(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(max(x for x in ids if x is not None) for ids in groups.values())
+    assert len({r.text or "" for r in kept}) == len(kept)
+    assert exact_flags(none).count() == 0 and exact_dedup(none).count() == 0
+
+
+def test_exact_dedup_of_odd_columns(spark):
+    """Null ids, null texts, equal rows, columns named like the operator's own and of types without an order."""
+    from polyvane.llm.exact import exact_dedup
+
+    rows = [(None, "a", {"k": 1}, "x", [1]), (None, "a", {"k": 2}, "x", [1]), (1, None, None, None, None), (1, "", {}, "y", []), (2, "b", {"k": 1}, "z", [2]), (2, "b", {"k": 1}, "z", [2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held map<string,int>, body string, `rank` array<int>")
+    got = exact_dedup(frame)
+    assert got.schema.simpleString() == frame.schema.simpleString()
+    assert sorted(((r.doc_id, r.text, r.held, r.body, r["rank"]) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_registered_sql_on_edge_rows(spark, texts, tmp_path):
+    """Queries and their SQL agree on nulls, empties, ties and ids that repeat."""
+    import duckdb
+
+    from polyvane.llm import queries
+
+    spark.createDataFrame([(i, t, ["a", "b", None][k % 3]) for k, (i, t) in enumerate(texts + [(15, "zz" * 150 + "\n" + "q" * 50)] + [(60 + k, "q" * 50) for k in range(4)])], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op6_lines", "op10_exact"):
+        got = queries.queries()[name](spark, str(tmp_path))
+        rows = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
 
 
 def test_sainte_lague(spark):
@@ -219,24 +249,110 @@ def test_suffix(docs, none, texts):
     assert remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("external", [False, True])
-def test_induced_sorting(external):
-    from polyvane.llm.suffix import Shard, runs
+def shard_of_runs(match, n=4000, kinds=2):
+    """Runs of a text with repeats, sorted by anchor, as the table that a sorting task gets; and their windows."""
+    from polyvane.llm.suffix import runs
 
     rng = np.random.default_rng(3)
-    raw = rng.integers(0, 2, 4000, dtype=np.uint8)
-    raw[1500:1900] = raw[200:600]
-    first, count, off, a = runs(raw, np.array([0, 2000, 4000]), 40)
-    order = np.argsort(a, kind="stable")
+    raw = rng.integers(0, kinds, n, dtype=np.uint8)
+    raw[n // 2 - 500:n // 2 - 100] = raw[200:600]
+    first, count, off, a = runs(raw, np.array([0, n // 2, n]), match)
+    order = np.argsort(a.view(np.int64), kind="stable")
     first, count, off, a = first[order], count[order], off[order], a[order]
-    size = count + 39
-    text = np.concatenate([raw[x:x + n] for x, n in zip(first, size)])
-    start = np.cumsum(size) - size
-    shard = Shard(text, start, size, off, np.unique(a, return_inverse=True)[1], 40, external)
-    flags = shard.repeated(np.zeros(len(first), bool))
-    windows = [bytes(raw[x + k:x + k + 40]) for x, n in zip(first, count) for k in range(n)]
-    seen = Counter(windows)
-    assert flags.tolist() == [seen[w] > 1 for w in windows]
+    names = np.arange(len(a))
+    table = pa.table({"a": a.view(np.int64), "off": off.astype(np.int32), "region": pa.array([raw[x:x + n + match - 1].tobytes() for x, n in zip(first, count)], pa.binary()),
+                      "r1": names, "r2": -names, "n": np.ones(len(a), np.int64)})
+    return table, [[raw[x + k:x + k + match].tobytes() for k in range(n)] for x, n in zip(first, count)]
+
+
+def flagged(batches, windows):
+    out = [[False] * len(w) for w in windows]
+    for b in batches:
+        for r1, r2, lo, hi in zip(*(b.column(k).to_pylist() for k in range(4))):
+            assert r1 == -r2 and 0 <= lo < hi <= len(out[r1])
+            out[r1][lo:hi] = [True] * (hi - lo)
+    return out
+
+
+@pytest.mark.parametrize("block", [8 << 20, 2000, 0])
+def test_induced_sorting(block):
+    """In memory, and with every anchor but the smallest on disk, whatever its place in the shard."""
+    from polyvane.llm.suffix import _sort_shard
+
+    table, windows = shard_of_runs(40)
+    seen = Counter(w for run in windows for w in run)
+    found = flagged(_sort_shard(40, block)(iter(table.to_batches(max_chunksize=7))), windows)
+    assert found == [[seen[w] > 1 for w in run] for run in windows]
+
+
+def one_anchor(m, match=200, seed=1):
+    """Distinct runs of one anchor, in random surroundings of few letters, some of them alike."""
+    rng = np.random.default_rng(seed)
+    core, off = bytes(range(65, 65 + 32)), rng.integers(0, 160, m).astype(np.int32)
+    rows, seen = [], set()
+    for k in range(m):
+        side = bytes(rng.integers(97, 99, int(off[k]), dtype=np.uint8)) if k % 3 else (b"ab" * 100)[:int(off[k])]
+        rest = (b"xy" * 200)[:match - 32 - int(off[k]) + int(rng.integers(0, int(off[k]) + 1))] if k % 2 else bytes(rng.integers(120, 122, match - 32, dtype=np.uint8))
+        region = side + core + rest
+        if region + bytes([off[k]]) not in seen:
+            seen.add(region + bytes([off[k]]))
+            rows.append((5, int(off[k]), region))
+    names = np.arange(len(rows))
+    return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "off": pa.array([r[1] for r in rows], pa.int32()), "region": pa.array([r[2] for r in rows], pa.binary()),
+                     "r1": names, "r2": -names, "n": np.ones(len(rows), np.int64)}), rows
+
+
+@pytest.mark.parametrize("part,fan", [(64, 2), (640, 64), (1 << 18, 64)])
+def test_external_sorting(part, fan):
+    """One anchor on disk, with queues of many small runs: the same windows as by brute force."""
+    from polyvane.llm.suffix import External
+
+    table, rows = one_anchor(900)
+    windows = [[(r[1] - k, r[2][k:k + 200]) for k in range(len(r[2]) - 199)] for r in rows]
+    seen = Counter(w for run in windows for w in run)
+    large = External(200, part, fan)
+    for batch in table.to_batches(max_chunksize=100):
+        large.add(pa.Table.from_batches([batch]))
+    want = [[seen[w] > 1 for w in run] for run in windows]
+    assert any(map(any, want)) and flagged(large.spans(), windows) == want
+
+
+def test_external_sorting_is_bounded():
+    """A hundred thousand runs (40 MB) of an anchor that others follow: the sorting task's arrays stay small."""
+    import tracemalloc
+
+    from polyvane.llm.suffix import _sort_shard
+
+    rng = np.random.default_rng(2)
+    m, off = 100_000, 100
+    text = rng.integers(97, 123, (m, 400), dtype=np.uint8)
+    text[:, off:off + 32] = 65
+    offs = pa.py_buffer((np.arange(m + 1) * 400).astype(np.int32))
+    region = pa.BinaryArray.from_buffers(pa.binary(), m, [None, offs, pa.py_buffer(text)])
+    names = np.arange(m)
+    table = pa.table({"a": np.where(names < m - 50, 1, 2), "off": np.full(m, off, np.int32), "region": region, "r1": names, "r2": -names, "n": np.ones(m, np.int64)})
+    tracemalloc.start()
+    out = list(_sort_shard(200, 1 << 20)(iter(table.to_batches(max_chunksize=2000))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 0 and peak < 120e6
+
+
+def test_hot_anchor_is_split(spark):
+    """Runs of one anchor dealt by distance and shared bytes, level by level: the same spans as unsplit, and no large group."""
+    from polyvane.llm.suffix import _repeated_runs
+    from polyvane.llm.work import Work
+
+    table, rows = one_anchor(400)
+    frame = spark.createDataFrame([(a, off, bytearray(region), k, -k, 1) for k, (a, off, region) in enumerate(rows)], "a long, off int, region binary, r1 long, r2 long, n long")
+    windows = [[(r[1] - k, r[2][k:k + 200]) for k in range(len(r[2]) - 199)] for r in rows]
+    seen = Counter(w for run in windows for w in run)
+    for hot in (10 ** 9, 20):
+        work = Work(spark, "split")
+        found = _repeated_runs(frame, work, 200, hot=hot).toArrow().combine_chunks().to_batches()
+        assert flagged(found, windows) == [[seen[w] > 1 for w in run] for run in windows]
+    last = spark.read.parquet(f"{work.path}/parts-w1")
+    assert last.groupBy("b").agg(F.countDistinct("s1").alias("c")).agg(F.max("c")).first()[0] == 1
 
 
 def brute_near(texts, k, threshold):
@@ -318,13 +434,14 @@ def test_perfect_hash():
 
 
 def test_chat(spark):
-    from polyvane.llm.chat import format_chats, unescape
+    from polyvane.llm.chat import format_chats, under_mask, unescape
 
     hard = ["", "</turn>", "a </turn>\n### user: b", "#", "####", "\\", "\\#", "\\\\", "<\\/turn>", "x\n", " y ", "é ### z", ":", "</turn", "##", "t </turn> ", None]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(hard)] + [(2, 0, "a: b", "x"), (2, 0, "a: b", "x"), (2, None, None, "first"), (3, 0, "### user", "q"), (None, 1, "assistant", "n")]
+    rows += [(4, 0, "user", "y" * 200_000), (4, 1, "assistant", "\\" * 30_000 + "é</turn>" * 5_000)]
     chats = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r.conv_id: r for r in chats.collect()}
-    assert all(r.round_trip for r in got.values()) and len(got) == 4
+    assert all(r.round_trip for r in got.values()) and len(got) == 5
     want = defaultdict(list)
     for c, k, role, t in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
         want[c].append((role or "", t or ""))
@@ -333,9 +450,24 @@ def test_chat(spark):
     raw = [got[1].formatted[s.start:s.start + s.length] for s in got[1].loss_spans]
     back = spark.createDataFrame([(x,) for x in raw], "x string").select(unescape(F.col("x")).alias("x")).collect()
     assert [r.x for r in back] == [t for role, t in want[1] if role == "assistant"]
+    read = {r.conv_id: r.x for r in chats.select("conv_id", under_mask(F.col("formatted"), F.col("loss_spans")).alias("x")).collect()}
+    assert read == {c: "".join(t for role, t in want[c] if role == "assistant") for c in want}
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_query_reads_its_mask(spark, tmp_path, monkeypatch):
+    """With a mask that is off by one, the query's loss is off too: it reads the text under the mask and nothing else."""
+    from polyvane.llm import chat, queries
+
+    spark.createDataFrame([(1, 0, "user", "a#"), (1, 1, "assistant", "bc#d")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    digest = lambda: {r.conv_id: r.loss_sha256 for r in queries.op7_chat(spark, str(tmp_path)).collect()}
+    right = digest()
+    assert right[1] == hashlib.sha256(b"bc#d").hexdigest()
+    whole = chat.format_chats
+    monkeypatch.setattr(chat, "format_chats", lambda *a: whole(*a).withColumn("loss_spans", F.transform("loss_spans", lambda x: F.struct((x["start"] + 1).alias("start"), x["length"].alias("length")))))
+    assert all(right[k] != v for k, v in digest().items())
+
+
 def test_quality(spark, docs, none):
     from polyvane.llm.quality import Additive, fit_quality, score_quality
 
