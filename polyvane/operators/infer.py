@@ -19,8 +19,11 @@ TESTABLE = f"(n0 >= {LEAST} OR nr >= {LEAST})"
 
 
 def add_cells(plan: Plan, p: str = "", fields: tuple[str, ...] = C.FIELDS) -> None:
-    for kind, cast in (("real", "@DOUBLE(n)"), ("null", "@DOUBLE(n)")):
-        plan.add(**{f"{p}cells_{kind}": " UNION ALL ".join(f"SELECT '{f}' AS field, cell, {cast} AS n FROM {{{p if p == 'x_' and f not in SHARED else ''}{kind}_{f.lower()}}}" for f in fields)})
+    """Real cells of all fields in one grouped count, null cells, both joined, residuals. Desynchronised corpora share the fields of SHARED."""
+    own = lambda f: p if p == "x_" and f not in SHARED else ""
+    units = " UNION ALL ".join(f"SELECT '{f}' AS field, cell FROM {{{own(f)}units_{f.lower()}}}" for f in fields)
+    plan.add(**{f"{p}cells_real": f"SELECT field, cell, @DOUBLE(count(*)) AS n FROM ({units}) u GROUP BY field, cell",
+                f"{p}cells_null": " UNION ALL ".join(f"SELECT '{f}' AS field, cell, @DOUBLE(n) AS n FROM {{{own(f)}null_{f.lower()}}}" for f in fields)})
     plan.add(**{f"{p}joined": f"SELECT coalesce(r.field, n.field) AS field, coalesce(r.cell, n.cell) AS cell, coalesce(r.n, 0) AS nr, n.n AS null_n FROM {{{p}cells_real}} r FULL OUTER JOIN {{{p}cells_null}} n ON n.field = r.field AND n.cell = r.cell"})
     add_residuals(plan, f"{p}residuals", f"{p}joined")
 

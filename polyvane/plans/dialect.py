@@ -22,6 +22,10 @@ MACROS = {
     "ANY": ("bool_or({0})", "bool_or({0})"),
     "LATEST": ("last_value({0}) IGNORE NULLS", "last_value({0} IGNORE NULLS)"),
     "LISTED": ("listagg({0}, ',') WITHIN GROUP (ORDER BY {1})", "string_agg({0}, ',' ORDER BY {1})"),
+    # values of a group in an order; the value whose cumulated count is the first above a number; how many of its 32 low bits a number has set
+    "SORTED": ("transform(array_sort(collect_list(struct({1} AS o, {0} AS v))), x -> x.v)", "list({0} ORDER BY {1})"),
+    "PICK": ("element_at({0}, 1 + size(filter({1}, h -> h <= {2})))", "({0})[1 + len(list_filter({1}, lambda h: h <= {2}))]"),
+    "ONES": ("bit_count({0})", "bit_count(({0})::BIGINT)::INT"),
     "BITS": ("(SELECT {0}, posexplode(split({1}, '[|]')) AS (pos, bit) FROM {2})", "(SELECT {0}, unnest(string_split({1}, '|')) AS bit, generate_subscripts(string_split({1}, '|'), 1) - 1 AS pos FROM {2})"),
 }
 
@@ -63,7 +67,9 @@ class Plan:
     KEEP = ("notes", "raw_slices", "steps", "beats", "phrases", "moves", "held", "numbered", "residuals", "cells_real", "cells_null", "pitch_cat", "dp_cat",
             "discover_full", "discover_hard", "hits", "testable", "calibration_hard", "bits",
             "uniform_residuals", "independent_residuals", "u_testable", "i_testable", "u_hits", "i_hits", "method_auc", "paired",
-            "ladder_units", "ladder_cells", "placed")
+            "ladder_units", "ladder_cells", "placed", "draw_cats", "replay_cells", "sim_cells", "replay_residuals", "sim_z", "piece_counts", "r_hits", "r_testable")
+    #: Prefixes of the same relations over another corpus or part of it.
+    PREFIX = re.compile(r"^([txh]\d?_)+")
 
     def __init__(self):
         self.nodes: dict[str, str] = {}
@@ -83,7 +89,7 @@ class Plan:
         if name not in made:
             sql = expand(self.nodes[name], False)
             build = lambda: spark.sql(sql, **{x: self.frame(x, tables, spark, made) for x in self.inputs(sql)})
-            if name.removeprefix("x_") in self.KEEP:
+            if self.PREFIX.sub("", name) in self.KEEP:
                 key = (name, self.text(name), *(f.semanticHash() for _, f in sorted(tables.items())))
                 made[name] = shared(spark, key, lambda: write(spark, build(), name))
             else:

@@ -12,6 +12,7 @@ from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
 from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.paired import PAIRED_QUERIES, add_paired
 from polyvane.operators.polyphony import add_notes, add_slices
+from polyvane.operators.replay import add_draw_cats, add_piece_counts, add_replay, add_simulations
 from polyvane.operators.reconstruct import add_reconstruction, compliance, reconstruct
 from polyvane.operators.stats import add_stats
 from polyvane.operators.synthetic import truth_all
@@ -52,6 +53,12 @@ def build(**catalogue: bool) -> Plan:
     add_families(plan)
     add_circular(plan)
     add_reconstruction(plan)
+    add_draw_cats(plan)
+    add_replay(plan)
+    add_evaluation(plan, "replay_residuals", "r_")
+    add_discoveries(plan, "r_", "replay_residuals")
+    add_simulations(plan)
+    add_piece_counts(plan)
     return plan
 
 
@@ -61,6 +68,11 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            **{f"real_{f.lower()}": f"SELECT * FROM {{real_{f.lower()}}}" for f in C.FIELDS},
            **{f"null_{f.lower()}": f"SELECT cell, round(n, 6) AS n FROM {{null_{f.lower()}}}" for f in C.FIELDS},
            "residuals": "SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {residuals}",
+           **{f"replay_{f.lower()}": f"SELECT cell, cast(sum(n) AS bigint) AS n FROM {{replay_{f.lower()}}} GROUP BY cell" for f in C.FIELDS},
+           "real_counts": "SELECT * FROM {cells_real}", "null_counts": "SELECT field, cell, round(n, 6) AS n FROM {cells_null}", "piece_counts": "SELECT * FROM {piece_counts}",
+           "replay_residuals": "SELECT field, cell, nr, n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {replay_residuals}", "replay_atom_auc": "SELECT atom, cast(n_pos AS bigint) AS n_pos, cast(n_neg AS bigint) AS n_neg, round(auc, 6) AS auc FROM {r_atom_auc}",
+           "pvalues_empirical": "SELECT field, cell, z, round(p_low, 9) AS p_low, round(p_high, 9) AS p_high FROM {empirical}", "empirical_bh": "SELECT polarity, cast(approx AS bigint) AS approx, cast(empirical AS bigint) AS empirical, cast(both_kinds AS bigint) AS both_kinds, round(jaccard, 6) AS jaccard FROM {empirical_bh}",
+           "nominal_tails": "SELECT @DOUBLE(tail) AS tail, round(low, 6) AS low, round(high, 6) AS high, n FROM {nominal_tails}",
            "discover_hard": "SELECT * FROM {discover_hard}", "discover_full": "SELECT * FROM {discover_full}", "fixed_rules": "SELECT field, cell, kind, round(rho, 6) AS rho FROM {fixed_rules}",
            "rotated": "SELECT * FROM {rotated}", "rotated_metric": "SELECT * FROM {rotated_metric}", "rotated_phrase": "SELECT * FROM {rotated_phrase}", "permuted": "SELECT * FROM {permuted}", "recombined": "SELECT * FROM {recombined}",
            "calibration": "SELECT @DOUBLE(z_cut) AS z_cut, @DOUBLE(q) AS q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT @DOUBLE(soft_z) AS soft_z, cast(eligible AS bigint) AS eligible, cast(adds AS bigint) AS adds, round(frac, 6) AS frac FROM {soft_calibration}",
