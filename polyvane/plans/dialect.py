@@ -25,6 +25,7 @@ MACROS = {
     # values of a group in an order; the value whose cumulated count is the first above a number; how many of its 32 low bits a number has set
     "SORTED": ("transform(array_sort(collect_list(struct({1} AS o, {0} AS v))), x -> x.v)", "list({0} ORDER BY {1})"),
     "PICK": ("element_at({0}, 1 + size(filter({1}, h -> h <= {2})))", "({0})[1 + len(list_filter({1}, lambda h: h <= {2}))]"),
+    "GSUB": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "ONES": ("bit_count({0})", "bit_count(({0})::BIGINT)::INT"),
     "BITS": ("(SELECT {0}, posexplode(split({1}, '[|]')) AS (pos, bit) FROM {2})", "(SELECT {0}, unnest(string_split({1}, '|')) AS bit, generate_subscripts(string_split({1}, '|'), 1) - 1 AS pos FROM {2})"),
 }

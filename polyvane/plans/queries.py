@@ -6,6 +6,7 @@ from polyvane.functions import cells as C
 from polyvane.operators.baselines import add_baselines, fitted_nulls, log_linear, productive
 from polyvane.operators.counts import add_counts
 from polyvane.operators.evaluate import add_evaluation
+from polyvane.operators.export import EXPORT_QUERIES, add_export, add_noise, add_vocabularies
 from polyvane.operators.families import FAMILY_QUERIES, add_families
 from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_residuals, add_rules
 from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
@@ -59,6 +60,9 @@ def build(**catalogue: bool) -> Plan:
     add_discoveries(plan, "r_", "replay_residuals")
     add_simulations(plan)
     add_piece_counts(plan)
+    add_export(plan)
+    add_vocabularies(plan)
+    add_noise(plan)
     return plan
 
 
@@ -87,7 +91,7 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "markov_nll": "SELECT n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
            "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT n, round(kappa, 6) AS kappa FROM {kappa}",
            "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}",
-           **PAIRED_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
+           **PAIRED_QUERIES, **EXPORT_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
 
 
 def plan(**catalogue: bool) -> Plan:
