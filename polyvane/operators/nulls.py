@@ -26,20 +26,23 @@ def add_catalogues(plan: Plan, pooled: bool = False, swapped: bool = False) -> N
     pooled: one bag of pitches for all voices; swapped: S with B and A with T.
     """
     voice = "CASE voice WHEN 'S' THEN 'B' WHEN 'B' THEN 'S' WHEN 'A' THEN 'T' ELSE 'A' END" if swapped else "voice"
-    own = "SELECT voice, midi AS m, count(*) AS n FROM {notes} GROUP BY voice, midi"
+    own = "SELECT voice, midi AS m, count(*) AS n FROM {cat_notes} GROUP BY voice, midi"
     if pooled:
-        own = f"SELECT v.voice, m, n FROM (SELECT midi AS m, count(*) AS n FROM {{notes}} GROUP BY midi) b CROSS JOIN {values([(v,) for v in C.VOICES], 'v(voice)')}"
+        own = f"SELECT v.voice, m, n FROM (SELECT midi AS m, count(*) AS n FROM {{cat_notes}} GROUP BY midi) b CROSS JOIN {values([(v,) for v in C.VOICES], 'v(voice)')}"
     plan.add(
         pitch_cat=f"SELECT {voice} AS voice, m, n, sum(n) OVER (PARTITION BY voice) AS total, @DOUBLE(n) / sum(n) OVER (PARTITION BY voice) AS share, count(*) OVER (PARTITION BY voice) AS kinds FROM ({own}) c",
-        dp_cat=f"SELECT {voice} AS voice, d, n, @DOUBLE(n) / sum(n) OVER (PARTITION BY voice) AS share FROM (SELECT voice, next_midi - midi AS d, count(*) AS n FROM {{notes}} WHERE next_midi IS NOT NULL GROUP BY voice, next_midi - midi) c",
+        dp_cat=f"SELECT {voice} AS voice, d, n, @DOUBLE(n) / sum(n) OVER (PARTITION BY voice) AS share FROM (SELECT voice, next_midi - midi AS d, count(*) AS n FROM {{cat_notes}} WHERE next_midi IS NOT NULL GROUP BY voice, next_midi - midi) c",
     )
 
 
 def add_nulls(plan: Plan, p: str = "", rest: bool = True) -> None:
     r = lambda name: f"{{{p}{name}}}"
     pair, four = "concat(va, vb)", ["s.m", "a.m", "t.m", "b.m"]
-    cat = lambda v: f"(SELECT m, share FROM {{pitch_cat}} WHERE voice = '{v}')"
-    sonorities = f"{cat('S')} s CROSS JOIN {cat('A')} a CROSS JOIN {cat('T')} t CROSS JOIN {cat('B')} b"
+    # a cell reads pitch classes and, of the distance to the bass, its class: pitches of a voice that agree in both are one row with their shares together
+    bass = f"CROSS JOIN (SELECT m, share FROM {{pitch_cat}} WHERE voice = 'B') b"
+    upper = lambda v: f"""JOIN (SELECT b.m AS bass, min(x.m) AS m, sum(x.share) AS share FROM {{pitch_cat}} x JOIN {{pitch_cat}} b ON b.voice = 'B' WHERE x.voice = '{v}'
+        GROUP BY b.m, {C.pmod('x.m')}, abs(x.m - b.m) % 12) {v.lower()} ON {v.lower()}.bass = b.m"""
+    sonorities = f"{bass} {upper('S')} {upper('A')} {upper('T')}"
     share4 = "s.share * a.share * t.share * b.share"
     stepped = f"""(SELECT va, vb, role, a0 - b0 AS iv, count(*) AS n FROM {r('pairs')} GROUP BY va, vb, role, a0 - b0) u
         JOIN {{dp_cat}} x ON x.voice = u.va JOIN {{dp_cat}} y ON y.voice = u.vb"""
@@ -50,16 +53,25 @@ def add_nulls(plan: Plan, p: str = "", rest: bool = True) -> None:
     coarse = lambda a: f"substr({a}, 1, instr({a}, '|') - 1)"
     both = lambda a, b, slot: [f"concat({a}, '/to/', {b}, '|slot={slot}')", f"concat({coarse(a)}, '/to/', {coarse(b)}, '|slot={slot}')"]
     d_args = (["u." + x for x in NOW], ["u." + x for x in NEXT])
-    kept = ", ".join(f"c.{x}" for x in NOW + NEXT)
+    draw = lambda v, side: f"@PICK(p{v}_val; p{v}_hi; floor(@HASH32(concat_ws('|', 'K', piece, u, rep, {side}, '{v.upper()}')) * p{v}_n / 4294967296.0))"
+    eight = ", ".join(f"{draw(m[1], side)} AS {m}{side}" for side in (0, 1) for m in M)
+    # windows are told apart by no more than a cell reads: the outer notes, the other voices' pitch classes, and the flags
+    classes = ", ".join(f"{C.pmod('c.' + x)} AS {x}" for x in NOW + NEXT)
+
+    def alike(flags: str, source: str, where: str) -> str:
+        inner = f"SELECT c.voice, c.before, c.after, {classes}, {flags}{C.one('e.stays >= 4')} AS ped FROM {r(source)} c JOIN {r('pedals')} e ON e.piece = c.piece AND e.voice = c.voice {where}"
+        names = ", ".join(["voice", "before", "after", *NOW, *NEXT, *(["held", "hold_others"] if flags else []), "ped"])
+        return f"(SELECT {names}, count(*) AS n FROM ({inner}) w GROUP BY {names})"
+
     plan.add(**{
         f"{p}null_v": expect(f"SELECT {C.v_cell('x.d', 'y.d', 'u.iv', '(u.iv + x.d - y.d)', 'u.role')} AS cell, {K} * u.n * x.share * y.share AS n FROM {stepped}"),
         f"{p}null_o": expect(f"SELECT concat({pair}, '|ov=', {C.one('y.d > u.iv OR x.d < -u.iv')}) AS cell, {K} * u.n * x.share * y.share AS n FROM {stepped} WHERE u.role = 'adjacent'"),
         f"{p}null_h": expect(f"""SELECT {C.h_cell(pair, '(x.m - y.m)')} AS cell, {K} * u.n * x.share * y.share AS n FROM (SELECT greatest(count(*), 1) AS n FROM {r('slices')} WHERE {COMPLETE}) u
             CROSS JOIN {ADJACENT} JOIN {{pitch_cat}} x ON x.voice = p.va JOIN {{pitch_cat}} y ON y.voice = p.vb"""),
         f"{p}null_s": expect(f"""SELECT {C.s_cell(four, 'u.tonic')} AS cell, {K} * u.n * {share4} AS n FROM (SELECT tonic, sum(greatest(n, 1)) AS n FROM
-            (SELECT piece, tonic, sum({C.one(COMPLETE)}) AS n FROM {r('slices')} GROUP BY piece, tonic) q GROUP BY tonic) u CROSS JOIN {sonorities}"""),
+            (SELECT piece, tonic, sum({C.one(COMPLETE)}) AS n FROM {r('slices')} GROUP BY piece, tonic) q GROUP BY tonic) u {sonorities}"""),
         f"{p}null_u": expect(f"""SELECT {C.u_cell(four, 'u.tonic')} AS cell, {K} * u.n * {share4} AS n FROM (SELECT tonic, sum(greatest(n, 1)) AS n FROM
-            (SELECT t.piece, t.tonic, count(b.i) AS n FROM {{tonic}} t LEFT JOIN {r('beats')} b ON b.piece = t.piece GROUP BY t.piece, t.tonic) q GROUP BY tonic) u CROSS JOIN {sonorities}"""),
+            (SELECT t.piece, t.tonic, count(b.i) AS n FROM {{tonic}} t LEFT JOIN {r('beats')} b ON b.piece = t.piece GROUP BY t.piece, t.tonic) q GROUP BY tonic) u {sonorities}"""),
         f"{p}null_m": expect(f"SELECT concat('out=', {C.one('u.voice IN (' + repr('S') + ', ' + repr('B') + ')')}, '|lt=', u.lt, '|b7=', u.b7, '|mv=', {C.move('(x.m - u.m0)')}) AS cell, {K} * u.n * x.share / ({left}) AS n FROM {changes}"),
         f"{p}null_g": expect(f"SELECT {C.g_cell('(x.m - u.m0)')} AS cell, {K} * u.n * x.share / ({left}) AS n FROM {changes}"),
         f"{p}null_p": expect(f"SELECT cell, {2 * K} * @DOUBLE(n) / sum(n) OVER (PARTITION BY piece) AS n FROM (SELECT piece, {C.p_cell('db', 'ds')} AS cell, count(*) AS n FROM {r('slices')} WHERE {COMPLETE} GROUP BY piece, {C.p_cell('db', 'ds')}) q"),
@@ -70,10 +82,10 @@ def add_nulls(plan: Plan, p: str = "", rest: bool = True) -> None:
         f"{p}k_rate": f"SELECT piece, avg(@DOUBLE({C.one(chr(115) + 'lot = ' + repr('fin'))})) AS fin, count(*) AS moves FROM {r('moves')} GROUP BY piece",
         f"{p}null_j": expect(" UNION ALL ".join(f"SELECT {cell} AS cell, {K} * {w} AS n FROM {r('moves')} m JOIN {r('k_rate')} r ON r.piece = m.piece WHERE {w} > 0"
                                                 for slot, w in (("fin", "r.fin"), ("int", "(1 - r.fin)")) for cell in both("m.k0", "m.k", slot))),
-        f"{p}null_d": expect(f"""SELECT {C.d_cell('u.before', 'x.m', 'u.after', *d_args, 'u.held = 1', 'u.hold_others = 1', 'u.ped = 1', 0)} AS cell, {K} * x.share / ({left}) AS n FROM
-            {redrawn(f"(SELECT c.voice, c.before, c.after, {kept}, c.held, c.hold_others, {C.one('e.stays >= 4')} AS ped FROM {r('changed')} c JOIN {r('pedals')} e ON e.piece = c.piece AND e.voice = c.voice WHERE c.before IS NOT NULL AND c.after IS NOT NULL)", 'u.before')}
-            UNION ALL SELECT {C.d_cell('u.before', 'x.m', 'u.after', *d_args, '1 = 1', '1 = 0', 'u.ped = 1', 1)} AS cell, {K} * x.share AS n FROM
-            (SELECT c.voice, c.before, c.after, {kept}, {C.one('e.stays >= 4')} AS ped FROM {r('overheld')} c JOIN {r('pedals')} e ON e.piece = c.piece AND e.voice = c.voice) u JOIN {{pitch_cat}} x ON x.voice = u.voice"""),
+        f"{p}null_d": expect(f"""SELECT {C.d_cell('u.before', 'x.m', 'u.after', *d_args, 'u.held = 1', 'u.hold_others = 1', 'u.ped = 1', 0)} AS cell, {K} * u.n * x.share / ({left}) AS n FROM
+            {redrawn(alike("c.held, c.hold_others, ", 'changed', "WHERE c.before IS NOT NULL AND c.after IS NOT NULL"), 'u.before')}
+            UNION ALL SELECT {C.d_cell('u.before', 'x.m', 'u.after', *d_args, '1 = 1', '1 = 0', 'u.ped = 1', 1)} AS cell, {K} * u.n * x.share AS n FROM
+            {alike("", 'overheld', "")} u JOIN {{pitch_cat}} x ON x.voice = u.voice"""),
         f"{p}null_f": expect(f"""SELECT concat('kind=L|bars=', v.bars) AS cell, {K} * q.n / 3.0 AS n FROM (SELECT piece, count(*) AS n FROM {r('phrases')} WHERE piece IN (SELECT piece FROM {r('beats')}) GROUP BY piece) q CROSS JOIN {values([(1,), (3,), (5,)], 'v(bars)')}
             UNION ALL SELECT concat('kind=S|slot=', s.slot, '|b=', s.b) AS cell, {K} * (CASE s.slot WHEN 'fin' THEN 1.0 ELSE q.n - 1.0 END) * s.n / s.total AS n FROM
             (SELECT piece, slot, b, n, sum(n) OVER (PARTITION BY piece, slot) AS total FROM
@@ -81,16 +93,10 @@ def add_nulls(plan: Plan, p: str = "", rest: bool = True) -> None:
               (SELECT piece, {C.bucket('db')} AS b, count(*) AS n FROM {r('beats')} GROUP BY piece, {C.bucket('db')}) h CROSS JOIN {values([('fin', '0'), ('int', '7')], 'f(slot, stop)')}) g WHERE others = 0 OR b <> stop) s
             JOIN (SELECT piece, count(*) AS n FROM {r('phrases')} GROUP BY piece) q ON q.piece = s.piece WHERE s.slot = 'fin' OR q.n > 1"""),
         f"{p}k_units": f"SELECT t.piece, t.tonic, greatest(coalesce(max(r.moves), 0), 1) AS units, coalesce(max(r.fin), 0.5) AS fin FROM {{tonic}} t LEFT JOIN {r('k_rate')} r ON r.piece = t.piece GROUP BY t.piece, t.tonic",
-        # sampled: for each unit and replay, two sonorities of four hashed draws each, and a hashed slot
-        f"{p}k_draws": f"""SELECT piece, u, rep, tonic, fin, side, max(CASE WHEN voice = 'S' THEN m END) AS ms, max(CASE WHEN voice = 'A' THEN m END) AS ma, max(CASE WHEN voice = 'T' THEN m END) AS mt, max(CASE WHEN voice = 'B' THEN m END) AS mb FROM
-            (SELECT d.piece, d.u, d.rep, d.tonic, d.fin, d.side, d.voice, c.m FROM
-             (SELECT q.piece, q.tonic, q.fin, g.i AS u, h.rep, s.side, c.voice, floor(@HASH32(concat_ws('|', 'K', q.piece, g.i, h.rep, s.side, c.voice)) * c.total / 4294967296.0) AS x
-              FROM {r('k_units')} q JOIN {values([(k,) for k in range(SLOTS)], 'g(i)')} ON g.i < q.units CROSS JOIN {values([(k,) for k in range(K)], 'h(rep)')} CROSS JOIN {values([(0,), (1,)], 's(side)')}
-              CROSS JOIN (SELECT DISTINCT voice, total FROM {{pitch_cat}}) c) d
-             JOIN (SELECT voice, m, sum(n) OVER (PARTITION BY voice ORDER BY m) AS hi, sum(n) OVER (PARTITION BY voice ORDER BY m) - n AS lo FROM {{pitch_cat}}) c ON c.voice = d.voice AND d.x >= c.lo AND d.x < c.hi) e
-            GROUP BY piece, u, rep, tonic, fin, side""",
-        f"{p}k_sampled": f"""SELECT max(CASE WHEN side = 0 THEN k END) AS k0, max(CASE WHEN side = 1 THEN k END) AS k, CASE WHEN @HASH32(concat_ws('|', 'Kslot', piece, u, rep)) / 4294967296.0 < fin THEN 'fin' ELSE 'int' END AS slot
-            FROM (SELECT piece, u, rep, fin, side, {C.k_token(M, 'tonic')} AS k FROM {r('k_draws')}) d GROUP BY piece, u, rep, fin""",
+        # sampled: for each unit and replay, two sonorities of four hashed draws each as columns, and a hashed slot
+        f"{p}k_sampled": f"""SELECT {C.k_token([m + '0' for m in M], 'tonic')} AS k0, {C.k_token([m + '1' for m in M], 'tonic')} AS k, CASE WHEN @HASH32(concat_ws('|', 'Kslot', piece, u, rep)) / 4294967296.0 < fin THEN 'fin' ELSE 'int' END AS slot FROM
+            (SELECT piece, u, rep, tonic, fin, {eight} FROM (SELECT q.piece, q.tonic, q.fin, g.i AS u, h.rep FROM {r('k_units')} q JOIN {values([(k,) for k in range(SLOTS)], 'g(i)')} ON g.i < q.units
+             CROSS JOIN {values([(k,) for k in range(K)], 'h(rep)')}) w CROSS JOIN {{draw_cats}} c) d""",
         f"{p}null_k": f"SELECT cell, @DOUBLE(count(*)) AS n FROM (SELECT concat(k0, '/to/', k, '|slot=', slot) AS cell FROM {r('k_sampled')} UNION ALL SELECT concat({coarse('k0')}, '/to/', {coarse('k')}, '|slot=', slot) AS cell FROM {r('k_sampled')}) s GROUP BY cell",
     })
     if rest:

@@ -31,14 +31,27 @@ def pick(v: str, suffix: str = "") -> str:
     return C.by_voice(v, f"m%s{suffix}")
 
 
-def add_notes(plan: Plan) -> None:
+#: Share of the pieces, in hundredths, that are fitted on; the others are held out.
+TRAIN = 40
+
+
+def split_of(piece: str, seed: int = 0) -> str:
+    """'train' or 'hold', by hash: a piece's side depends on nothing but the piece."""
+    return f"CASE WHEN @HASH32(concat_ws('|', 'split{seed}', {piece})) % 100 < {TRAIN} THEN 'train' ELSE 'hold' END"
+
+
+def add_notes(plan: Plan, part: str | None = None, catalogue: str | None = None) -> None:
+    """notes, tonic and slices of all pieces or of one side of the split; ``cat_notes`` are the notes that catalogues are made of."""
     voice = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{v}'" for v, e, _ in VOICE_EVENTS) + " END"
     base = "CASE event_type " + " ".join(f"WHEN '{e}' THEN {b}" for _, e, b in VOICE_EVENTS) + " END"
     plan.add(
         snapped=f"""SELECT user_id AS piece, {voice} AS voice, cast(ceil(@HOURS(ts) / 24) AS int) AS i,
             cast({base} + cast(round(value * 100) AS bigint) % 20 AS int) AS midi, ts, event_id
             FROM {{events}} WHERE event_type IN ({', '.join(f"'{e}'" for _, e, _ in VOICE_EVENTS)}) AND user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL""",
-        notes=f"""SELECT piece, voice, i, coalesce(lead(i) OVER (PARTITION BY piece, voice ORDER BY i), {SLOTS}) AS stop, midi,
+        splits=f"SELECT piece, {split_of('piece')} AS set_name FROM (SELECT DISTINCT piece FROM {{every_note}}) p",
+        notes="SELECT * FROM {every_note}" + (f" WHERE {split_of('piece')} = '{part}'" if part else ""),
+        cat_notes="SELECT * FROM {every_note}" + (f" WHERE {split_of('piece')} = '{catalogue or part}'" if catalogue or part else ""),
+        every_note=f"""SELECT piece, voice, i, coalesce(lead(i) OVER (PARTITION BY piece, voice ORDER BY i), {SLOTS}) AS stop, midi,
             lead(midi) OVER (PARTITION BY piece, voice ORDER BY i) AS next_midi, lead(i) OVER (PARTITION BY piece, voice ORDER BY i) AS next_i
             FROM (SELECT *, row_number() OVER (PARTITION BY piece, voice, i ORDER BY ts DESC, event_id DESC) AS r FROM {{snapped}} WHERE i >= 0 AND i < {SLOTS}) s WHERE r = 1""",
         # key finding: twelve rotations of two profiles against the pitch-class histogram

@@ -79,6 +79,13 @@ class Plan:
         self.nodes.update(nodes)
         return self
 
+    def renamed(self, prefix: str) -> Plan:
+        """The same relations under names that begin with prefix, over the same tables."""
+        def swap(sql: str) -> str:
+            return re.sub(r"\{(\w+)\}", lambda m: f"{{{prefix}{m[1]}}}" if m[1] in self.nodes else m[0], sql)
+
+        return Plan().add(**{f"{prefix}{k}": swap(v) for k, v in self.nodes.items()})
+
     @staticmethod
     def inputs(sql: str) -> list[str]:
         return list(dict.fromkeys(re.findall(r"\{(\w+)\}", re.sub(r"\{\d+\}", "", sql))))

@@ -23,17 +23,18 @@ from polyvane.plans.dialect import Plan
 TABLES = ("events", "conversations", "labels")
 
 
-#: Catalogues other than each voice's own, and the queries that are also registered over them.
-VARIANTS = {"pooled": {"pooled": True}, "swapped": {"swapped": True}}
-VARIED = ("residuals", "discover_hard", "atom_auc")
+#: Other catalogues than each voice's own, and parts of the corpus: fitted on the training pieces and counted on those held out.
+VARIANTS = {"pooled": {"pooled": True}, "swapped": {"swapped": True}, "holdout": {"part": "hold", "catalogue": "train"}}
+#: The queries that are also registered over each of them.
+VARIED = {"pooled": ("residuals", "discover_hard", "atom_auc"), "swapped": ("residuals", "discover_hard", "atom_auc"), "holdout": ("residuals", "discover_full", "atom_auc", "completeness", "enrichment")}
 
 
-def build(**catalogue: bool) -> Plan:
+def build(part: str | None = None, catalogue: str | None = None, **kind: bool) -> Plan:
     plan = Plan()
-    add_notes(plan)
+    add_notes(plan, part, catalogue)
     add_slices(plan)
     add_counts(plan)
-    add_catalogues(plan, **catalogue)
+    add_catalogues(plan, **kind)
     add_nulls(plan)
     add_cells(plan)
     add_discoveries(plan)
@@ -67,7 +68,7 @@ def build(**catalogue: bool) -> Plan:
 
 
 QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic": "SELECT * FROM {tonic}", "slices": "SELECT * FROM {slices}", "pair_steps": "SELECT * FROM {pair_steps}",
-           "phrases": "SELECT * FROM {phrases}",
+           "phrases": "SELECT * FROM {phrases}", "splits": "SELECT * FROM {splits}",
            "catalogue_pitch": "SELECT voice, m, n, round(share, 9) AS share FROM {pitch_cat}", "catalogue_steps": "SELECT voice, d, n, round(share, 9) AS share FROM {dp_cat}",
            **{f"real_{f.lower()}": f"SELECT * FROM {{real_{f.lower()}}}" for f in C.FIELDS},
            **{f"null_{f.lower()}": f"SELECT cell, round(n, 6) AS n FROM {{null_{f.lower()}}}" for f in C.FIELDS},
@@ -94,14 +95,22 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            **PAIRED_QUERIES, **EXPORT_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
 
 
-def plan(**catalogue: bool) -> Plan:
-    p = build(**catalogue)
+def plan(**variant) -> Plan:
+    p = build(**variant)
     return p.add(**{f"query_{k}": v for k, v in QUERIES.items()})
 
 
-def _named() -> dict[str, tuple[str, dict[str, bool]]]:
-    """Registered name -> query, catalogue."""
-    return {k: (k, {}) for k in QUERIES} | {f"{v}_{k}": (k, catalogue) for v, catalogue in VARIANTS.items() for k in VARIED}
+def confirmation() -> Plan:
+    """Rules found on the training pieces that keep their sign on the pieces held out, against the training pieces' catalogues."""
+    both = Plan()
+    both.nodes = build(part="train").renamed("t_").nodes | build(part="hold", catalogue="train").renamed("h_").nodes
+    return both.add(query_confirmed="""SELECT t.field, t.cell, t.kind, round(t.rho, 6) AS rho, round(h.rho, 6) AS hold_rho FROM {t_fixed_rules} t JOIN {h_residuals} h ON h.field = t.field AND h.cell = t.cell
+        WHERE t.kind = 'forbid' AND round(h.rho, 9) < 0 OR t.kind = 'prefer' AND round(h.rho, 9) > 0""")
+
+
+def _named() -> dict[str, tuple[str, dict]]:
+    """Registered name -> query, variant."""
+    return {k: (k, {}) for k in QUERIES} | {f"{v}_{k}": (k, variant) for v, variant in VARIANTS.items() for k in VARIED[v]}
 
 
 def _fitted(model):
@@ -129,15 +138,16 @@ def _reconstructed(measured: bool):
 
 
 def queries() -> dict:
-    def make(name, catalogue):
+    def make(name, built):
         def run(spark, sf_dir):
             tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-            return plan(**catalogue).frame(f"query_{name}", tables, spark)
+            return built().frame(f"query_{name}", tables, spark)
 
         return run
 
-    return {k: make(*v) for k, v in _named().items()} | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear),
-                                                             "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True)}
+    known = {k: make(name, lambda variant=variant: plan(**variant)) for k, (name, variant) in _named().items()} | {"confirmed": make("confirmed", confirmation)}
+    return known | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear),
+                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True)}
 
 
 def flagship(spark, sf_dir: str):
@@ -145,5 +155,5 @@ def flagship(spark, sf_dir: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    plans = {v: plan(**catalogue) for v, catalogue in VARIANTS.items()} | {"": plan()}
-    return {k: plans[k.split("_")[0] if catalogue else ""].duck(f"query_{name}") for k, (name, catalogue) in _named().items()}
+    plans = {v: plan(**variant) for v, variant in VARIANTS.items()} | {"": plan()}
+    return {k: plans[k.split("_")[0] if variant else ""].duck(f"query_{name}") for k, (name, variant) in _named().items()} | {"confirmed": confirmation().duck("query_confirmed")}
