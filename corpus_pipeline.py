@@ -1,8 +1,11 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 The first four keep the columns of documents and drop rows; the last gives the mix over what is left. Between stages the rows are written
-as Parquet and read again. No stage shortens a text or skips a row. A row whose doc_id is null can't be scored against labels but is
-filtered like any other; empty tables pass through.
+as Parquet and read again, and what an operator left in the shared folder is deleted. No stage shortens a text or skips a row.
+
+Defined cases: a row whose doc_id is null isn't learnt from but filtered like any other, and stays in the near-duplicate stage; a null text
+counts as empty; of rows that repeat id and text one stays; columns of any other name are carried along; empty tables give empty results of
+the same columns.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from polyvane.llm.exact import exact_dedup
 from polyvane.llm.minhash import remove_near_duplicates
 from polyvane.llm.mixing import mix
 from polyvane.llm.quality import fit_quality, keep_quality
-from polyvane.llm.work import Work
+from polyvane.llm.work import Work, scope
 
 #: Documents that score less are rejected.
 QUALITY = 0.5
@@ -53,14 +56,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mix", mix_stage),
 ]
 
-#: The classifier has no SQL; tests hold the pipeline against a brute-force version.
+#: The classifier has no SQL; tests hold each stage and the whole against plain Python, the classifier against its own scores.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, docs = Work(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = work.table(stage(spark, docs, sf_dir), name)
         if k:
             work.drop(STAGES[k - 1][0])
     return docs
