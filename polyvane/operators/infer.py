@@ -12,7 +12,8 @@ from polyvane.plans.dialect import Plan
 
 SHARED = ("R", "W")  # fields over notes and pair steps, which desynchronisation doesn't touch
 COUPLED = ("V", "H", "O", "M", "G", "S")
-EMPTY_LAMBDA = 2.995732273553991  # -ln 0.05
+#: Fixed value: -ln 0.05.
+EMPTY_LAMBDA = 2.995732273553991
 SPARSE = ", ".join(f"'{f}'" for f in C.SPARSE)
 LEAST = f"CASE WHEN field IN ({SPARSE}) THEN 3 ELSE 12 END"
 TESTABLE = f"(n0 >= {LEAST} OR nr >= {LEAST})"
@@ -73,10 +74,14 @@ def bass() -> str:
     return "field IN ('K', 'J') AND instr(cell, 'set=') = 0 AND instr(cell, '/to/') > 0 AND nr <= 5 AND n0 >= 24"
 
 
-def add_calibration(plan: Plan, source: str = "x_residuals") -> None:
-    """Thresholds from a desynchronised corpus: all 24 grid points in one pass, then the loosest soft threshold."""
+#: Calibration grids.
+Z_GRID, Q_GRID, SOFT_GRID = (2.5, 3.0, 3.5, 4.0, 4.5, 5.0), (0.05, 0.08, 0.12, 0.2), tuple(-1 - k / 4 for k in range(9))
+
+
+def add_calibration(plan: Plan, source: str = "x_residuals", seeds: tuple[str, ...] = ("x_", "x1_", "x2_")) -> None:
+    """Thresholds from a desynchronised corpus: all 24 grid points in one pass, then the loosest soft threshold, over three such corpora."""
     coupled = ", ".join(f"'{f}'" for f in COUPLED)
-    grid = values([(z, q) for z in (2.5, 3.0, 3.5, 4.0, 4.5, 5.0) for q in (0.05, 0.08, 0.12, 0.2)], "g(z_cut, q)")
+    grid = values([(z, q) for z in Z_GRID for q in Q_GRID], "g(z_cut, q)")
     nd = need("z_cut")
     low = f"greatest({C.normal_cdf('z')}, 0.000000000000001)"
     tested = f"SELECT g.z_cut, g.q, r.field, r.cell, r.nr, r.n0, r.z, {low} AS p FROM {{{source}}} r CROSS JOIN {grid} WHERE {TESTABLE.replace('field', 'r.field')} AND r.z <= -{nd} * 0.5"
@@ -89,14 +94,20 @@ def add_calibration(plan: Plan, source: str = "x_residuals") -> None:
              (SELECT g.z_cut, g.q, n_false, @DOUBLE(n_false) / cells AS frac, abs(@DOUBLE(n_false) / cells - 0.03) + 0.001 * g.z_cut AS score FROM
               (SELECT g.z_cut, g.q, count(h.cell) AS n_false FROM {grid} LEFT JOIN {{calibration_hard}} h ON h.z_cut = g.z_cut AND h.q = g.q GROUP BY g.z_cut, g.q) g
               CROSS JOIN (SELECT greatest(count(*), 1) AS cells FROM {{{source}}} WHERE field IN ({coupled})) c) s) t""",
-        soft_calibration=f"""SELECT soft_z, eligible, adds, @DOUBLE(adds) / greatest(eligible, 1) AS frac FROM
-            (SELECT g.soft_z, sum({C.one('r.n0 >= 24')}) AS eligible, sum({C.one(f'{bass()} AND r.rho <= g.soft_z AND r.z <= g.soft_z AND h.cell IS NULL')}) AS adds FROM
-             (SELECT * FROM {{{source}}} WHERE field IN ('K', 'J') AND instr(cell, 'set=') = 0 AND instr(cell, '/to/') > 0) r
-             LEFT JOIN (SELECT field AS hf, cell FROM {{x_discover_hard}} WHERE polarity = 'under') h ON h.hf = r.field AND h.cell = r.cell
-             CROSS JOIN {values([(-1 - k / 4,) for k in range(9)], 'g(soft_z)')} GROUP BY g.soft_z) s""".replace(bass(), bass().replace("cell", "r.cell")),
+        soft_calibration=f"""SELECT soft_z, sum(eligible) AS eligible, sum(adds) AS adds, avg(@DOUBLE(adds) / greatest(eligible, 1)) AS frac FROM ({' UNION ALL '.join(_soft(x) for x in seeds)}) s GROUP BY soft_z""",
+        soft_chosen="SELECT max(soft_z) AS soft_z FROM {soft_calibration} WHERE frac <= 0.05",
     )
 
 
+def _soft(p: str) -> str:
+    """What each soft threshold adds to the hard prohibitions of one desynchronised corpus."""
+    rare = bass().replace("cell", "r.cell")
+    return f"""SELECT g.soft_z, sum({C.one('r.n0 >= 24')}) AS eligible, sum({C.one(f'{rare} AND r.rho <= g.soft_z AND r.z <= g.soft_z AND h.cell IS NULL')}) AS adds FROM
+        (SELECT * FROM {{{p}residuals}} WHERE field IN ('K', 'J') AND instr(cell, 'set=') = 0 AND instr(cell, '/to/') > 0) r
+        LEFT JOIN (SELECT field AS hf, cell FROM {{{p}discover_hard}} WHERE polarity = 'under') h ON h.hf = r.field AND h.cell = r.cell
+        CROSS JOIN {values([(z,) for z in SOFT_GRID], 'g(soft_z)')} GROUP BY g.soft_z"""
+
+
 def add_rules(plan: Plan) -> None:
     """Fixed-threshold rules and their type against the desynchronised corpus."""
     category = "CASE WHEN r.field IN ('M', 'G', 'D', 'P', 'Q') THEN 'within' WHEN s * r.z <= 0 THEN 'none' WHEN s * coalesce(x.z, 0) < 0.5 * s * r.z THEN 'typeI' ELSE 'typeII' END"
@@ -106,10 +117,8 @@ def add_rules(plan: Plan) -> None:
             (SELECT *, CASE polarity WHEN 'under' THEN -1 ELSE 1 END AS s FROM {{discover_full}}) d JOIN {{residuals}} r ON r.field = d.field AND r.cell = d.cell
             LEFT JOIN {{x_residuals}} x ON x.field = d.field AND x.cell = d.cell""",
         admission="""SELECT field, cell, polarity, CASE WHEN by_bh = 1 OR by_z = 1 THEN 'threshold' WHEN by_empty = 1 THEN 'empty' WHEN by_absent = 1 THEN 'absent' WHEN by_bass = 1 THEN 'bass' ELSE 'sparse' END AS rule FROM {discover_full}""",
-        # a discovered prohibition is run over the slices of every piece again: where it is broken
+        # a discovered prohibition is run over the windows of every piece again, or, where its field has none, over the piece's cells: where it is broken
         prohibitions=f"""SELECT v.field, v.cell, count(*) AS broken, count(DISTINCT v.piece) AS pieces FROM
-            (SELECT 'V' AS field, piece, i, {C.v_cell('(a - a0)', '(b - b0)', '(a0 - b0)', '(a - b)', 'role')} AS cell FROM {{pairs}}
-             UNION ALL SELECT 'O', piece, i, {C.o_cell('concat(va, vb)', 'a0', 'b0', 'a', 'b')} FROM {{pairs}} WHERE role = 'adjacent'
-             UNION ALL SELECT 'M', piece, i, {C.m_cell('voice', 'd0', '(m - m0)')} FROM {{changes}} UNION ALL SELECT 'G', piece, i, {C.g_cell('(m - m0)')} FROM {{changes}}) v
+            (SELECT field, piece, cell FROM {{local_cells}} UNION ALL {' UNION ALL '.join(f"SELECT '{f}', piece, cell FROM {{units_{f.lower()}}}" for f in ('P', 'Q', 'K', 'J', 'R', 'W', 'F'))}) v
             JOIN (SELECT field, cell FROM {{discover_full}} WHERE polarity = 'under') d ON d.field = v.field AND d.cell = v.cell GROUP BY v.field, v.cell""",
     )

@@ -52,6 +52,17 @@ def _pick(table: tuple | None, low: int, high: int, least: int, u: float) -> int
     return int(table[0][inside][np.searchsorted(total, u * total[-1], side="right")]) if len(total) else None
 
 
+class NoStep(ValueError):
+    """No state, however wide, has a value within the voice's range."""
+
+
+def _first(found, voice: str, state: str) -> int:
+    for x in found:
+        if x is not None:
+            return x
+    raise NoStep(f"voice {voice} has no value within its range after {state}")
+
+
 def reconstruct(placed: DataFrame, starts: DataFrame, steps: DataFrame, ranges: DataFrame, copies: int = 1, seed: int = 0) -> DataFrame:
     """(piece, voice, copy, i, stop, midi): notes of the same onsets and ends with drawn pitches."""
     first, then, bounds = _table(starts), _table(steps), {r.voice: (r.lo, r.hi) for r in ranges.collect()}
@@ -67,12 +78,12 @@ def reconstruct(placed: DataFrame, starts: DataFrame, steps: DataFrame, ranges:
                 u = rng.random()
                 if r.first:
                     found = [_pick(first.get((voice, s)), lo - tonic, hi - tonic, least, u) for s, least in ((mode, LEAST), ("*", 0))]
-                    now = tonic + next(x for x in found if x is not None)
+                    now = tonic + _first(found, voice, mode)
                 else:
                     degree = (now - tonic) % 12
                     states = (f"full.{mode}.{degree}.{r.metre}.{r.place}", f"metre.{mode}.{degree}.{r.metre}", f"degree.{mode}.{degree}", "any")
                     found = (_pick(then.get((voice, s)), lo - now, hi - now, 0 if s == "any" else LEAST, u) for s in states)
-                    now += next(x for x in found if x is not None)
+                    now += _first(found, voice, states[0])
                 out.append((r.piece, voice, copy, r.i, r.stop, now))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 

@@ -32,7 +32,7 @@ def add_desync(plan: Plan, seed: int = 0) -> None:
     agree = " UNION ALL ".join(f"SELECT {s} AS shift, {sum(k % 8 == (k + s) % SLOTS % 8 for k in range(SLOTS)) / SLOTS} AS agree" for s in range(1, SLOTS))
     source = "CASE r WHEN 1 THEN 'S' WHEN 2 THEN 'A' WHEN 3 THEN 'T' ELSE 'B' END"
     plan.add(
-        rotated=_gather(f"SELECT piece, {back(free('1 + ' + draw(f'rot{seed}', str(SLOTS - 1), 'piece', 'voice')))} AS i, voice, m FROM ({voiced}) s"),
+        **{name: _gather(f"SELECT piece, {back(free('1 + ' + draw(f'rot{k}', str(SLOTS - 1), 'piece', 'voice')))} AS i, voice, m FROM ({voiced}) s") for name, k in (("rotated", seed), ("rotated1", seed + 1), ("rotated2", seed + 2))},
         # shifts that keep the bar positions aligned in nine of ten slices, or else the five that do so best
         metric_shifts=f"SELECT shift, row_number() OVER (ORDER BY shift) - 1 AS k, count(*) OVER () AS n FROM (SELECT *, row_number() OVER (ORDER BY agree DESC, shift) AS r, max(agree) OVER () AS best FROM ({agree}) a) b WHERE agree >= 0.9 OR best < 0.9 AND r <= 5",
         rotated_metric=_gather(f"""SELECT piece, {back(free('shift'))} AS i, voice, m FROM ({voiced}) s JOIN {{metric_shifts}} c ON c.k = {draw(f'metric{seed}', 'c.n', 'piece', 'voice')}"""),

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyvane.plans.scratch import shared, write
+from polyvane.plans.scratch import shared, state, write
 
 #: Macro -> (Spark, DuckDB); {0}, {1} are its arguments.
 MACROS = {
@@ -98,7 +98,9 @@ class Plan:
             sql = expand(self.nodes[name], False)
             build = lambda: spark.sql(sql, **{x: self.frame(x, tables, spark, made) for x in self.inputs(sql)})
             if self.PREFIX.sub("", name) in self.KEEP:
-                key = (name, self.text(name), *(f.semanticHash() for _, f in sorted(tables.items())))
+                if "" not in made:  # once a query
+                    made[""] = (*(f.semanticHash() for _, f in sorted(tables.items())), state(spark, tables))
+                key = (name, self.text(name), made[""])
                 made[name] = shared(spark, key, lambda: write(spark, build(), name))
             else:
                 made[name] = build()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from polyvane.functions import cells as C
 from polyvane.operators.baselines import add_baselines, fitted_nulls, log_linear, productive
 from polyvane.operators.counts import add_counts
-from polyvane.operators.evaluate import add_evaluation
+from polyvane.operators.evaluate import PREDICATES, add_evaluation
 from polyvane.operators.export import EXPORT_QUERIES, add_export, add_noise, add_vocabularies
 from polyvane.operators.families import FAMILY_QUERIES, add_families
 from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_residuals, add_rules
@@ -16,6 +16,7 @@ from polyvane.operators.polyphony import add_notes, add_slices
 from polyvane.operators.replay import add_draw_cats, add_piece_counts, add_replay, add_simulations
 from polyvane.operators.reconstruct import add_reconstruction, compliance, reconstruct
 from polyvane.operators.stats import add_stats
+from polyvane.operators.resample import DRAWS, half_samples, intervals
 from polyvane.operators.synthetic import truth_all
 from polyvane.operators.transform import add_circular, add_desync
 from polyvane.plans.dialect import Plan
@@ -39,11 +40,12 @@ def build(part: str | None = None, catalogue: str | None = None, **kind: bool) -
     add_cells(plan)
     add_discoveries(plan)
     add_desync(plan)
-    add_slices(plan, "x_", "rotated")
-    add_counts(plan, "x_", rest=False)
-    add_nulls(plan, "x_", rest=False)
-    add_cells(plan, "x_")
-    add_discoveries(plan, "x_", "x_residuals", soft_z=None)
+    for p, source in (("x_", "rotated"), ("x1_", "rotated1"), ("x2_", "rotated2")):
+        add_slices(plan, p, source)
+        add_counts(plan, p, rest=False)
+        add_nulls(plan, p, rest=False)
+        add_cells(plan, p)
+        add_discoveries(plan, p, f"{p}residuals", soft_z=None)
     add_calibration(plan)
     add_rules(plan)
     add_cells(plan, "v_", ("V",))
@@ -57,13 +59,18 @@ def build(part: str | None = None, catalogue: str | None = None, **kind: bool) -
     add_reconstruction(plan)
     add_draw_cats(plan)
     add_replay(plan)
+    add_replay(plan, p="x_")
     add_evaluation(plan, "replay_residuals", "r_")
     add_discoveries(plan, "r_", "replay_residuals")
     add_simulations(plan)
     add_piece_counts(plan)
+    add_piece_counts(plan, "x_")
     add_export(plan)
     add_vocabularies(plan)
     add_noise(plan)
+    # the atoms' cells among those of the desynchronised corpus
+    shifted = "(SELECT DISTINCT field, cell FROM {x_piece_counts}) c"
+    plan.add(x_hits=" UNION ALL ".join(f"SELECT '{a}' AS atom, field, cell FROM {shifted} WHERE field = '{f}' AND ({where})" for a, f, _, where in PREDICATES))
     return plan
 
 
@@ -84,14 +91,18 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "attribution": "SELECT field, cell, polarity, type, round(z_real, 6) AS z_real, round(z_desync, 6) AS z_desync FROM {attribution}", "admission": "SELECT * FROM {admission}", "prohibitions": "SELECT * FROM {prohibitions}",
            "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "circular_null": "SELECT field, cell, nr, n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {circular_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
            "atom_auc": "SELECT atom, cast(n_pos AS bigint) AS n_pos, cast(n_neg AS bigint) AS n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
+           "atom_cells": "SELECT * FROM {hits}",
            "enrichment": "SELECT polarity, cast(n_found AS bigint) AS n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
            "random_discovery": "SELECT draw, round(completeness, 6) AS completeness FROM {random_discovery}", "empty_false": "SELECT n, cast(uncovered AS bigint) AS uncovered FROM {empty_false}", "rarity_rank": "SELECT * FROM {rarity_rank}",
            "flagship": "SELECT cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {v_residuals} ORDER BY z, cell LIMIT 20",
            "melodic_deltas": "SELECT * FROM {deltas}", "figures": "SELECT * FROM {figures}", "exchanges": "SELECT * FROM {exchanges}", "motion_counts": "SELECT * FROM {motion_counts}", "imitation": "SELECT piece, va, vb, lag, round(r, 4) AS r FROM {imitation}",
            "piece_stats": "SELECT piece, tonic, mode, lowest, highest, round(mean_pitch, 6) AS mean_pitch, round(sounding, 6) AS sounding, round(sync, 6) AS sync FROM {piece_stats}", "geometry_fire": "SELECT * FROM {geometry}",
-           "markov_nll": "SELECT n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
-           "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT n, round(kappa, 6) AS kappa FROM {kappa}",
-           "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}",
+           "markov_nll": "SELECT model, cast(n AS bigint) AS n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
+           "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT a, b, n, round(kappa, 6) AS kappa FROM {kappa}",
+           "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}", "soft_chosen": "SELECT @DOUBLE(soft_z) AS soft_z FROM {soft_chosen}",
+           "note_bars": "SELECT piece, voice, i, bar, @DOUBLE(beat) AS beat FROM {note_bars}", "nearest_slices": "SELECT * FROM {nearest_slices}", "note_slices": "SELECT * FROM {note_slices}",
+           "degree_marginals": "SELECT voice, mode, degree, round(by_count, 6) AS by_count, round(by_duration, 6) AS by_duration FROM {degree_marginals}",
+           "cell_means": "SELECT field, cell, round(mean, 6) AS mean, round(sd_population, 6) AS sd_population, round(sd, 6) AS sd, round(se, 6) AS se FROM {cell_means}", "structure_violations": "SELECT * FROM {structure_violations}",
            **PAIRED_QUERIES, **EXPORT_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
 
 
@@ -137,6 +148,14 @@ def _reconstructed(measured: bool):
     return run
 
 
+def method_gap_ci(spark, sf_dir, draws: int = DRAWS):
+    """Four methods scored on 1,000 halves of the pieces: intervals of each and of the differences to the replay null."""
+    tables, p, made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}, plan(), {}
+    counts, shifted, hits, x_hits = (p.frame(x, tables, spark, made) for x in ("piece_counts", "x_piece_counts", "r_hits", "x_hits"))
+    hits = hits.select("atom", "field", "cell").unionByName(x_hits)
+    return intervals(half_samples(counts, shifted, hits, [x[:3] for x in PREDICATES], draws))
+
+
 def queries() -> dict:
     def make(name, built):
         def run(spark, sf_dir):
@@ -147,7 +166,7 @@ def queries() -> dict:
 
     known = {k: make(name, lambda variant=variant: plan(**variant)) for k, (name, variant) in _named().items()} | {"confirmed": make("confirmed", confirmation)}
     return known | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear),
-                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True)}
+                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci}
 
 
 def flagship(spark, sf_dir: str):

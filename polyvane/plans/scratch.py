@@ -12,6 +12,17 @@ _roots: dict[str, str] = {}
 _made: dict[tuple, DataFrame] = {}
 
 
+def state(spark: SparkSession, tables: dict[str, DataFrame]) -> tuple:
+    """What the files of the tables are now: names, lengths and times. A table that is rewritten in place is another input."""
+    conf, path, out = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path, []
+    for _, f in sorted(tables.items()):
+        for name in sorted(f.inputFiles()):
+            at = path(name)
+            s = at.getFileSystem(conf).getFileStatus(at)
+            out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def shared(spark: SparkSession, key: tuple, make) -> DataFrame:
     """The table of a relation over the same inputs in this application; written by its first reader."""
     key = (spark.sparkContext.applicationId, *key)
@@ -28,6 +39,9 @@ def forget() -> None:
 def root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="polyvane-")
         spark.sparkContext.setCheckpointDir(base)
     return _roots.setdefault(spark.sparkContext.applicationId, f"{base.rstrip('/')}/plan-{uuid.uuid4().hex}")
