@@ -18,6 +18,7 @@ from polyvane.operators.reconstruct import add_reconstruction, compliance, recon
 from polyvane.operators.stats import add_stats
 from polyvane.operators.resample import DRAWS, half_samples, intervals
 from polyvane.operators.synthetic import truth_all
+from polyvane.operators.truth import monte_carlo_truth
 from polyvane.operators.transform import add_circular, add_desync
 from polyvane.plans.dialect import Plan
 
@@ -166,7 +167,7 @@ def queries() -> dict:
 
     known = {k: make(name, lambda variant=variant: plan(**variant)) for k, (name, variant) in _named().items()} | {"confirmed": make("confirmed", confirmation)}
     return known | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear),
-                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci}
+                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci, "monte_carlo_truth": monte_carlo_truth}
 
 
 def flagship(spark, sf_dir: str):

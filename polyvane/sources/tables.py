@@ -1,9 +1,12 @@
-"""Sources and sinks: note tables with a rejects table, splits, ratings, nested JSON."""
+"""Sources and sinks: note tables with a rejects table, corpora by place, splits, ratings and their sheets, nested JSON, reports, run stamps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import subprocess
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
 NOTES = "piece long, voice string, onset double, offset double, midi int, tied boolean, fermata boolean"
 
@@ -62,3 +65,64 @@ def write_rules(discoveries: DataFrame, path: str) -> None:
     pairs = F.split(F.replace("cell", F.lit("/to/"), F.lit("|")), "[|]")
     conditions = F.map_from_entries(F.transform(pairs, lambda x, k: F.struct(F.concat(k.cast("string"), F.lit(":"), F.split_part(x, F.lit("="), F.lit(1))), F.split_part(x, F.lit("="), F.lit(2)))))
     discoveries.select("field", "polarity", "cell", conditions.alias("condition")).write.json(path)
+
+
+def corpus_slice(notes: DataFrame, limit: int, skip: int = 0, least: int = 8, step: float = 0.5) -> DataFrame:
+    """Notes of the pieces from place ``skip`` on, ``limit`` of them, in order of piece, among those with four voices and at least so many slices."""
+    pieces = notes.groupBy("piece").agg(F.countDistinct("voice").alias("voices"), F.max("offset").alias("end")).where((F.col("voices") == 4) & (F.col("end") >= least * step))
+    return notes.join(F.broadcast(pieces.orderBy("piece").offset(skip).limit(limit).select("piece")), "piece", "left_semi")
+
+
+def fresh_pieces(pieces: DataFrame, *used: DataFrame, above: int = 60, key: str = "piece") -> DataFrame:
+    """Pieces in none of the used sets, beyond the first so many ids."""
+    for u in used:
+        pieces = pieces.join(u.select(key).distinct(), key, "left_anti")
+    return pieces.where(F.col(key) > above)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines, gzipped or not; lines that are no JSON are rejects."""
+    lines = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    return lines.where("row._bad is null").select("row.*").drop("_bad"), lines.where("row._bad is not null").select(F.col("value").alias("line"))
+
+
+def clean_nan(df: DataFrame) -> DataFrame:
+    """NaN and infinities as nulls, in nested columns too."""
+    def clean(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, (DoubleType, FloatType)):
+            return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in kind]))
+        return c
+
+    return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def strip(df: DataFrame, *names: str) -> DataFrame:
+    """Without the named columns, such as catalogues that a report doesn't need."""
+    return df.drop(*names)
+
+
+def write_sheets(statements: DataFrame, path: str, scale: tuple[str, ...] = ("valid", "reasonable", "depends on style", "invalid", "cannot judge")) -> None:
+    """Rating sheets as CSV: item, polarity, statement, an empty rating and what it may be; one file, in order of the item."""
+    statements.select("item", "polarity", "statement", F.lit(None).cast("string").alias("rating"), F.lit(" / ".join(scale)).alias("scale")).coalesce(1).sortWithinPartitions("item").write.csv(path, header=True)
+
+
+def write_report(df: DataFrame, path: str, widths: dict[str, int] | None = None) -> None:
+    """Fixed-width lines with a head line; numbers with four places."""
+    widths = widths or {}
+    wide = lambda f: widths.get(f.name, 14)
+    cell = lambda f: F.rpad(F.coalesce(F.format_number(f.name, 4) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name).cast("string"), F.lit("-")), wide(f), " ")
+    lines = df.select(F.rtrim(F.concat_ws(" ", *[cell(f) for f in df.schema])).alias("value"))
+    head = df.sparkSession.createDataFrame([(" ".join(f.name.ljust(wide(f)) for f in df.schema).rstrip(),)], "value string")
+    head.unionByName(lines).coalesce(1).write.text(path)
+
+
+def stamped(df: DataFrame, folder: str, strict: bool = True) -> DataFrame:
+    """With the commit of the code that made it; strict: refuses code with changes that aren't committed."""
+    git = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=True).stdout.strip()
+    if strict and git("status", "--porcelain", "--untracked-files=no"):
+        raise RuntimeError("the code has changes that aren't committed")
+    return df.withColumn("commit", F.lit(git("rev-parse", "HEAD")))
