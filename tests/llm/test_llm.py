@@ -468,62 +468,22 @@ def test_chat_query_reads_its_mask(spark, tmp_path, monkeypatch):
     assert all(right[k] != v for k, v in digest().items())
 
 
-def test_quality(spark, docs, none):
-    from polyvane.llm.quality import Additive, fit_quality, score_quality
+def test_pairs_tell_what_single_features_cannot():
+    from polyvane.llm.quality import Additive
 
-    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = fit_quality(documents, labels)
-    held = score_quality(documents, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").collect()
-    assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in held]) > 0.95
-    scores = score_quality(docs, model).collect()
-    assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores) and score_quality(none, model).count() == 0
-    assert fit_quality(documents, labels.limit(0)).constant == 0.5
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (4000, 2)).astype(float)
     y = (x[:, 0] != x[:, 1]).astype(float)  # only the pair table can tell
     assert (((Additive(rounds=5).fit(x, y).score(x)) > 0.5) == (y == 1)).all()
 
 
-def test_toxicity(spark, docs, none):
-    from polyvane.llm.toxicity import IDENTITY, fit_toxicity, score_toxicity
+def test_scores_on_edge_rows(spark, docs, none):
+    from polyvane.llm.quality import fit_quality, score_quality
+    from polyvane.llm.toxicity import fit_toxicity, score_toxicity
 
     documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = fit_toxicity(documents, labels)
-    held = score_toxicity(documents, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").collect()
-    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in held]) > 0.9
-    scores = score_toxicity(docs, model).collect()
-    assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores) and score_toxicity(none, model).count() == 0
-    # a group's name met in bad company only: the penalty keeps its weight near that of the others
-    rng = random.Random(2)
-    rows, marks = [], []
-    for i in range(400):
-        bad = i % 4 == 0
-        name = "muslim" if bad and rng.random() < 0.8 else rng.choice(IDENTITY["belief"][:6])
-        rows.append((i, prose(rng, 20) + f" the {name} " + ("dreadful" if bad and rng.random() < 0.7 else "fine")))
-        marks.append((i, int(bad)))
-    frame, mark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
-
-    def gap(strength):
-        m = fit_toxicity(frame, mark, counterfactual=strength)
-        a, b = m.score(pa.array(["lo the muslim mi", "lo the christian mi"]))
-        return abs(np.log(a / (1 - a)) - np.log(b / (1 - b)))
-
-    assert gap(5.0) < 0.5 * gap(0.0)
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "benchmark", "mix"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = stage(spark, docs, SF)
-        docs.write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() < before
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert len({t for _, t in rows}) == len(rows)
-    assert all(i == c for i, _, c in brute_near(rows, 5, 80))
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    for model, score in ((fit_quality(documents, labels), score_quality), (fit_toxicity(documents, labels), score_toxicity)):
+        scores = score(docs, model).collect()
+        assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores) and score(none, model).count() == 0
+    assert fit_quality(documents, labels.limit(0)).constant == 0.5
+    assert {r.score for r in score_toxicity(docs, fit_toxicity(documents, labels.limit(0))).collect()} == {score_toxicity(docs, fit_toxicity(documents, labels.limit(0))).first().score}
