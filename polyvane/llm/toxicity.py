@@ -13,8 +13,8 @@ its features, so a swap changes the score by the difference of the terms' own we
 terms: their number is bounded by the vocabulary, not by the sample. ``active`` counts them, ``gap`` is their mean absolute change of
 the score in log-odds.
 
-Defined cases: null counts as empty, which scores by the intercept; labelled rows with a null label are not learnt from; with one class
-or none every score is that class's share (0 if none); rows that repeat are scored row by row, and learnt from once an id; ids may be
+Defined cases: null counts as empty, which scores by the intercept; labelled rows with a null label or without a document are not learnt
+from; with one class or none every score is that class's share (0 if none); rows that repeat are scored row by row, and learnt from once an id; ids may be
 of any type; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -187,6 +187,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts
     found = rows.mapInArrow(by_chunk("text", encode), "id string, y int, row array<int>, named array<int>").select("*", given)
     table = found.toArrow().sort_by("id").combine_chunks()
     y = table["y"].to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return Toxicity(np.zeros(0, np.uint64), np.zeros(0), 30.0 if len(y) and y[0] else -30.0)
     held_rows = table["row"].combine_chunks()
     doc = np.repeat(np.arange(len(y)), np.diff(held_rows.offsets.to_numpy()))
     pairs = counterfactuals(np.bincount(table["named"].combine_chunks().flatten().to_numpy(), minlength=len(TERMS)), np.bincount(table["given"].to_numpy(), minlength=len(TERMS)))
