@@ -82,7 +82,7 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            **{f"null_{f.lower()}": f"SELECT cell, round(n, 6) AS n FROM {{null_{f.lower()}}}" for f in C.FIELDS},
            "residuals": "SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {residuals}",
            **{f"replay_{f.lower()}": f"SELECT cell, cast(sum(n) AS bigint) AS n FROM {{replay_{f.lower()}}} GROUP BY cell" for f in C.FIELDS},
-           "real_counts": "SELECT * FROM {cells_real}", "null_counts": "SELECT field, cell, round(n, 6) AS n FROM {cells_null}", "piece_counts": "SELECT * FROM {piece_counts}",
+           "real_counts": "SELECT * FROM {cells_real}", "null_counts": "SELECT field, cell, round(n, 6) AS n FROM {cells_null}", "piece_counts": "SELECT * FROM {piece_counts}", "replay_counts": "SELECT field, cell, cast(sum(n) AS bigint) AS n FROM {replay_cells} GROUP BY field, cell",
            "replay_residuals": "SELECT field, cell, nr, n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {replay_residuals}", "replay_atom_auc": "SELECT atom, cast(n_pos AS bigint) AS n_pos, cast(n_neg AS bigint) AS n_neg, round(auc, 6) AS auc FROM {r_atom_auc}",
            "pvalues_empirical": "SELECT field, cell, z, round(p_low, 9) AS p_low, round(p_high, 9) AS p_high FROM {empirical}", "empirical_bh": "SELECT polarity, cast(approx AS bigint) AS approx, cast(empirical AS bigint) AS empirical, cast(both_kinds AS bigint) AS both_kinds, round(jaccard, 6) AS jaccard FROM {empirical_bh}",
            "nominal_tails": "SELECT @DOUBLE(tail) AS tail, round(low, 6) AS low, round(high, 6) AS high, n FROM {nominal_tails}",
