@@ -254,4 +254,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
 def remove_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; rows with a null id stay."""
     gone = near_duplicates(docs, k, threshold, doc_id, text).where("not kept").select(F.col(doc_id).alias("_gone"))
-    return docs.join(gone.distinct(), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    return docs.alias("d").join(gone.distinct().alias("g"), F.col(f"d.{doc_id}").cast("long") == F.col("g._gone"), "left_anti")

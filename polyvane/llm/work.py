@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as a URI: one without a scheme is in Hadoop's default file system, which need not be the local one."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    full = jvm.org.apache.hadoop.fs.Path(path).makeQualified(jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf), jvm.org.apache.hadoop.fs.Path("/")).toString()
-    return "file:///" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(path).makeQualified(jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf), jvm.org.apache.hadoop.fs.Path("/")).toString()
+    return "file:///" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def arrow_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
