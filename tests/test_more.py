@@ -44,13 +44,13 @@ def test_half_samples(spark):
             assert (a in got) == (want[a] is not None) and (a not in got or math.isclose(got[a], want[a], abs_tol=1e-9)), a
     units = np.arange(1000)
     assert halves(units, 0).all() and all(400 < halves(units, k).sum() < 600 for k in range(1, 20)) and (halves(units, 1) != halves(units, 2)).any()
-    scores = half_samples(counts, shifted, hits.select("atom", "field", "cell").unionByName(x_hits), [x[:3] for x in PREDICATES], draws=20)
+    scores = half_samples(counts, shifted, hits.select("atom", "field", "cell").unionByName(x_hits), [x[:3] for x in PREDICATES], draws=8)
     scores = spark.createDataFrame(scores.collect(), scores.schema)
-    assert scores.count() == 21 * 4 * 3
+    assert scores.count() == 9 * 4 * 3
     rows = {(r["stat"], r["name"]): r for r in intervals(scores).collect()}
     assert len(rows) == 3 * 7 and all(r.low <= r.high and 0 <= r.p_below <= 1 for r in rows.values())
     values = sorted(r.value for r in scores.where("method = 'pmi' and stat = 'auc_common' and draw > 0").collect())
-    assert (rows["auc_common", "pmi"].low, rows["auc_common", "pmi"].high) == (values[int(0.025 * 19)], values[int(0.975 * 19)])
+    assert (rows["auc_common", "pmi"].low, rows["auc_common", "pmi"].high) == (values[int(0.025 * 7)], values[int(0.975 * 7)])
 
 
 def test_monte_carlo_truth(spark):
@@ -65,7 +65,7 @@ def test_monte_carlo_truth(spark):
     made = combine(pool, donors(spark, 8, 5)).collect()
     assert len(made) == 5 * pool.where("piece = 0").count()
     for kind, depends in (("S1", False), ("S3", True)):
-        rows = monte_carlo(spark, kind, 60, 120).where("field = 'V' and atoms like '%A1%'").collect()
+        rows = monte_carlo(spark, kind, 40, 80).where("field = 'V' and atoms like '%A1%'").collect()
         apart, together, error = sum(r.mean for r in rows), sum(r.real for r in rows), math.sqrt(sum(r.se ** 2 for r in rows))
         assert (together < 0.5 * apart) if depends else abs(together - apart) < 6 * error
 
@@ -135,7 +135,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "real_v" in capsys.readouterr().out
     assert main(["audit"]) == 0 and main(["sql", "real_v"]) == 0
     assert all(q in queries() for names in STUDIES.values() for q in names)
-    assert main(["run", "checker", SF, "--out", str(tmp_path)]) == 0 and spark.read.parquet(f"{tmp_path}/rule_export").count() > 0
+    assert main(["run", "expert", SF, "--out", str(tmp_path)]) == 0 and spark.read.parquet(f"{tmp_path}/kappa").count() > 0
     assert main(["report", "wilson", SF, "--out", str(tmp_path)]) == 0
 
 
