@@ -98,6 +98,21 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.centroids import centroid_clusters
+
+    clusters = centroid_clusters(_read(spark, sf_dir, "embeddings"), k=40, dims=64, rounds=5, salt="2:")
+    return clusters.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.negatives import hard_negatives
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), "vec_id % 100 = 0", positives=5, negatives=10, window=(30, 90))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -210,5 +225,36 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARE = "list_sum(list_transform(list_zip(a.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+#: One round: the nearest centroid of every vector, then floors of means; n // m truncates.
+_ROUND = """
+a{k} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c FROM (SELECT a.r, c.c, {square} AS d FROM kept a, c{k} c) GROUP BY r),
+m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT c, i, sum(x) AS s, count(*)::HUGEINT AS n FROM a{k} JOIN flat USING (r) GROUP BY c, i) GROUP BY c),
+c{next} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{k} o LEFT JOIN m{k} m ON o.c = m.c)"""
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+flat AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h)::INT - 1 AS c, v FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h LIMIT 40)),
+{",".join(_ROUND.format(k=k, next=k + 1, square=_SQUARE) for k in range(5))},
+o AS (SELECT r, min(d) AS distance, arg_min(c, (d, c))::INT AS cluster FROM (SELECT a.r, c.c, {_SQUARE} AS d FROM kept a, c5 c) GROUP BY r)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM o JOIN kept USING (r) JOIN c5 ON cluster = c
+"""
+
+OP13_SQL = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+           coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) AS n FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id, s.r)::INT AS rank
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND p.n <= 5 AND 30::HUGEINT * p.score <= 100::HUGEINT * s.score AND 100::HUGEINT * s.score <= 90::HUGEINT * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
+    return {"op12_centroids": OP12_SQL, "op13_negatives": OP13_SQL, "op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
