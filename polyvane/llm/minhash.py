@@ -4,7 +4,7 @@ A document's set is its distinct k-word shingles. One hash per shingle fills 128
 a bin drawn by its own sequence of random picks until a filled one comes up (optimal densification). 32 bands of 4 bins
 give buckets: two sets of similarity 0.8 miss each other in all bands with probability 0.59 ** 32 = 5e-8.
 
-Equal sets are one class from the start. In a bucket every class is paired with its most central one only (a star), so pairs
+Equal sets are one class from the start: texts that are equal by SHA-256, and texts whose sets hash alike and then prove equal. In a bucket every class is paired with its most central one only (a star), so pairs
 are at most bands times classes. Each pair is confirmed on the full sets. A bucket whose members don't all end in one component
 may still hold links that no star met: its members are compared across components in blocks, and what joins components is
 confirmed in turn. So no link between two texts of one bucket is lost, and no bucket's pairs are ever listed.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyvane.llm.textvec import NOT_SPACE, U, Words, by_chunk, lists, mix, odd, text_bytes
+from polyvane.llm.textvec import NOT_SPACE, U, Words, by_chunk, lists, mix, odd, text_bytes, whole_grams
 from polyvane.llm.work import Work, components
 
 BINS, BANDS, PICKS = 128, 32, 1024
@@ -64,30 +64,65 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, s1, s2, bands): set size, a 128-bit hash of the set, and its bucket in every band."""
+    """(id, digest, n, s1, s2, bands): SHA-256 of the text, set size, a 128-bit hash of the set, and its bucket in every band."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, first = _sets(batch.column(1), k)
         n = np.diff(first)
         some = np.flatnonzero(n > 0)
-        s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        s1, s2 = set_sums(value, first)
         bands, count = np.zeros(0, np.int64), np.zeros(len(n), np.int64)
         if len(some):
-            s1[some] = np.add.reduceat(mix(value ^ U(0x5851F42D4C957F2D)), first[some])
-            s2[some] = np.add.reduceat(mix(value ^ U(0x14057B7EF767814F)), first[some])
             sig = signatures(value, np.concatenate([first[some], [first[-1]]]))
             rows = BINS // BANDS
             coefficient = odd(BINS, 7).reshape(BANDS, rows)
             held = (mix(sig).reshape(len(some), BANDS, rows) * coefficient).sum(axis=2, dtype=np.uint64)
             bands = mix(held + np.arange(1, BANDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64).reshape(-1)
             count[some] = BANDS
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands, count, pa.int64())], ["id", "n", "s1", "s2", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(s1), pa.array(s2), lists(bands, count, pa.int64())], ["id", "digest", "n", "s1", "s2", "bands"])
 
-    return docs.mapInArrow(by_chunk("text", one), "id long, n long, s1 long, s2 long, bands array<long>")
+    return with_digest(docs).mapInArrow(by_chunk("text", one), "id long, digest binary, n long, s1 long, s2 long, bands array<long>")
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+
+
+def set_sums(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, as signed numbers."""
+    some = np.flatnonzero(np.diff(first) > 0)
+    sums = []
+    for salt in (U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)):
+        out = np.zeros(len(first) - 1, np.uint64)
+        if len(some):
+            out[some] = np.add.reduceat(mix(value ^ salt), first[some])
+        sums.append(out.view(np.int64))
+    return sums[0], sums[1]
+
+
+def equal_sets(work: Work, filled: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(n, s1, s2, digest, rep): the class of every text of filled(id, n, s1, s2, digest), rep its smallest id. Texts that are equal by digest are one; texts that
+    differ but whose sets hash alike are compared with the class's first text on full sets, and those that aren't equal with the first of them, and so on."""
+    left, found = work.table(filled.groupBy("n", "s1", "s2", "digest").agg(F.min("id").alias("lead")), "leads"), []
+    while not found or not left.isEmpty():  # again only where different sets hash alike
+        k_th = len(found)
+        sets = left.groupBy("n", "s1", "s2").agg(F.min("lead").alias("rep"), F.count("*").alias("c"))
+        texts = work.table(left.join(sets, ["n", "s1", "s2"]), f"alike{k_th}")
+        pairs = work.table(texts.where("c > 1 and lead <> rep").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), f"alike_pairs{k_th}")
+        some = work.table(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), f"alike_texts{k_th}")
+        equal = confirm(pairs, some, k, 100).select(F.col("a").alias("rep"), F.col("b").alias("lead"), F.lit(True).alias("same"))
+        checked = work.table(texts.join(equal, ["rep", "lead"], "left").withColumn("same", F.expr("coalesce(same, lead = rep)")), f"classes{k_th}")
+        found.append(checked.where("same").select("n", "s1", "s2", "digest", "rep"))
+        left = checked.where("not same").select("n", "s1", "s2", "digest", "lead")
+        work.drop(f"alike{k_th}", f"alike_pairs{k_th}", f"alike_texts{k_th}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of pairs(a, b) those with 100 * |A and B| >= threshold * |A or B| on full sets; a hot ``a`` is split by AQE.
+    """Of pairs(a, b) those with 100 * |A and B| >= threshold * |A or B| on full sets of words, not of hashes; a hot ``a`` is split by AQE.
 
     Pairs and texts both grow with the corpus: these joins are merge joins at every size, never broadcasts.
     """
@@ -102,10 +137,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
                 to = max(at + 1, int(np.searchsorted(size, size[at] + (4 << 20), side="right")) - 1)
                 part = batch.slice(at, to - at)
                 at = to
-                value, first = zip(*(_sets(part.column(c), k) for c in (2, 3)), strict=True)
-                n, m = np.diff(first[0]), np.diff(first[1])
-                pair = np.concatenate([np.repeat(np.arange(part.num_rows), n), np.repeat(np.arange(part.num_rows), m)])
-                every = np.concatenate(value)
+                texts_of = pa.concat_arrays([part.column(2), part.column(3)])
+                every, first = whole_grams(texts_of, NOT_SPACE, k)
+                sizes = np.diff(first)
+                n, m = sizes[:part.num_rows], sizes[part.num_rows:]
+                pair = np.repeat(np.tile(np.arange(part.num_rows), 2), sizes)
                 order = np.lexsort((every, pair))
                 same = (pair[order][1:] == pair[order][:-1]) & (every[order][1:] == every[order][:-1])
                 common = np.bincount(pair[order][1:][same], minlength=part.num_rows)
@@ -214,9 +250,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = work.table(sketch(docs, k), "sketch")
     filled = rows.where("n > 0 and id is not null")
-    classes = work.table(filled.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+    classes = equal_sets(work, filled.drop("bands"), docs, k)
     # a class is banded once, by the row of its smallest id
-    lead = filled.select(F.col("id").alias("rep"), "n", "s1", "s2", "bands").join(classes, ["n", "s1", "s2", "rep"], "left_semi")
+    lead = filled.select(F.col("id").alias("rep"), "n", "s1", "s2", "digest", "bands").join(classes, ["n", "s1", "s2", "digest", "rep"], "left_semi")
     member = lead.select("rep", "n", F.explode("bands").alias("bucket"))
     bucket = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("c")).where("hub <> last")
     bucket = work.table(bucket, "buckets")
@@ -228,7 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     scored = work.table(large.join(central, "rep"), "stars")
     hubs = scored.groupBy("bucket").agg((-F.max(F.struct("score", -F.col("rep")))["col2"]).alias("hub"))
     stars = scored.join(hubs, "bucket").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    sizes = classes.select("rep", "n")
+    sizes = classes.select("rep", "n").distinct()
     pairs = bucket.where("c = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).unionByName(stars).distinct()
     for x in "ab":
         pairs = pairs.join(sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")), x)
@@ -243,10 +279,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: st
     second = components(work, across.toDF("u", "v"), "second")
     label = first.toDF("rep", "at").unionByName(second.toDF("rep", "at").join(first.select(F.col("node").alias("rep")), "rep", "left_anti"))
     label = label.join(second.toDF("at", "whole"), "at", "left").select("rep", F.coalesce("whole", "at").alias("component"))
-    whole = classes.join(label, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    whole = classes.join(label, "rep", "left").select("n", "s1", "s2", "digest", F.coalesce("component", "rep").alias("component"))
     whole = work.table(whole, "whole")
-    work.drop("classes", "buckets", "large", "sums", "twins", "equal", "stars", "pairs", "texts", "links", "mixed", "tokens", "found", "across")
-    out = rows.drop("bands").join(whole, ["n", "s1", "s2"], "left")
+    work.drop("leads", "buckets", "large", "sums", "twins", "equal", "stars", "pairs", "texts", "links", "mixed", "tokens", "found", "across")
+    out = rows.drop("bands").join(whole, ["n", "s1", "s2", "digest"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -182,6 +182,37 @@ def gram_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def whole_grams(column: pa.Array, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct k-word shingles of each text as numbers, and n + 1 offsets: equal numbers are equal words, with no hash in between. Numbers
+    hold for this call alone, so texts that are to be compared come in one column. A text of fewer than k words, but not none, has its whole
+    sequence as one."""
+    raw, offs = text_bytes(column)
+    buf = lower(raw)
+    starts, ends = spans(table[buf], offs)
+    first = np.searchsorted(starts, offs)
+    data, bounds = gather(buf, starts, ends), np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    number, most = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary) + 1
+    n = np.diff(first)
+    count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+    place = np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(len(n)), count)
+    at = first[owner] + np.arange(place[-1]) - place[owner]
+    gram, size = np.zeros(len(at), np.int64), 1
+    for j in range(k):  # past the end of a short text stands a number that no word has
+        inside = at + j < first[owner + 1]
+        part = np.where(inside, number[np.minimum(at + j, max(len(number) - 1, 0))], most - 1) if len(at) else gram
+        if size * most >= 1 << 62:
+            some, gram = np.unique(gram, return_inverse=True)
+            size = len(some)
+        gram, size = gram * most + part, size * most
+    order = np.lexsort((gram, owner))
+    gram, owner = gram[order], owner[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    return gram[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(n)))])
+
+
 def lists(values: pa.Array | np.ndarray, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """A list column from flat values and the number of them by row."""
     flat = values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values, kind)
