@@ -98,6 +98,12 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyvane.llm.jaccard import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"), k=3, threshold=90)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyvane.llm.centroids import centroid_clusters
 
@@ -225,6 +231,18 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.root = e.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM documents d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id
+"""
+
 _WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _SQUARE = "list_sum(list_transform(list_zip(a.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
@@ -257,4 +275,4 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_centroids": OP12_SQL, "op13_negatives": OP13_SQL, "op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
+    return {"op11_jaccard": OP11_SQL, "op12_centroids": OP12_SQL, "op13_negatives": OP13_SQL, "op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL, "op6_lines": OP6_SQL, "op7_chat": OP7_SQL, "op10_exact": OP10_SQL}
