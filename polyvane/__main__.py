@@ -2,7 +2,7 @@
 
     python -m polyvane list
     python -m polyvane run NAME FOLDER [--out PATH] [--json] [--stamp]
-    python -m polyvane report NAME FOLDER --out PATH
+    python -m polyvane report NAME FOLDER --out PATH   (goes to PATH/report/NAME)
     python -m polyvane sql NAME
     python -m polyvane audit
 """
@@ -59,7 +59,7 @@ def main(args: list[str] | None = None) -> int:
         if asked.stamp:
             df = stamped(df, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         if asked.does == "report":
-            write_report(df, f"{asked.out}/{name}")
+            write_report(df, f"{asked.out}/report/{name}")
         elif not asked.out:
             df.show(50, truncate=False)
         elif asked.json:

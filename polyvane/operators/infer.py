@@ -1,7 +1,8 @@
 """Residuals, z scores and the discovery set.
 
-A field's real and null counts meet in a full outer join on the cell; smoothed log ratios and z scores follow from window totals by field. Cells
-number with the vocabulary, not with the data, so the rank windows over all cells (Benjamini-Hochberg) stay small.
+A field's real and null counts meet in a full outer join on the cell; smoothed log ratios and z scores follow from window totals by field. The
+vocabulary of some fields grows with the data, so control over all cells (Benjamini-Hochberg, Holm) counts distinct values in buckets and never
+ranks cells in one window.
 """
 
 from __future__ import annotations
@@ -42,12 +43,35 @@ def need(z_cut: str) -> str:
     return f"({z_cut} + greatest(0, log10(keys / 40.0)))"
 
 
+def _counted(source: str, lead: str) -> tuple[str, str]:
+    """Distinct p of source with their numbers, in buckets by size; of each bucket how many values are in smaller ones, and of all. Buckets are at most 1,843."""
+    dist = f"SELECT {lead}p, floor(ln(greatest(p, 0.0000000000000001)) * 50) AS bucket, count(*) AS n FROM ({source}) t0 GROUP BY {lead}p"
+    part = f"PARTITION BY {lead[:-2]} " if lead else ""
+    return dist, f"SELECT {lead}bucket, sum(sum(n)) OVER ({part}ORDER BY bucket) - sum(n) AS before, sum(sum(n)) OVER ({part.strip()}) AS m FROM ({dist}) d0 GROUP BY {lead}bucket"
+
+
 def bh(source: str, columns: str, q: str, over: str = "") -> str:
-    """Rows of source (with p) that step-up control keeps."""
-    part = f"PARTITION BY {over}" if over else ""
-    also = f", {over}" if over else ""
-    return f"""SELECT {columns} FROM (SELECT *, max(CASE WHEN p <= {q} * r / m THEN r END) OVER ({part}) AS cut FROM
-        (SELECT *, row_number() OVER ({part} ORDER BY p, field, cell) AS r, count(*) OVER ({part}) AS m FROM ({source}) t) a) b WHERE r <= cut"""
+    """Rows of source (with p) that step-up control keeps: those up to the largest p that is at most q times the share of values no larger.
+
+    Ties stand or fall together, so ranks are of distinct values: a count within each bucket, on top of the buckets before. No window holds more than a
+    bucket's distinct values.
+    """
+    part = [c.strip() for c in over.split(",") if c.strip()]
+    lead = "".join(f"{c}, " for c in part)
+    dist, totals = _counted(source, lead)
+    same = lambda x, y, to="": "".join(f" AND {x}.{c} = {y}.{to}{c}" for c in part)
+    ranked = f"SELECT d.*, b.before + sum(d.n) OVER (PARTITION BY {''.join(f'd.{c}, ' for c in part)}d.bucket ORDER BY d.p) AS r, b.m FROM ({dist}) d JOIN ({totals}) b ON b.bucket = d.bucket{same('b', 'd')}"
+    cut = f"SELECT {''.join(f'{c} AS cut_{c}, ' for c in part)}max(p) AS cut_p FROM ({ranked}) k WHERE p <= {q} * r / m" + (f" GROUP BY {over}" if part else "")
+    return f"SELECT {columns} FROM ({source}) t JOIN ({cut}) c ON t.p <= c.cut_p{same('t', 'c', 'cut_')}"
+
+
+def holm(source: str, columns: str) -> str:
+    """Rows of source (with p) and what step-down control adjusts p to: a running maximum over distinct values, by bucket and over buckets."""
+    dist, totals = _counted(source, "")
+    stepped = f"SELECT d.p, d.bucket, least(1.0, (b.m - b.before - sum(d.n) OVER (PARTITION BY d.bucket ORDER BY d.p) + d.n) * d.p) AS v FROM ({dist}) d JOIN ({totals}) b ON b.bucket = d.bucket"
+    earlier = f"SELECT bucket, coalesce(max(max(v)) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS top FROM ({stepped}) e GROUP BY bucket"
+    adjusted = f"SELECT s.p AS adjusted_p, greatest(e.top, max(s.v) OVER (PARTITION BY s.bucket ORDER BY s.p)) AS adjusted FROM ({stepped}) s JOIN ({earlier}) e ON e.bucket = s.bucket"
+    return f"SELECT {columns}, adjusted FROM ({source}) t JOIN ({adjusted}) a ON a.adjusted_p = t.p"
 
 
 def add_discoveries(plan: Plan, p: str = "", source: str = "residuals", z_cut: float = 2.5, q: float = 0.08, soft_z: float | None = -1.75) -> None:

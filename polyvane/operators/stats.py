@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from polyvane.functions import cells as C
+from polyvane.operators.infer import holm
 from polyvane.operators.polyphony import COMPLETE, M, PAIRS, SLOTS, pick, values
 from polyvane.plans.dialect import Plan
 
@@ -64,7 +65,7 @@ def add_stats(plan: Plan) -> None:
         # bounds by index, the k-th of the sorted draws
         half_intervals="SELECT cell, max(CASE WHEN r = floor(0.025 * (n - 1)) + 1 THEN share END) AS low, max(CASE WHEN r = floor(0.975 * (n - 1)) + 1 THEN share END) AS high FROM (SELECT cell, share, row_number() OVER (PARTITION BY cell ORDER BY share) AS r, count(*) OVER (PARTITION BY cell) AS n FROM {half_shares}) s GROUP BY cell",
         z_tests=f"SELECT field, cell, least(1.0, 2 * (1 - {C.normal_cdf('abs(round(z, 9))')})) AS p FROM {{residuals}} WHERE field IN ({', '.join(repr(f) for f in C.FIELDS)})",
-        holm="SELECT field, cell, p, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY p, field, cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adjusted FROM (SELECT *, row_number() OVER (ORDER BY p, field, cell) AS r, count(*) OVER () AS m FROM {z_tests}) t",
+        holm=holm("SELECT * FROM {z_tests}", "field, cell, p"),
         # several raters of one scale: the event types, by the level of the value that they give a user on a day; a day that one doesn't see is a missing rating
         ratings="""SELECT event_type AS rater, concat(user_id, '/', cast(floor(@HOURS(ts) / 24) AS int)) AS item, CASE WHEN max(value) < 100 THEN 'low' WHEN max(value) < 300 THEN 'middle' ELSE 'high' END AS category FROM {events}
             WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY event_type, user_id, floor(@HOURS(ts) / 24)""",

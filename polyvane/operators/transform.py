@@ -43,7 +43,10 @@ def add_desync(plan: Plan, seed: int = 0) -> None:
              AND t.k = CASE s.voice WHEN 'S' THEN s.k ELSE ((s.k - 1 - {draw(f'phrase{seed}', 'greatest(s.n, 2) - 1', 's.piece', 's.ph', 's.voice')}) % s.n + s.n) % s.n END"""),
         permuted=_gather(f"SELECT s.piece, s.i, p.target AS voice, s.m FROM ({voiced}) s JOIN (SELECT piece, voice, {source} AS target FROM (SELECT piece, voice, row_number() OVER (PARTITION BY piece ORDER BY @HASH32(concat_ws('|', 'label{seed}', piece, voice)), voice) AS r FROM {{tonic}} CROSS JOIN {VOICES}) q) p ON p.piece = s.piece AND p.voice = s.voice"),
         # each voice from another piece of the same order: no piece keeps a voice of its own but the soprano
-        numbered_pieces=f"SELECT piece, row_number() OVER (ORDER BY @HASH32(concat_ws('|', 'donor{seed}', piece)), piece) - 1 AS k, count(*) OVER () AS n FROM {{tonic}}",
+        # numbered by bucket of the hash, at most 4,096 of them, on top of the buckets before
+        donor_hashes=f"SELECT piece, h, cast(floor(h / 1048576.0) AS int) AS bucket FROM (SELECT piece, @HASH32(concat_ws('|', 'donor{seed}', piece)) AS h FROM {{tonic}}) t",
+        donor_buckets="SELECT bucket, sum(count(*)) OVER (ORDER BY bucket) - count(*) AS before, sum(count(*)) OVER () AS n FROM {donor_hashes} GROUP BY bucket",
+        numbered_pieces="SELECT h.piece, cast(b.before + row_number() OVER (PARTITION BY h.bucket ORDER BY h.h, h.piece) - 1 AS bigint) AS k, cast(b.n AS bigint) AS n FROM {donor_hashes} h JOIN {donor_buckets} b ON b.bucket = h.bucket",
         recombined=_gather(f"""SELECT t.piece, s.i, s.voice, s.m FROM ({voiced}) s JOIN {{numbered_pieces}} d ON d.piece = s.piece
             JOIN {{numbered_pieces}} t ON t.k = (d.k + CASE s.voice WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'T' THEN 2 ELSE 3 END) % d.n"""),
         transposed=f"SELECT {STAY}, {', '.join(f'm{v.lower()} + 5 AS m{v.lower()}' for v in C.VOICES)} FROM {{raw_slices}}".replace("tonic,", "(tonic + 5) % 12 AS tonic,"),

@@ -24,9 +24,12 @@ MACROS = {
     "LISTED": ("listagg({0}, ',') WITHIN GROUP (ORDER BY {1})", "string_agg({0}, ',' ORDER BY {1})"),
     # values of a group in an order; the value whose cumulated count is the first above a number; how many of its 32 low bits a number has set
     "SORTED": ("transform(array_sort(collect_list(struct({1} AS o, {0} AS v))), x -> x.v)", "list({0} ORDER BY {1})"),
-    "PICK": ("element_at({0}, 1 + size(filter({1}, h -> h <= {2})))", "({0})[1 + len(list_filter({1}, lambda h: h <= {2}))]"),
+    # the number is bound first: inside the filter it would be computed again for every element
+    "PICK": ("element_at(transform(array({2}), u -> element_at({0}, 1 + size(filter({1}, h -> h <= u)))), 1)", "({0})[1 + len(list_filter({1}, lambda h: h <= {2}))]"),
     "GSUB": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "ONES": ("bit_count({0})", "bit_count(({0})::BIGINT)::INT"),
+    # the members of an array that the bits of a number name
+    "SUBSET": ("array_join(filter({0}, (bit_, at_) -> bit_get({1}, at_) = 1), '|')", "array_to_string(list_filter({0}, lambda bit_, at_: (({1} >> (at_ - 1)::INT) & 1) = 1), '|')"),
     "BITS": ("(SELECT {0}, posexplode(split({1}, '[|]')) AS (pos, bit) FROM {2})", "(SELECT {0}, unnest(string_split({1}, '|')) AS bit, generate_subscripts(string_split({1}, '|'), 1) - 1 AS pos FROM {2})"),
 }
 
@@ -68,7 +71,9 @@ class Plan:
     KEEP = ("notes", "raw_slices", "steps", "beats", "phrases", "moves", "held", "numbered", "residuals", "cells_real", "cells_null", "pitch_cat", "dp_cat",
             "discover_full", "discover_hard", "hits", "testable", "calibration_hard", "bits",
             "uniform_residuals", "independent_residuals", "u_testable", "i_testable", "u_hits", "i_hits", "method_auc", "paired",
-            "ladder_units", "ladder_cells", "placed", "draw_cats", "replay_cells", "sim_cells", "replay_residuals", "sim_z", "piece_counts", "r_hits", "r_testable")
+            "ladder_units", "ladder_cells", "placed", "draw_cats", "replay_cells", "sim_cells", "replay_residuals", "sim_z", "piece_counts", "lattice_cells", "lattice", "supported", "signatures", "r_hits", "r_testable")
+    #: Those by piece from which draws and cells are made, many rows from each: dealt by piece to all tasks, which adaptive execution would merge to few.
+    SPREAD = ("notes", "raw_slices", "steps", "beats", "moves", "held", "numbered")
     #: Prefixes of the same relations over another corpus or part of it.
     PREFIX = re.compile(r"^([txh]\d?_)+")
 
@@ -101,7 +106,8 @@ class Plan:
                 if "" not in made:  # once a query
                     made[""] = (*(f.semanticHash() for _, f in sorted(tables.items())), state(spark, tables))
                 key = (name, self.text(name), made[""])
-                made[name] = shared(spark, key, lambda: write(spark, build(), name))
+                spread = self.PREFIX.sub("", name) in self.SPREAD
+                made[name] = shared(spark, key, lambda: write(spark, build().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "piece") if spread else build(), name))
             else:
                 made[name] = build()
         return made[name]

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from polyvane.functions import cells as C
-from polyvane.operators.baselines import add_baselines, fitted_nulls, log_linear, productive
+from polyvane.operators.baselines import add_baselines
 from polyvane.operators.counts import add_counts
 from polyvane.operators.evaluate import PREDICATES, add_evaluation
 from polyvane.operators.export import EXPORT_QUERIES, add_export, add_noise, add_vocabularies
 from polyvane.operators.families import FAMILY_QUERIES, add_families
 from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_residuals, add_rules
 from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
+from polyvane.operators.lattice import add_lattice, log_linear_null
 from polyvane.operators.nulls import add_catalogues, add_nulls
 from polyvane.operators.paired import PAIRED_QUERIES, add_paired
 from polyvane.operators.polyphony import add_notes, add_slices
 from polyvane.operators.replay import add_draw_cats, add_piece_counts, add_replay, add_simulations
 from polyvane.operators.reconstruct import add_reconstruction, compliance, reconstruct
 from polyvane.operators.stats import add_stats
-from polyvane.operators.resample import DRAWS, half_samples, intervals
+from polyvane.operators.resample import DRAWS, half_samples, intervals, scheme_bias
 from polyvane.operators.synthetic import truth_all
 from polyvane.operators.truth import monte_carlo_truth
 from polyvane.operators.transform import add_circular, add_desync
@@ -51,6 +52,7 @@ def build(part: str | None = None, catalogue: str | None = None, **kind: bool) -
     add_rules(plan)
     add_cells(plan, "v_", ("V",))
     add_baselines(plan)
+    add_lattice(plan)
     add_evaluation(plan)
     add_stats(plan)
     add_paired(plan)
@@ -91,6 +93,7 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "calibration": "SELECT @DOUBLE(z_cut) AS z_cut, @DOUBLE(q) AS q, n_false, round(frac, 6) AS frac, chosen FROM {calibration}", "soft_calibration": "SELECT @DOUBLE(soft_z) AS soft_z, cast(eligible AS bigint) AS eligible, cast(adds AS bigint) AS adds, round(frac, 6) AS frac FROM {soft_calibration}",
            "attribution": "SELECT field, cell, polarity, type, round(z_real, 6) AS z_real, round(z_desync, 6) AS z_desync FROM {attribution}", "admission": "SELECT * FROM {admission}", "prohibitions": "SELECT * FROM {prohibitions}",
            "uniform_null": "SELECT field, cell, round(rho, 6) AS rho, round(z, 6) AS z FROM {uniform_residuals}", "circular_null": "SELECT field, cell, nr, n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {circular_residuals}", "independent_null": "SELECT field, cell, round(n0, 6) AS n0, round(z, 6) AS z FROM {independent_residuals}",
+           "productive_null": "SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {productive_residuals}",
            "atom_auc": "SELECT atom, cast(n_pos AS bigint) AS n_pos, cast(n_neg AS bigint) AS n_neg, round(auc, 6) AS auc FROM {atom_auc}", "precision_at_k": "SELECT polarity, k, round(precision, 6) AS precision, round(base, 6) AS base FROM {precision_at_k}",
            "atom_cells": "SELECT * FROM {hits}",
            "enrichment": "SELECT polarity, cast(n_found AS bigint) AS n_found, round(precision, 6) AS precision, round(base, 6) AS base, round(lift, 6) AS lift FROM {enrichment}", "completeness": "SELECT * FROM {completeness}",
@@ -125,17 +128,12 @@ def _named() -> dict[str, tuple[str, dict]]:
     return {k: (k, {}) for k in QUERIES} | {f"{v}_{k}": (k, variant) for v, variant in VARIANTS.items() for k in VARIED[v]}
 
 
-def _fitted(model):
-    """Residuals against a null fitted to the cells of each signature; iterative, so there is no SQL."""
-
-    def run(spark, sf_dir):
-        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-        p = plan()
-        add_residuals(p, "fitted_residuals", "fitted")
-        p.add(query_fitted="SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {fitted_residuals}")
-        return p.frame("query_fitted", tables | {"fitted": fitted_nulls(p.frame("residuals", tables, spark), model)}, spark)
-
-    return run
+def loglinear_null(spark, sf_dir):
+    """Residuals against the log-linear model of all pairs of bits; iterative, so there is no SQL."""
+    tables, p, made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}, plan(), {}
+    add_residuals(p, "fitted_residuals", "fitted")
+    p.add(query_fitted="SELECT field, cell, nr, round(n0, 6) AS n0, round(rho, 6) AS rho, round(z, 6) AS z FROM {fitted_residuals}")
+    return p.frame("query_fitted", tables | {"fitted": log_linear_null(p.frame("bit_lists", tables, spark, made))}, spark)
 
 
 def _reconstructed(measured: bool):
@@ -149,12 +147,21 @@ def _reconstructed(measured: bool):
     return run
 
 
-def method_gap_ci(spark, sf_dir, draws: int = DRAWS):
-    """Four methods scored on 1,000 halves of the pieces: intervals of each and of the differences to the replay null."""
+def _resampled(spark, sf_dir):
+    """Counts by piece of the corpus and of its desynchronised copy, and the cells of all atoms in either."""
     tables, p, made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}, plan(), {}
     counts, shifted, hits, x_hits = (p.frame(x, tables, spark, made) for x in ("piece_counts", "x_piece_counts", "r_hits", "x_hits"))
-    hits = hits.select("atom", "field", "cell").unionByName(x_hits)
-    return intervals(half_samples(counts, shifted, hits, [x[:3] for x in PREDICATES], draws))
+    return counts, shifted, hits.select("atom", "field", "cell").unionByName(x_hits), [x[:3] for x in PREDICATES]
+
+
+def method_gap_ci(spark, sf_dir, draws: int = DRAWS):
+    """Four methods scored on 1,000 halves of the pieces: intervals of each and of the differences to the replay null."""
+    return intervals(half_samples(*_resampled(spark, sf_dir), draws))
+
+
+def resampling_bias(spark, sf_dir):
+    """Halves, samples with replacement and doubled corpora beside the point estimate."""
+    return scheme_bias(*_resampled(spark, sf_dir))
 
 
 def queries() -> dict:
@@ -166,8 +173,8 @@ def queries() -> dict:
         return run
 
     known = {k: make(name, lambda variant=variant: plan(**variant)) for k, (name, variant) in _named().items()} | {"confirmed": make("confirmed", confirmation)}
-    return known | {"synthetic_truth": truth_all, "productive_null": _fitted(productive), "loglinear_null": _fitted(log_linear),
-                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci, "monte_carlo_truth": monte_carlo_truth}
+    return known | {"synthetic_truth": truth_all, "loglinear_null": loglinear_null,
+                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci, "resampling_bias": resampling_bias, "monte_carlo_truth": monte_carlo_truth}
 
 
 def flagship(spark, sf_dir: str):

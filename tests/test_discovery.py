@@ -9,7 +9,6 @@ import pytest
 
 from polyvane.functions import cells as C
 from polyvane.functions.predicates import predicates
-from polyvane.operators.baselines import log_linear, productive
 from polyvane.plans.dialect import expand
 from polyvane.plans.queries import oracle_sql, plan, queries
 
@@ -132,16 +131,6 @@ def test_against_duckdb(spark, name):
     assert Counter(tuple(fix(r[c]) for c in columns) for r in frame.collect()) == Counter(tuple(fix(r[k]) for k in at) for r in want.fetchall())
 
 
-def test_fitted_nulls():
-    import numpy as np
-
-    codes = np.array([[0, 0, 1, 1, 0, 0, 1, 1], [0, 1, 0, 1, 0, 1, 0, 1], [0, 0, 0, 0, 1, 1, 1, 1]])
-    w = np.array([8.0, 2, 2, 8, 4, 1, 1, 4])  # the third bit is independent: both models reproduce the counts
-    assert np.allclose(log_linear(codes, w), w) and np.allclose(productive(codes, w), w)
-    w = np.array([20.0, 5, 5, 20, 5, 20, 20, 5])  # parity: no pair of bits depends, so pairs expect all cells alike
-    assert np.allclose(log_linear(codes, w), 12.5) and (np.abs(productive(codes, w) - w).max() > 1)
-
-
 def pairs_plan(diffs):
     p = plan()
     return p.add(paired="SELECT 'x' AS method, atom, @DOUBLE(d) AS d FROM (VALUES " + ", ".join(f"('{k:02}', {d})" for k, d in enumerate(diffs)) + ") AS v(atom, d)")

@@ -26,33 +26,6 @@ def test_piece_counts_add_up(spark):
     assert {k: b for k, (_, b) in summed.items() if b} == {(r.field, r.cell): r.null_n for r in drawn.collect() if r.null_n}
 
 
-def test_half_samples(spark):
-    """Draw 0 scores the whole corpus as the SQL does; halves are halves; intervals hold their draws."""
-    from polyvane.operators.evaluate import PREDICATES
-    from polyvane.operators.resample import Field, half_samples, halves, intervals
-
-    counts, shifted, hits, x_hits, auc = frames(spark, "piece_counts", "x_piece_counts", "r_hits", "x_hits", "r_atom_auc")
-    want = {r.atom: r.auc for r in auc.collect()}
-    table = counts.groupBy("field", "cell").agg(F.sum("nr").alias("nr"), F.sum("n0").alias("n0")).toPandas()
-    known = {}
-    for r in hits.collect():
-        known.setdefault((r.atom, r.field), set()).add(r.cell)
-    for f, part in table.groupby("field"):
-        atoms = [(a, p) for a, g, p, _ in PREDICATES if g == f]
-        got = Field(f, list(part["cell"]), known, atoms).aucs("replay", part["nr"].to_numpy(float), part["n0"].to_numpy(float))
-        for a, _ in atoms:
-            assert (a in got) == (want[a] is not None) and (a not in got or math.isclose(got[a], want[a], abs_tol=1e-9)), a
-    units = np.arange(1000)
-    assert halves(units, 0).all() and all(400 < halves(units, k).sum() < 600 for k in range(1, 20)) and (halves(units, 1) != halves(units, 2)).any()
-    scores = half_samples(counts, shifted, hits.select("atom", "field", "cell").unionByName(x_hits), [x[:3] for x in PREDICATES], draws=8)
-    scores = spark.createDataFrame(scores.collect(), scores.schema)
-    assert scores.count() == 9 * 4 * 3
-    rows = {(r["stat"], r["name"]): r for r in intervals(scores).collect()}
-    assert len(rows) == 3 * 7 and all(r.low <= r.high and 0 <= r.p_below <= 1 for r in rows.values())
-    values = sorted(r.value for r in scores.where("method = 'pmi' and stat = 'auc_common' and draw > 0").collect())
-    assert (rows["auc_common", "pmi"].low, rows["auc_common", "pmi"].high) == (values[int(0.025 * 7)], values[int(0.975 * 7)])
-
-
 def test_monte_carlo_truth(spark):
     """Independent voices hold as much apart as together; voices that listen to each other don't."""
     from polyvane.operators.synthetic import generate
@@ -136,7 +109,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["audit"]) == 0 and main(["sql", "real_v"]) == 0
     assert all(q in queries() for names in STUDIES.values() for q in names)
     assert main(["run", "expert", SF, "--out", str(tmp_path)]) == 0 and spark.read.parquet(f"{tmp_path}/kappa").count() > 0
+    # results and reports of one name stand beside each other
     assert main(["report", "wilson", SF, "--out", str(tmp_path)]) == 0
+    assert spark.read.parquet(f"{tmp_path}/wilson").count() > 0 and spark.read.text(f"{tmp_path}/report/wilson").count() > 0
 
 
 def test_rewritten_tables_are_read_anew(spark, tmp_path):
