@@ -162,3 +162,13 @@ def erfc(z: str) -> str:
 
 def normal_cdf(z: str) -> str:
     return f"(0.5 * ({erfc(f'(-({z}) / sqrt(2.0))')}))"
+
+
+def normal_quantiles(source: str, columns: str, digits: int = 9) -> str:
+    """Rows of source(p, ...) with z, the largest number of so many digits, from -10 on, whose normal probability is at most p: the inverse by search, one
+    decimal place after the other, on rows instead of in a loop."""
+    places = ", ".join(f"({k})" for k in range(20))
+    rows = f"SELECT {columns}, p, -10.0 AS z FROM ({source}) q"
+    for k in range(digits + 1):
+        rows = f"SELECT {columns}, p, max(z) AS z FROM (SELECT {columns}, p, z + d * {10.0 ** -k:.{k}f} AS z, d FROM ({rows}) a{k} CROSS JOIN (VALUES {places}) AS v{k}(d)) b{k} WHERE d = 0 OR {normal_cdf('z')} <= p GROUP BY {columns}, p"
+    return rows.replace("* 1 AS z", "* 1.0 AS z")

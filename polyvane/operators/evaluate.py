@@ -14,13 +14,15 @@ ATOMS = values([(a, f, p) for a, f, p, _ in PREDICATES], "a(atom, field, polarit
 RANDOM_DRAWS = 500
 
 
-def add_evaluation(plan: Plan, source: str = "residuals", p: str = "") -> None:
+def add_evaluation(plan: Plan, source: str = "residuals", p: str = "", predicates: tuple = tuple(PREDICATES)) -> None:
+    """Relations under names that begin with p, for the cells of source; predicates are (atom, field, polarity, condition on cell, nr, n0, rho and z)."""
+    ATOMS = values([x[:3] for x in predicates], "a(atom, field, polarity)")  # noqa: N806
     sign = "(CASE polarity WHEN 'under' THEN -1 ELSE 1 END)"
     draws = values([(k,) for k in range(RANDOM_DRAWS)], "g(draw)")
     ks = values([(k,) for k in (25, 50, 100, 200)], "k(k)")
     plan.add(**{
         f"{p}testable": f"SELECT field, cell, nr, n0, rho, z FROM (SELECT *, max({C.one(TESTABLE)}) OVER (PARTITION BY field) AS tested FROM {{{source}}}) r WHERE tested = 0 OR {TESTABLE}",
-        f"{p}hits": " UNION ALL ".join(f"SELECT '{a}' AS atom, field, cell, '{polarity}' AS polarity FROM {{{source}}} WHERE field = '{f}' AND ({where})" for a, f, polarity, where in PREDICATES),
+        f"{p}hits": " UNION ALL ".join(f"SELECT '{a}' AS atom, field, cell, '{polarity}' AS polarity FROM {{{source}}} WHERE field = '{f}' AND ({where})" for a, f, polarity, where in predicates),
         # positives match the atom; negatives match no atom of its field and polarity
         f"{p}scored": f"""SELECT a.atom, {sign} * round(t.z, 9) AS s, CASE WHEN h.cell IS NULL THEN 0 ELSE 1 END AS pos FROM {{{p}testable}} t JOIN {ATOMS} ON a.field = t.field
             LEFT JOIN {{{p}hits}} h ON h.atom = a.atom AND h.cell = t.cell
@@ -41,7 +43,7 @@ def add_evaluation(plan: Plan, source: str = "residuals", p: str = "") -> None:
         f"{p}completeness": f"""SELECT a.atom, a.field, a.polarity, max(CASE WHEN d.cell IS NULL THEN 0 ELSE 1 END) AS recovered, count(h.cell) AS cells FROM {ATOMS} LEFT JOIN {{{p}hits}} h ON h.atom = a.atom
             LEFT JOIN {{discover_full}} d ON d.field = h.field AND d.cell = h.cell AND d.polarity = h.polarity GROUP BY a.atom, a.field, a.polarity""",
         # as many cells at random, by field and polarity, as were discovered: how many atoms would be met; a draw that meets none has 0
-        f"{p}random_discovery": f"""SELECT g.draw, @DOUBLE(count(DISTINCT m.atom)) / {len(PREDICATES)} AS completeness FROM {draws} LEFT JOIN (SELECT s.draw, h.atom FROM
+        f"{p}random_discovery": f"""SELECT g.draw, @DOUBLE(count(DISTINCT m.atom)) / {len(predicates)} AS completeness FROM {draws} LEFT JOIN (SELECT s.draw, h.atom FROM
             (SELECT t.field, t.cell, q.polarity, q.n, g.draw, row_number() OVER (PARTITION BY t.field, q.polarity, g.draw ORDER BY @HASH32(concat_ws('|', 'random', g.draw, q.polarity, t.field, t.cell)), t.cell) AS r
              FROM {{{p}testable}} t JOIN (SELECT field, polarity, count(*) AS n FROM {{discover_full}} GROUP BY field, polarity) q ON q.field = t.field CROSS JOIN {draws}) s
             JOIN {{{p}hits}} h ON h.field = s.field AND h.cell = s.cell AND h.polarity = s.polarity WHERE s.r <= s.n) m ON m.draw = g.draw GROUP BY g.draw""",

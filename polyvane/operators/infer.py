@@ -22,7 +22,7 @@ TESTABLE = f"(n0 >= {LEAST} OR nr >= {LEAST})"
 
 def add_cells(plan: Plan, p: str = "", fields: tuple[str, ...] = C.FIELDS) -> None:
     """Real cells of all fields in one grouped count, null cells, both joined, residuals. Desynchronised corpora share the fields of SHARED."""
-    own = lambda f: p if p == "x_" and f not in SHARED else ""
+    own = lambda f: p if p.startswith("x") and f not in SHARED else ""
     units = " UNION ALL ".join(f"SELECT '{f}' AS field, cell FROM {{{own(f)}units_{f.lower()}}}" for f in fields)
     plan.add(**{f"{p}cells_real": f"SELECT field, cell, @DOUBLE(count(*)) AS n FROM ({units}) u GROUP BY field, cell",
                 f"{p}cells_null": " UNION ALL ".join(f"SELECT '{f}' AS field, cell, @DOUBLE(n) AS n FROM {{{own(f)}null_{f.lower()}}}" for f in fields)})

@@ -65,6 +65,9 @@ def add_stats(plan: Plan) -> None:
         # bounds by index, the k-th of the sorted draws
         half_intervals="SELECT cell, max(CASE WHEN r = floor(0.025 * (n - 1)) + 1 THEN share END) AS low, max(CASE WHEN r = floor(0.975 * (n - 1)) + 1 THEN share END) AS high FROM (SELECT cell, share, row_number() OVER (PARTITION BY cell ORDER BY share) AS r, count(*) OVER (PARTITION BY cell) AS n FROM {half_shares}) s GROUP BY cell",
         z_tests=f"SELECT field, cell, least(1.0, 2 * (1 - {C.normal_cdf('abs(round(z, 9))')})) AS p FROM {{residuals}} WHERE field IN ({', '.join(repr(f) for f in C.FIELDS)})",
+        # critical values: what a two-sided test of each field's cells has to reach, by itself and as one of all
+        tests_by_field="SELECT field, count(*) AS tests FROM {z_tests} GROUP BY field",
+        critical_z="SELECT field, alpha, tests, kind, -@DOUBLE(z) AS z FROM (" + C.normal_quantiles(f"SELECT field, a.alpha, tests, k.kind, a.alpha / 2 / CASE k.kind WHEN 'family' THEN tests ELSE 1 END AS p FROM {{tests_by_field}} CROSS JOIN {values([(0.001,), (0.01,), (0.05,)], 'a(alpha)')} CROSS JOIN {values([('single',), ('family',)], 'k(kind)')}", "field, alpha, tests, kind") + ") s",
         holm=holm("SELECT * FROM {z_tests}", "field, cell, p"),
         # several raters of one scale: the event types, by the level of the value that they give a user on a day; a day that one doesn't see is a missing rating
         ratings="""SELECT event_type AS rater, concat(user_id, '/', cast(floor(@HOURS(ts) / 24) AS int)) AS item, CASE WHEN max(value) < 100 THEN 'low' WHEN max(value) < 300 THEN 'middle' ELSE 'high' END AS category FROM {events}
@@ -83,8 +86,15 @@ def add_stats(plan: Plan) -> None:
             (SELECT quality, @DOUBLE(count(*)) AS n, avg(@DOUBLE(toxic)) AS share FROM {labels} WHERE toxic IS NOT NULL GROUP BY quality) s) q""",
         # as-of, nearest and approximate joins of notes with bars and slices
         bars=f"SELECT t.piece, g.b AS bar, g.b * 4.0 AS start FROM {{tonic}} t CROSS JOIN {values([(k,) for k in range(8)], 'g(b)')}",
-        note_bars="SELECT n.piece, n.voice, n.i, max(b.bar) AS bar, n.i * 0.5 - max(b.start) AS beat FROM {notes} n JOIN {bars} b ON b.piece = n.piece AND b.start <= n.i * 0.5 + 0.000001 GROUP BY n.piece, n.voice, n.i",
-        nearest_slices="""SELECT piece, voice, i, slice FROM (SELECT n.piece, n.voice, n.i, b.i AS slice, row_number() OVER (PARTITION BY n.piece, n.voice, n.i ORDER BY abs(b.i * 0.5 - (n.i + n.stop) * 0.25), b.i) AS r FROM {notes} n JOIN {beats} b ON b.piece = n.piece) s WHERE r = 1""",
+        # as of: bars and notes in one order of time, the last bar at or before each note; beats before and after a note's middle likewise
+        note_bars="""SELECT piece, voice, i, bar, i * 0.5 - start AS beat FROM (SELECT piece, voice, i, note, @LATEST(bar) OVER w AS bar, @LATEST(start) OVER w AS start FROM
+            (SELECT piece, voice, i, i * 0.5 + 0.000001 AS t, NULL AS bar, NULL AS start, 1 AS note FROM {notes} UNION ALL SELECT piece, NULL, NULL, start, bar, start, 0 FROM {bars}) u
+            WINDOW w AS (PARTITION BY piece ORDER BY t, note ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) s WHERE note = 1 AND bar IS NOT NULL""",
+        nearest_slices="""SELECT piece, voice, i, CASE WHEN earlier IS NULL OR later * 0.5 - t < t - earlier * 0.5 THEN later ELSE earlier END AS slice FROM
+            (SELECT piece, voice, i, t, note, @LATEST(b) OVER up AS earlier, @LATEST(b) OVER down AS later FROM
+             (SELECT piece, voice, i, (i + stop) * 0.25 AS t, NULL AS b, 1 AS note FROM {notes} UNION ALL SELECT piece, NULL, NULL, i * 0.5, i, 0 FROM {beats}) u
+             WINDOW up AS (PARTITION BY piece ORDER BY t, note, voice, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY piece ORDER BY t DESC, note, voice, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) s
+            WHERE note = 1 AND (earlier IS NOT NULL OR later IS NOT NULL)""",
         note_slices="SELECT n.piece, n.voice, n.i, s.metric, s.tonic FROM {notes} n JOIN {slices} s ON s.piece = n.piece AND cast(round(s.i * 0.5 * 1000000) AS bigint) = cast(round(n.i * 0.5 * 1000000) AS bigint)",
         # degrees of each voice by how many notes have them and for how long
         degree_marginals=f"""SELECT voice, mode, degree, @DOUBLE(n) / sum(n) OVER (PARTITION BY voice, mode) AS by_count, long / sum(long) OVER (PARTITION BY voice, mode) AS by_duration FROM

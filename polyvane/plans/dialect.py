@@ -30,6 +30,8 @@ MACROS = {
     "ONES": ("bit_count({0})", "bit_count(({0})::BIGINT)::INT"),
     # the members of an array that the bits of a number name
     "SUBSET": ("array_join(filter({0}, (bit_, at_) -> bit_get({1}, at_) = 1), '|')", "array_to_string(list_filter({0}, lambda bit_, at_: (({1} >> (at_ - 1)::INT) & 1) = 1), '|')"),
+    # rows of a relation once for each number below a column of it
+    "UPTO": ("(SELECT {0}, explode(sequence(0, {1} - 1)) AS i FROM {2})", "(SELECT {0}, unnest(range(0, {1}))::INT AS i FROM {2})"),
     "BITS": ("(SELECT {0}, posexplode(split({1}, '[|]')) AS (pos, bit) FROM {2})", "(SELECT {0}, unnest(string_split({1}, '|')) AS bit, generate_subscripts(string_split({1}, '|'), 1) - 1 AS pos FROM {2})"),
 }
 

@@ -7,6 +7,7 @@ from polyvane.operators.baselines import add_baselines
 from polyvane.operators.counts import add_counts
 from polyvane.operators.evaluate import PREDICATES, add_evaluation
 from polyvane.operators.export import EXPORT_QUERIES, add_export, add_noise, add_vocabularies
+from polyvane.operators.grid import LONG_QUERIES, free_plan
 from polyvane.operators.families import FAMILY_QUERIES, add_families
 from polyvane.operators.infer import add_calibration, add_cells, add_discoveries, add_residuals, add_rules
 from polyvane.operators.ladder import LADDER_QUERIES, add_ladder
@@ -21,7 +22,9 @@ from polyvane.operators.resample import DRAWS, half_samples, intervals, scheme_b
 from polyvane.operators.synthetic import truth_all
 from polyvane.operators.truth import monte_carlo_truth
 from polyvane.operators.transform import add_circular, add_desync
+from polyvane.plans import audit
 from polyvane.plans.dialect import Plan
+from polyvane.plans.plugins import PLUGGED, add_methods, add_schemes
 
 TABLES = ("events", "conversations", "labels")
 
@@ -71,6 +74,7 @@ def build(part: str | None = None, catalogue: str | None = None, **kind: bool) -
     add_export(plan)
     add_vocabularies(plan)
     add_noise(plan)
+    add_schemes(add_methods(plan))
     # the atoms' cells among those of the desynchronised corpus
     shifted = "(SELECT DISTINCT field, cell FROM {x_piece_counts}) c"
     plan.add(x_hits=" UNION ALL ".join(f"SELECT '{a}' AS atom, field, cell FROM {shifted} WHERE field = '{f}' AND ({where})" for a, f, _, where in PREDICATES))
@@ -102,12 +106,12 @@ QUERIES = {"notes": "SELECT piece, voice, i, stop, midi FROM {notes}", "tonic":
            "melodic_deltas": "SELECT * FROM {deltas}", "figures": "SELECT * FROM {figures}", "exchanges": "SELECT * FROM {exchanges}", "motion_counts": "SELECT * FROM {motion_counts}", "imitation": "SELECT piece, va, vb, lag, round(r, 4) AS r FROM {imitation}",
            "piece_stats": "SELECT piece, tonic, mode, lowest, highest, round(mean_pitch, 6) AS mean_pitch, round(sounding, 6) AS sounding, round(sync, 6) AS sync FROM {piece_stats}", "geometry_fire": "SELECT * FROM {geometry}",
            "markov_nll": "SELECT model, cast(n AS bigint) AS n, round(nll, 6) AS nll, round(perplexity, 6) AS perplexity FROM {melodic_nll}", "step_tvd": "SELECT va, vb, round(tvd, 6) AS tvd FROM {step_tvd}",
-           "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "kappa": "SELECT a, b, n, round(kappa, 6) AS kappa FROM {kappa}",
+           "halfsample_ci": "SELECT cell, round(low, 6) AS low, round(high, 6) AS high FROM {half_intervals}", "holm": "SELECT field, cell, round(adjusted, 6) AS adjusted FROM {holm}", "critical_z": "SELECT field, @DOUBLE(alpha) AS alpha, tests, kind, round(z, 6) AS z FROM {critical_z}", "kappa": "SELECT a, b, n, round(kappa, 6) AS kappa FROM {kappa}",
            "alpha": "SELECT ratings, round(alpha, 6) AS alpha FROM {alpha}", "wilson": "SELECT quality, n, round(low, 6) AS low, round(high, 6) AS high FROM {wilson}", "role_moves": "SELECT * FROM {role_moves}", "soft_chosen": "SELECT @DOUBLE(soft_z) AS soft_z FROM {soft_chosen}",
            "note_bars": "SELECT piece, voice, i, bar, @DOUBLE(beat) AS beat FROM {note_bars}", "nearest_slices": "SELECT * FROM {nearest_slices}", "note_slices": "SELECT * FROM {note_slices}",
            "degree_marginals": "SELECT voice, mode, degree, round(by_count, 6) AS by_count, round(by_duration, 6) AS by_duration FROM {degree_marginals}",
            "cell_means": "SELECT field, cell, round(mean, 6) AS mean, round(sd_population, 6) AS sd_population, round(sd, 6) AS sd, round(se, 6) AS se FROM {cell_means}", "structure_violations": "SELECT * FROM {structure_violations}",
-           **PAIRED_QUERIES, **EXPORT_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
+           **PAIRED_QUERIES, **PLUGGED, **EXPORT_QUERIES, **LADDER_QUERIES, **FAMILY_QUERIES, "recon_starts": "SELECT * FROM {recon_starts}", "recon_steps": "SELECT * FROM {recon_steps}", "recon_ranges": "SELECT * FROM {recon_ranges}"}
 
 
 def plan(**variant) -> Plan:
@@ -159,6 +163,12 @@ def method_gap_ci(spark, sf_dir, draws: int = DRAWS):
     return intervals(half_samples(*_resampled(spark, sf_dir), draws))
 
 
+def perturbation_audit(spark, sf_dir):
+    """What training pieces were fitted to, before and after the held-out pieces' events are changed."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return audit.perturbed(spark, build(part="train"), tables, tables | {"events": audit.disturb_held_out(tables["events"])})
+
+
 def resampling_bias(spark, sf_dir):
     """Halves, samples with replacement and doubled corpora beside the point estimate."""
     return scheme_bias(*_resampled(spark, sf_dir))
@@ -172,9 +182,9 @@ def queries() -> dict:
 
         return run
 
-    known = {k: make(name, lambda variant=variant: plan(**variant)) for k, (name, variant) in _named().items()} | {"confirmed": make("confirmed", confirmation)}
+    known = {k: make(name, lambda variant=variant: plan(**variant)) for k, (name, variant) in _named().items()} | {"confirmed": make("confirmed", confirmation)} | {k: make(k, free_plan) for k in LONG_QUERIES}
     return known | {"synthetic_truth": truth_all, "loglinear_null": loglinear_null,
-                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci, "resampling_bias": resampling_bias, "monte_carlo_truth": monte_carlo_truth}
+                    "reconstructed": _reconstructed(False), "reconstruction_gate": _reconstructed(True), "method_gap_ci": method_gap_ci, "resampling_bias": resampling_bias, "perturbation_audit": perturbation_audit, "monte_carlo_truth": monte_carlo_truth}
 
 
 def flagship(spark, sf_dir: str):
@@ -183,4 +193,4 @@ def flagship(spark, sf_dir: str):
 
 def oracle_sql() -> dict[str, str]:
     plans = {v: plan(**variant) for v, variant in VARIANTS.items()} | {"": plan()}
-    return {k: plans[k.split("_")[0] if variant else ""].duck(f"query_{name}") for k, (name, variant) in _named().items()} | {"confirmed": confirmation().duck("query_confirmed")}
+    return {k: plans[k.split("_")[0] if variant else ""].duck(f"query_{name}") for k, (name, variant) in _named().items()} | {"confirmed": confirmation().duck("query_confirmed")} | {k: free_plan().duck(f"query_{k}") for k in LONG_QUERIES}
