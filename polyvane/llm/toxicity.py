@@ -1,7 +1,7 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A text's features are its distinct words and distinct word beginnings of 4, 5 and 6 bytes. Of the features of at most ``MAX_ROWS``
-labelled rows per class (those of smallest hash), those that tell the classes apart best are kept (``MAX_FEATURES``); a logistic
+labelled rows per class (those of smallest hash), all that tell the classes apart are kept, as many as they are; a logistic
 model on them is fitted with a penalty on the squared change of its score under counterfactuals of the labelled texts:
 
 - where a text names a group by an identity term, the term is swapped for every other term of its group;
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from polyvane.llm.quality import fold, sample_texts
 from polyvane.llm.textvec import ALNUM, U, Words, by_chunk, lists, mix
 
-MAX_ROWS, MAX_FEATURES = 10_000, 4_000
+MAX_ROWS = 10_000
 #: Identity terms by group; a term is swapped for all others of its group.
 IDENTITY = {
     "gender": "man woman men women male female boy girl homme femme mann frau hombre mujer transgender nonbinary".split(),
@@ -139,7 +139,7 @@ def fit_logistic(doc: np.ndarray, row: np.ndarray, y: np.ndarray, n_features: in
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0, most: int = MAX_ROWS,
-                 most_features: int = MAX_FEATURES, doc_id: str = "doc_id", text: str = "text", counterfactual: float = 5.0) -> Toxicity:
+                 doc_id: str = "doc_id", text: str = "text", counterfactual: float = 5.0) -> Toxicity:
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(doc_id, parts) != held))
     usable = usable.groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -165,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts
     held_by = rows.mapInArrow(by_chunk("text", count), "f long, bad long, n long").groupBy("f").agg(F.sum("bad").alias("a"), (F.sum("n") - F.sum("bad")).alias("b")).where("a + b >= 3")
     odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
     sure = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = held_by.withColumn("z", odds / sure).where("abs(z) >= 2").orderBy(F.abs("z").desc(), "f").limit(most_features)
+    best = held_by.withColumn("z", odds / sure).where("abs(z) >= 2")
     keys = np.array([r["f"] for r in best.select("f").collect()], np.int64).view(np.uint64)
     term, owned = term_features()
     keys = np.unique(np.concatenate([keys, *owned]))  # identity terms are always in the model
