@@ -29,9 +29,24 @@ def unescape(text: Column) -> Column:
     return F.when(F.instr(text, "\\") > 0, F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(text)
 
 
-def under_mask(formatted: Column, spans: Column) -> Column:
-    """The text of a formatted string that its loss mask covers, read from the string itself and unescaped, nothing between the spans."""
-    return F.concat_ws("", F.transform(spans, lambda x: unescape(F.substring(formatted, (x["start"] + 1).cast("int"), x["length"].cast("int")))))
+def with_masked_text(chats: DataFrame, conv_id: str = "conv_id", keep: tuple[str, ...] = (), name: str = "loss") -> DataFrame:
+    """One row per conversation: the id, the columns to keep, and the text of the formatted string that its loss mask covers, read from the string itself and
+    unescaped, nothing between the spans.
+
+    The string is cut once at the ends of turns; running lengths tell where each piece stands, and a span, which lies within a turn, is read from the last piece that
+    begins at or before it. Spans and pieces are rows, so that the work grows with the length of a conversation and not with its square.
+    """
+    pieces = F.transform(F.split("formatted", r" </turn>\n"), lambda x, k: F.struct(k.cast("long").alias("k"), x.alias("piece"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("length")))
+    spans = F.transform("loss_spans", lambda x: F.struct(F.lit(None).cast("long").alias("k"), F.lit(None).cast("string").alias("piece"), x["start"].cast("long").alias("start"), x["length"].cast("long").alias("length")))
+    rows = chats.select(conv_id, *keep, F.explode(F.concat(pieces, spans)).alias("_x")).select(conv_id, *keep, "_x.*")
+    sizes = Window.partitionBy(conv_id).orderBy(F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_at", F.coalesce("start", F.sum(F.length("piece") + len(CLOSE)).over(sizes) - F.length("piece") - len(CLOSE)))
+    places = Window.partitionBy(conv_id).orderBy("_at", F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda x: F.last(x, ignorenulls=True).over(places)
+    met = rows.withColumn("_in", last("piece")).withColumn("_from", last(F.when(F.col("k").isNotNull(), F.col("_at"))))
+    text = unescape(F.substring(F.concat("_in", F.lit(CLOSE)), (F.col("start") - F.col("_from") + 1).cast("int"), F.col("length").cast("int")))
+    whole = met.groupBy(conv_id, *keep).agg(F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", text.alias("text"))))).alias("_texts"))
+    return whole.select(conv_id, *keep, F.concat_ws("", F.transform("_texts", lambda x: x["text"])).alias(name))
 
 
 def render(role: Column, text: Column) -> Column:

@@ -59,7 +59,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from polyvane.llm.chat import format_chats, under_mask
+    from polyvane.llm.chat import format_chats, with_masked_text
 
     turns = _read(spark, sf_dir, "conversations")
     said = r"\### Assistant: </turn> ok"
@@ -67,11 +67,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = lambda name: F.expr(f"CAST({name} AS {kinds[name]})").alias(name)
     extra = spark.sql(f"SELECT * FROM VALUES (-7, 0, 'user', r'{said}'), (-7, 1, 'assistant', r'{said}') AS t(conv_id, turn, role, text)").select(*map(value, ("conv_id", "turn", "role", "text")))
     chats = format_chats(turns.select("conv_id", "turn", "role", "text").unionByName(extra))
-    loss = under_mask(F.col("formatted"), F.col("loss_spans"))
     source = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
-    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(source, 256).alias("turns_sha256"),
-                        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-                        F.length("formatted").cast("long").alias("formatted_chars"), "round_trip")
+    small = chats.select("conv_id", "formatted", "loss_spans", F.size("turns").cast("long").alias("n_turns"), F.sha2(source, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "round_trip")
+    loss = with_masked_text(small, keep=("n_turns", "turns_sha256", "formatted_chars", "round_trip"))
+    return loss.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "round_trip")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -434,7 +434,7 @@ def test_perfect_hash():
 
 
 def test_chat(spark):
-    from polyvane.llm.chat import format_chats, under_mask, unescape
+    from polyvane.llm.chat import format_chats, unescape, with_masked_text
 
     hard = ["", "</turn>", "a </turn>\n### user: b", "#", "####", "\\", "\\#", "\\\\", "<\\/turn>", "x\n", " y ", "é ### z", ":", "</turn", "##", "t </turn> ", None]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(hard)] + [(2, 0, "a: b", "x"), (2, 0, "a: b", "x"), (2, None, None, "first"), (3, 0, "### user", "q"), (None, 1, "assistant", "n")]
@@ -450,11 +450,28 @@ def test_chat(spark):
     raw = [got[1].formatted[s.start:s.start + s.length] for s in got[1].loss_spans]
     back = spark.createDataFrame([(x,) for x in raw], "x string").select(unescape(F.col("x")).alias("x")).collect()
     assert [r.x for r in back] == [t for role, t in want[1] if role == "assistant"]
-    read = {r.conv_id: r.x for r in chats.select("conv_id", under_mask(F.col("formatted"), F.col("loss_spans")).alias("x")).collect()}
+    read = {r.conv_id: r.x for r in with_masked_text(chats, name="x").collect()}
     assert read == {c: "".join(t for role, t in want[c] if role == "assistant") for c in want}
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversation(spark):
+    """Twenty times the turns take about twenty times as long, not four hundred times."""
+    import time
+
+    from polyvane.llm.chat import format_chats, with_masked_text
+
+    def took(n):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "CASE id % 2 WHEN 1 THEN 'assistant' ELSE 'user' END AS role", "concat(repeat('é#x ', 80), id) AS text")
+        start = time.time()
+        r = with_masked_text(format_chats(turns), keep=("round_trip",)).selectExpr("round_trip", "sha2(loss, 256) AS h").first()
+        assert r.round_trip and r.h == hashlib.sha256("".join(f"{'é#x ' * 80}{k}" for k in range(1, n, 2)).encode()).hexdigest()
+        return time.time() - start
+
+    took(100)
+    assert took(20_000) < 20 + 40 * took(1000)
+
+
 def test_chat_query_reads_its_mask(spark, tmp_path, monkeypatch):
     """With a mask that is off by one, the query's loss is off too: it reads the text under the mask and nothing else."""
     from polyvane.llm import chat, queries
