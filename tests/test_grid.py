@@ -52,7 +52,7 @@ def test_score_files_reach_cells(spark, tmp_path):
     # 7 quarters are 14 slots; those under the soprano's rest are no complete slices
     assert sum(n for (f, _), n in cells.items() if f == "H") == 3 * 12
     assert sum(n for (f, _), n in cells.items() if f == "V") == 6 * (5 + 5)
-    assert cells["V", "both=1|eqΔ=1|pc07=0|hold=1|leapU=0|sgn=same|role=diagonal"] >= 1  # soprano and tenor up a step in tenths
+    assert cells["V", "both=1|eqΔ=1|pc07=1|hold=1|leapU=0|sgn=same|role=adjacent"] == 1  # soprano and alto up a step in fifths
 
 
 def test_bars_of_unequal_length(spark, tables):
