@@ -3,16 +3,12 @@
 A voice's first note in a phrase is drawn from the pitches, relative to the tonic, that begin phrases in its mode; later ones by steps, given the degree they
 leave, the metre and the place in the phrase, within the voice's range. A state seen fewer than LEAST times, or without a step inside the range, gives
 way to the next wider one. No voice sees another. Catalogues are plain aggregations and number with the vocabulary (voices, modes, degrees,
-places, steps), so they are sent to the executors; voices are drawn piece by piece, each from a generator seeded by (seed, piece, voice, copy).
+places, steps): one row a voice, as maps, broadcast. A voice is a fold over its notes in order, in the JVM; draws are hashes of (seed, piece, voice, slot, copy).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyvane.functions import cells as C
@@ -20,7 +16,6 @@ from polyvane.plans.dialect import Plan
 
 LEAST = 20
 STATES = ("concat_ws('.', 'full', mode, degree, metre, place)", "concat_ws('.', 'metre', mode, degree, metre)", "concat_ws('.', 'degree', mode, degree)", "'any'")
-SCHEMA = "piece long, voice string, copy int, i int, stop int, midi int"
 
 
 def add_reconstruction(plan: Plan) -> None:
@@ -36,58 +31,55 @@ def add_reconstruction(plan: Plan) -> None:
     )
 
 
-def _table(rows: DataFrame) -> dict:
-    found = defaultdict(list)
-    for r in rows.orderBy("voice", "state", "d").collect():
-        found[r.voice, r.state].append((r.d, r.n))
-    return {k: tuple(np.array(x) for x in zip(*v, strict=True)) for k, v in found.items()}
+def _catalogue(rows: DataFrame, name: str) -> DataFrame:
+    """(voice, map of state -> (value, number) in the order of values): one row a voice."""
+    states = rows.groupBy("voice", "state").agg(F.array_sort(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), F.col("n").cast("long").alias("n")))).alias("entries"))
+    return states.groupBy("voice").agg(F.map_from_entries(F.collect_list(F.struct("state", "entries"))).alias(name))
+
+
+def _bound(x: Column, use) -> Column:
+    """use(x) with x computed once."""
+    return F.transform(F.array(x), use)[0]
 
 
-def _pick(table: tuple | None, low: int, high: int, least: int, u: float) -> int | None:
-    """A value within [low, high] by weight, or None where the state is too rare or has none."""
-    if table is None or table[1].sum() < least:
-        return None
-    inside = (table[0] >= low) & (table[0] <= high)
-    total = np.cumsum(table[1][inside])
-    return int(table[0][inside][np.searchsorted(total, u * total[-1], side="right")]) if len(total) else None
+def _pick(entries: Column, low: Column, high: Column, least: int, u: Column) -> Column:
+    """The value within [low, high] whose cumulated number is the first above u of all there, or null where the state is unknown, too rare or has none."""
 
+    def choose(held: Column) -> Column:
+        inside = F.filter(held, lambda x: (x["d"] >= low) & (x["d"] <= high))
+        number = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
-class NoStep(ValueError):
-    """No state, however wide, has a value within the voice's range."""
+        def by_weight(some: Column) -> Column:
+            return _bound(u * number(some), lambda goal: F.aggregate(some, F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("d")), lambda a, x: F.struct(
+                (a["upto"] + x["n"]).alias("upto"), F.when(a["d"].isNull() & (a["upto"] + x["n"] > goal), x["d"]).otherwise(a["d"]).alias("d")))["d"])
 
+        return F.when(number(held) >= least, _bound(inside, by_weight))
 
-def _first(found, voice: str, state: str) -> int:
-    for x in found:
-        if x is not None:
-            return x
-    raise NoStep(f"voice {voice} has no value within its range after {state}")
+    return _bound(entries, choose)
 
 
 def reconstruct(placed: DataFrame, starts: DataFrame, steps: DataFrame, ranges: DataFrame, copies: int = 1, seed: int = 0) -> DataFrame:
-    """(piece, voice, copy, i, stop, midi): notes of the same onsets and ends with drawn pitches."""
-    first, then, bounds = _table(starts), _table(steps), {r.voice: (r.lo, r.hi) for r in ranges.collect()}
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        voice, tonic, mode, out = rows["voice"].iloc[0], int(rows["tonic"].iloc[0]), rows["mode"].iloc[0], []
-        lo, hi = bounds[voice]
-        for copy in range(copies):
-            rng = np.random.default_rng([seed, int(rows["piece"].iloc[0]) & (2 ** 63 - 1), C.VOICES.index(voice), copy])
-            now = 0
-            for r in rows.itertuples():
-                u = rng.random()
-                if r.first:
-                    found = [_pick(first.get((voice, s)), lo - tonic, hi - tonic, least, u) for s, least in ((mode, LEAST), ("*", 0))]
-                    now = tonic + _first(found, voice, mode)
-                else:
-                    degree = (now - tonic) % 12
-                    states = (f"full.{mode}.{degree}.{r.metre}.{r.place}", f"metre.{mode}.{degree}.{r.metre}", f"degree.{mode}.{degree}", "any")
-                    found = (_pick(then.get((voice, s)), lo - now, hi - now, 0 if s == "any" else LEAST, u) for s in states)
-                    now += _first(found, voice, states[0])
-                out.append((r.piece, voice, copy, r.i, r.stop, now))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return placed.groupBy("piece", "voice").applyInPandas(draw, SCHEMA)
+    """(piece, voice, copy, i, stop, midi): notes of the same onsets and ends with drawn pitches. A voice without a value within its range in any state is an error."""
+    catalogue = _catalogue(starts, "first").join(_catalogue(steps, "then"), "voice", "left").join(ranges, "voice")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"recon{seed}"), "piece", "voice", "i", "copy")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    drawn = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("u", u)
+    voices = drawn.groupBy("piece", "voice", "copy", "tonic", "mode").agg(F.array_sort(F.collect_list(F.struct("i", "stop", "first", "metre", "place", "u"))).alias("notes"))
+    voices = voices.join(F.broadcast(catalogue), "voice")  # a row a voice: values by states, a bounded vocabulary
+    lo, hi, mode = F.col("lo"), F.col("hi"), F.col("mode")
+
+    def note(held: Column, x: Column) -> Column:
+        now, degree = held["now"], F.pmod(held["now"] - F.col("tonic"), F.lit(12)).cast("string")
+        begin = lambda state, least: _pick(F.element_at("first", state), lo - F.col("tonic"), hi - F.col("tonic"), least, x["u"]) + F.col("tonic")
+        move = lambda state, least: _pick(F.element_at("then", state), lo - now, hi - now, least, x["u"]) + now
+        dotted = lambda *parts: F.concat_ws(".", *parts)
+        states = (dotted(F.lit("full"), mode, degree, x["metre"], x["place"]), dotted(F.lit("metre"), mode, degree, x["metre"]), dotted(F.lit("degree"), mode, degree))
+        none = F.raise_error(F.concat(F.lit("no value within the range of voice "), F.col("voice"))).cast("int")
+        midi = F.when(x["first"] == 1, F.coalesce(begin(mode, LEAST), begin(F.lit("*"), 0), none)).otherwise(F.coalesce(*(move(s, LEAST) for s in states), move(F.lit("any"), 0), none)).cast("int")
+        return _bound(midi, lambda m: F.struct(m.alias("now"), F.concat(held["out"], F.array(F.struct(x["i"].alias("i"), x["stop"].alias("stop"), m.alias("midi")))).alias("out")))
+
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<struct<i:int,stop:int,midi:int>>").alias("out"))
+    made = voices.withColumn("made", F.aggregate("notes", start, note)["out"])
+    return made.select("piece", "voice", "copy", F.explode("made").alias("x")).select("piece", "voice", "copy", "x.i", "x.stop", "x.midi")
 
 
 def compliance(placed: DataFrame, made: DataFrame) -> DataFrame:

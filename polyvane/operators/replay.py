@@ -134,7 +134,7 @@ def add_replay(plan: Plan, name: str = "replay", p: str = "", k: int = K, seed:
         add_residuals(plan, f"{p}{name}_residuals", f"{p}{name}_joined")
 
 
-def add_simulations(plan: Plan, n_sim: int = 20) -> None:
+def add_simulations(plan: Plan, n_sim: int = 30) -> None:
     """Corpora simulated under the null, one replay each of another stream of draws, and what z their cells get; empirical p-values from them.
 
     ``sim_z`` holds every tested cell of every simulation; its windows are by field, over simulations times vocabulary.

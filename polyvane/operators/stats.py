@@ -100,7 +100,7 @@ def add_stats(plan: Plan) -> None:
         degree_marginals=f"""SELECT voice, mode, degree, @DOUBLE(n) / sum(n) OVER (PARTITION BY voice, mode) AS by_count, long / sum(long) OVER (PARTITION BY voice, mode) AS by_duration FROM
             (SELECT n.voice, t.mode, {C.pmod('n.midi - t.tonic')} AS degree, count(*) AS n, @DOUBLE(sum(n.stop - n.i)) * 0.5 AS long FROM {{notes}} n JOIN {{tonic}} t ON t.piece = n.piece GROUP BY n.voice, t.mode, {C.pmod('n.midi - t.tonic')}) c""",
         # a cell's mean count over pieces, those without it included: population and sample deviation, standard error; from sums that merge
-        cell_sums="SELECT field, cell, @DOUBLE(sum(n)) AS s, @DOUBLE(sum(n * n)) AS q FROM (SELECT 'V' AS field, piece, cell, count(*) AS n FROM {units_v} GROUP BY piece, cell UNION ALL SELECT 'G', piece, cell, count(*) FROM {units_g} GROUP BY piece, cell) c GROUP BY field, cell",
+        cell_sums="SELECT field, cell, @DOUBLE(sum(n)) AS s, @DOUBLE(sum(n * n)) AS q FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, piece, cell, count(*) AS n FROM {{units_{f.lower()}}} GROUP BY piece, cell" for f in C.FIELDS) + ") c GROUP BY field, cell",
         cell_means="""SELECT field, cell, s / n AS mean, sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS sd_population, CASE WHEN n > 1 THEN sqrt(greatest(q - s * s / n, 0) / (n - 1)) END AS sd, CASE WHEN n > 1 THEN sqrt(greatest(q - s * s / n, 0) / (n - 1) / n) END AS se FROM {cell_sums}
             CROSS JOIN (SELECT @DOUBLE(count(*)) AS n FROM {tonic}) t""",
         # what must not be: notes that overlap or are empty, slices off the grid, phrases that overlap, rotations that change a voice's pitches

@@ -5,6 +5,7 @@ from collections import defaultdict
 from statistics import NormalDist
 
 import pytest
+from pyspark.sql import functions as F
 
 from polyvane.plans.queries import TABLES, build, plan, queries
 
@@ -110,3 +111,20 @@ def test_critical_values(spark):
     for r in queries()["critical_z"](spark, SF).collect():
         p = r.alpha / 2 / (r.tests if r.kind == "family" else 1)
         assert math.isclose(r.z, -NormalDist().inv_cdf(p), abs_tol=2e-5)
+
+
+def test_broken_structure_is_found(spark, tables):
+    """Each kind of violation, put into otherwise sound relations, is reported; sound ones report nothing."""
+    sound, made = plan(), {}
+    assert sound.frame("structure_violations", tables, spark, made).count() == 0
+    notes = sound.frame("notes", tables, spark, made)
+    some = notes.orderBy("piece", "voice", "i").limit(1)
+    frames = {
+        "note": {"notes": notes.unionByName(some.selectExpr("piece", "voice", "i", "i AS stop", "midi", "next_midi", "next_i"))},
+        "overlap": {"notes": notes.unionByName(some.selectExpr("piece", "voice", "i + 1 AS i", "i + 9 AS stop", "midi", "next_midi", "next_i")).unionByName(some.selectExpr("piece", "voice", "i + 2 AS i", "i + 9 AS stop", "midi", "next_midi", "next_i"))},
+        "slice": {"raw_slices": sound.frame("raw_slices", tables, spark, made).where("i <> 3")},
+        "rotation": {"rotated": sound.frame("rotated", tables, spark, made).withColumn("ms", F.col("ms") + 1)},
+    }
+    for kind, broken in frames.items():
+        rows = plan().frame("structure_violations", tables | broken, spark).collect()
+        assert kind in {r.what for r in rows}, kind

@@ -126,10 +126,3 @@ def test_rewritten_tables_are_read_anew(spark, tmp_path):
     some.to_parquet(folder / "events.parquet", coerce_timestamps="us")
     spark.catalog.refreshByPath(str(folder))
     assert before != queries()["real_v"](spark, str(folder)).count() or queries()["notes"](spark, str(folder)).count() < queries()["notes"](spark, SF).count()
-
-
-def test_named_error_without_a_step():
-    from polyvane.operators.reconstruct import NoStep, _first
-
-    with pytest.raises(NoStep):
-        _first(iter([None, None]), "S", "any")

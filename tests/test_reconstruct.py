@@ -1,6 +1,7 @@
 """Reconstructed voices keep onsets and range, follow the catalogues, and don't depend on each other."""
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -33,6 +34,50 @@ def test_structure(spark, parts):
         last[r.piece, r.voice] = r.midi
 
 
+def test_every_note(spark, parts):
+    """The fold in the JVM draws what a loop over each voice's notes draws from the same numbers."""
+    placed, starts, steps, ranges = (f.collect() for f in parts)
+    first, then, bounds = defaultdict(list), defaultdict(list), {r.voice: (r.lo, r.hi) for r in ranges}
+    for table, rows in ((first, starts), (then, steps)):
+        for r in sorted(rows, key=lambda r: r.d):
+            table[r.voice, r.state].append((r.d, r.n))
+
+    def pick(entries, low, high, least, u):
+        inside = [(d, n) for d, n in entries if low <= d <= high]
+        if sum(n for _, n in entries) < least or not inside:
+            return None
+        upto, goal = 0, u * sum(n for _, n in inside)
+        for d, n in inside:
+            upto += n
+            if upto > goal:
+                return d
+
+    want, now = {}, None
+    for r in sorted(placed, key=lambda r: (r.piece, r.voice, r.i)):
+        for copy in (0, 1):
+            u = int(hashlib.md5(f"recon0|{r.piece}|{r.voice}|{r.i}|{copy}".encode()).hexdigest()[:8], 16) / 2 ** 32
+            lo, hi = bounds[r.voice]
+            if r.first:
+                d = next(x for x in (pick(first[r.voice, s], lo - r.tonic, hi - r.tonic, least, u) for s, least in ((r.mode, 20), ("*", 0))) if x is not None)
+                now = r.tonic + d
+            else:
+                now = want[r.piece, r.voice, copy, before]
+                k = (now - r.tonic) % 12
+                states = (f"full.{r.mode}.{k}.{r.metre}.{r.place}", f"metre.{r.mode}.{k}.{r.metre}", f"degree.{r.mode}.{k}", "any")
+                now += next(x for x in (pick(then[r.voice, s], lo - now, hi - now, 0 if s == "any" else 20, u) for s in states) if x is not None)
+            want[r.piece, r.voice, copy, r.i] = now
+        before = r.i
+    got = {(r.piece, r.voice, r.copy, r.i): r.midi for r in reconstruct(*parts, copies=2).collect()}
+    assert got == want and len(got) > 500
+
+
+def test_no_value_in_range(parts):
+    """A voice whose range no state reaches is an error that names it."""
+    placed, starts, steps, ranges = parts
+    with pytest.raises(Exception, match="range of voice"):
+        reconstruct(placed, starts, steps, ranges.selectExpr("voice", "lo + 500 AS lo", "hi + 500 AS hi")).collect()
+
+
 def test_voices_are_independent(parts):
     placed, *model = parts
     alone = {(r.piece, r.i): r.midi for r in reconstruct(placed.where("voice = 'A'"), *model).collect()}
