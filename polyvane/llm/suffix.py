@@ -11,9 +11,9 @@ step on. The common prefix of queue neighbours is one more than the least one be
 compared again. A window that has 200 bytes in common with a neighbour is repeated.
 
 Shards of many anchors are done in memory, a few megabytes at a time. An anchor with more than ``HOT`` distinct runs is first split over tasks, by
-distance and shared bytes, again and again while it is hot. An anchor that is nevertheless larger than two such blocks is sorted on
-disk, whatever its place in the shard: tuples go through priority queues that spill sorted runs and merge them, and no more than a part of
-them is in memory at once (``External``).
+distance and shared bytes, again and again while it is hot. What is then still larger than two such blocks would be sorted on disk: tuples go
+through priority queues that spill sorted runs and merge them, and no more than a part of them is in memory at once (``External``). At the present
+``HOT`` the split leaves no group that large, so ``remove_repeats`` sorts in memory, block by block; the queues are for a larger ``HOT``.
 
 Repeated windows are given back to the texts that hold them; kept bytes are what no repeated window covers.
 
