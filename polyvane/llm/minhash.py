@@ -134,7 +134,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
             size = np.maximum.accumulate(text_bytes(batch.column(2))[1] + text_bytes(batch.column(3))[1])
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, size[at] + (4 << 20), side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(size, size[at] + (1 << 20), side="right")) - 1)
                 part = batch.slice(at, to - at)
                 at = to
                 texts_of = pa.concat_arrays([part.column(2), part.column(3)])
