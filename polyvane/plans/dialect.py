@@ -109,7 +109,7 @@ class Plan:
                     made[""] = (*(f.semanticHash() for _, f in sorted(tables.items())), state(spark, tables))
                 key = (name, self.text(name), made[""])
                 spread = self.PREFIX.sub("", name) in self.SPREAD
-                made[name] = shared(spark, key, lambda: write(spark, build().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "piece") if spread else build(), name))
+                made[name] = shared(spark, key, lambda: write(spark, build().repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "piece") if spread else build(), name))
             else:
                 made[name] = build()
         return made[name]
