@@ -227,6 +227,19 @@ def test_warc(spark):
     assert resolve(read_warc(write_warc(pages.limit(0), Work(spark, "t").path))).count() == 0
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    """A null page id ranks above all others; rows that repeat the smallest id of a group are all responses."""
+    from polyvane.llm.warc import read_warc, resolve, write_warc
+    from polyvane.llm.work import Work
+
+    big, lone = "<p>same</p>" * 30, "<p>lone</p>" * 30
+    rows = [(None, "http://n", big), (5, "http://a", big), (5, "http://b", big), (9, "http://c", big), (None, "http://d", lone), (None, "http://e", "short"), (5, "http://f", lone + "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((r.url, r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in resolve(read_warc(write_warc(pages, Work(spark, "t").path))).collect())
+    kind = {"http://n": ("revisit", 5), "http://c": ("revisit", 5)}
+    assert got == sorted((u, i, len(t), hashlib.sha256(t.encode()).hexdigest(), *kind.get(u, ("response", None))) for i, u, t in rows)
+
+
 def brute_repeats(texts, match=200):
     raw = [(t or "").encode() for _, t in texts]
     seen = Counter(b[k:k + match] for b in raw for k in range(len(b) - match + 1))
