@@ -10,10 +10,11 @@ the left at a time: suffixes go, in order, to the queue of their (anchor, preced
 step on. The common prefix of queue neighbours is one more than the least one between them in the step before, so no bytes are
 compared again. A window that has 200 bytes in common with a neighbour is repeated.
 
-Shards of many anchors are done in memory, a few megabytes at a time. An anchor with more than ``HOT`` distinct runs is first split over tasks, by
-distance and shared bytes, again and again while it is hot. What is then still larger than two such blocks would be sorted on disk: tuples go
-through priority queues that spill sorted runs and merge them, and no more than a part of them is in memory at once (``External``). At the present
-``HOT`` the split leaves no group that large, so ``remove_repeats`` sorts in memory, block by block; the queues are for a larger ``HOT``.
+Shards are sized by bytes (``SHARD``), several times what a task sorts in memory (``BLOCK``). A shard that goes beyond ``BLOCK`` is sorted on disk
+as a whole (``External``): tuples (suffix, common prefix) go through priority queues that spill sorted runs and merge them, and no more than a
+part of them is in memory at once. Suffixes of all its anchors share the queues: windows at one distance that are equal have one anchor, and order and
+prefixes hold across anchors too. Only an anchor that is itself larger than a few shards (``HOT`` distinct runs) is first split over tasks, by
+distance and shared bytes, again and again while it is hot.
 
 Repeated windows are given back to the texts that hold them; kept bytes are what no repeated window covers.
 
@@ -37,10 +38,14 @@ from polyvane.llm.textvec import U, by_chunk, chunks, gather, lists, mix, odd, s
 from polyvane.llm.work import Work
 
 MATCH, GRAM = 200, 32
-#: Bytes of runs sorted in memory at once; bytes of a long text winnowed at once.
+#: Bytes of runs sorted in memory, beyond which a shard is sorted on disk; bytes of a long text winnowed at once.
 BLOCK, SEGMENT = 8 << 20, 2 << 20
-#: Distinct runs of an anchor beyond which it is split, and by how many distances at a time; hot anchors that are broadcast.
-HOT, WIDTHS, MAX_BROADCAST = 1_000, (32, 8, 1), 500_000
+#: Bytes of a shard, at most, and the most shards; beyond that many shards grow, on disk.
+SHARD, MAX_SHARDS = 64 << 20, 20_000
+#: Distinct runs of an anchor (up to 400 bytes each) beyond which it is split, and by how many distances at a time; hot anchors that are broadcast.
+HOT, WIDTHS, MAX_BROADCAST = 1 << 18, (32, 8, 1), 500_000
+#: An accumulator, where set, of the bytes of runs that went through the queues on disk.
+QUEUED = None
 
 
 def _runs_of(buf: np.ndarray, offs: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
@@ -264,7 +269,7 @@ class Queue:
 
 
 class External:
-    """The distinct runs of one anchor, however many, on disk: batches come in by ``add`` and are not kept.
+    """The distinct runs of a shard, however many, on disk: batches come in by ``add`` and are not kept.
 
     Tuples (anchor suffix, run) wait in a queue that sorts them; then, one byte to the left at a time, tuples (preceding byte, place, run, common prefix) go
     through a queue each. The preceding bytes lie in a file by distance. In memory are, besides the parts at hand, a run's distance, number
@@ -423,7 +428,9 @@ def region_bytes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(region.buffers()[2], np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
-def _sort_shard(match: int, block: int = BLOCK):
+def _sort_shard(match: int, block: int | None = None):
+    block, queued = BLOCK if block is None else block, QUEUED
+
     def flush(table: pa.Table) -> pa.RecordBatch:
         text, offs = region_bytes(table)
         _, group = np.unique(table["a"].to_numpy(), return_inverse=True)
@@ -439,35 +446,20 @@ def _sort_shard(match: int, block: int = BLOCK):
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, large, own = 0, None, None
-        for batch in batches:  # sorted by anchor: all but the last anchor are complete
-            if large is not None:
-                n = int(np.searchsorted(batch.column(0).to_numpy(), own, side="right"))
-                large.add(pa.Table.from_batches([batch.slice(0, n)]))
-                batch = batch.slice(n)
-                if not batch.num_rows:
-                    continue
-                yield from large.spans()
-                large = None
-            held.append(batch)
+        size, disk = 0, None
+        for batch in batches:
             size += batch.column(2).nbytes
-            if size < block:
-                continue
-            table = pa.Table.from_batches(held)
-            anchor = table["a"].to_numpy()
-            done = int(np.searchsorted(anchor, anchor[-1]))
-            if done:
-                yield flush(table.slice(0, done))
-                held = table.slice(done).to_batches()
-                size = sum(x.column(2).nbytes for x in held)
-            if size > 2 * block:  # one anchor: from here on it is sorted on disk
-                large, own = External(match), anchor[-1]
+            held.append(batch)
+            if size > block:  # from here on the shard is sorted on disk
+                disk = disk or External(match)
                 for x in held:
-                    large.add(pa.Table.from_batches([x]))
-                held, size = [], 0
-        if large is not None:
-            yield from large.spans()
-        if held:
+                    disk.add(pa.Table.from_batches([x]))
+                held = []
+        if disk is not None:
+            yield from disk.spans()
+            if queued is not None:
+                queued.add(size)
+        elif held:
             yield flush(pa.Table.from_batches(held))
 
     return sort
@@ -483,12 +475,15 @@ def _repeated_runs(runs: DataFrame, work: Work, match: int, widths: tuple[int, .
     name, whole = f"w{len(widths)}", ["a", "off", "region", "r1", "r2"]
 
     def sort(rows: DataFrame) -> DataFrame:
-        shards = rows.groupBy(*whole).agg(F.sum("n").alias("n")).repartition("a").sortWithinPartitions("a")
-        return shards.mapInArrow(_sort_shard(match), "r1 long, r2 long, lo int, hi int")
+        distinct = rows.groupBy(*whole).agg(F.sum("n").alias("n")).repartition(shards, "a")
+        return distinct.mapInArrow(_sort_shard(match), "r1 long, r2 long, lo int, hi int")
 
-    many = work.table(runs.groupBy("a").agg(F.countDistinct("r1").alias("c")).where(F.col("c") > hot).select("a"), f"hot-{name}") if widths else None
-    if many is None or not (n := many.count()):
+    anchors = work.table(runs.groupBy("a").agg(F.countDistinct("r1").alias("c")), f"sizes-{name}")
+    total, n = anchors.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > hot, 1))).first()
+    shards = max(1, min(MAX_SHARDS, -(-total * 2 * match // SHARD)))
+    if not widths or not n:
         return work.table(sort(runs), f"spans-{name}")
+    many = anchors.where(F.col("c") > hot).select("a")
     many = F.broadcast(many) if n <= MAX_BROADCAST else many.hint("merge")
     heavy = runs.join(many, "a", "left_semi").groupBy(*whole).agg(F.sum("n").alias("n"))
     step, size = widths[0], F.length("region")

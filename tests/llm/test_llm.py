@@ -289,7 +289,7 @@ def flagged(batches, windows):
 
 @pytest.mark.parametrize("block", [8 << 20, 2000, 0])
 def test_induced_sorting(block):
-    """In memory, and with every anchor but the smallest on disk, whatever its place in the shard."""
+    """In memory, and with a shard of many anchors on disk, from its first batch on or from a later one."""
     from polyvane.llm.suffix import _sort_shard
 
     table, windows = shard_of_runs(40)
@@ -351,6 +351,41 @@ def test_external_sorting_is_bounded():
     assert sum(b.num_rows for b in out) == 0 and peak < 120e6
 
 
+def test_op4_goes_through_its_queues(spark, tmp_path, monkeypatch):
+    """The registered query on shards of 20 times the memory that sorting may use: all runs go through the queues, and the rows are those of brute force."""
+    from polyvane.llm import suffix
+    from polyvane.llm.queries import op4_suffix
+
+    rng = np.random.default_rng(8)
+    prose = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = [prose(int(n)) for n in rng.integers(200, 900, 12)]
+    texts = [prose(int(rng.integers(0, 80))) + shared[k % 12][:int(rng.integers(150, 900))] + prose(int(rng.integers(0, 80))) for k in range(120)]
+    frame = spark.createDataFrame(list(enumerate([*texts, None, "", texts[0], "ab" * 300])), "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(op4_brute(frame))
+    runs_in_memory = sorted(map(tuple, op4_suffix(spark, str(tmp_path)).collect()))
+    counter = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(suffix, "BLOCK", 2000)
+    monkeypatch.setattr(suffix, "SHARD", 40_000)
+    monkeypatch.setattr(suffix, "QUEUED", counter)
+    through = sorted(map(tuple, op4_suffix(spark, str(tmp_path)).collect()))
+    assert counter.value > 40_000
+    assert through == runs_in_memory == want and sum(r[2] > 0 for r in want) > 60
+
+
+def op4_brute(frame):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, window by window."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in frame.select("doc_id", "text").collect()]
+    seen = Counter(b[k:k + 200] for _, b in rows for k in range(len(b) - 199))
+    for i, b in rows:
+        gone = [False] * len(b)
+        for k in range(len(b) - 199):
+            if seen[b[k:k + 200]] > 1:
+                gone[k:k + 200] = [True] * 200
+        spans = sum(x and not y for x, y in zip(gone, [False, *gone], strict=False))
+        yield i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()
+
+
 def test_hot_anchor_is_split(spark):
     """Runs of one anchor dealt by distance and shared bytes, level by level: the same spans as unsplit, and no large group."""
     from polyvane.llm.suffix import _repeated_runs
