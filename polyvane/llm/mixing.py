@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, native.
 
-Words are dealt to sources by highest quotients weight / (2 k + 1), then each source's words to its shards by the shards'
-sizes. A shard lays its documents on a tape in seeded order and takes its quota of words from the start, twice round at
-most; a document gives the words of it that the quota covers.
+Tokens are dealt to sources by highest quotients weight / (2 k + 1), then each source's tokens to its shards by the shards' sizes, down to the
+token, so that quotas are integers and no target is missed. A shard lays its documents on a tape in seeded order and cuts it into blocks of equally many
+tokens. Its quota is whole passes over the tape and a rest; the rest goes to blocks in seeded order, whole blocks while they fit and the first
+tokens of the one after. A document gives what lies in the blocks that were chosen.
 
 No quota is cut: a source at its cap gives every document ``most`` times, and the words of any other source are no more
 than ``most`` times its size. At just that many words each shard's quota is ``most`` times its own size, and quotas only
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from polyvane.llm.work import Work
 
 WEIGHTS = (3, 1, 2)
+#: Tokens of a block at most, and how many blocks a shard of the smallest source should be dealt at least.
+BLOCK, BLOCKS = 4096, 8
 
 
 def sainte_lague(rows: DataFrame, group: list[str], key: list[Column], weight: str, seats: str) -> DataFrame:
@@ -70,7 +73,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """One row per document: the id, size, source_size, target, taken, source, shard.
 
     What is taken from a source is its target to within a word or two. Shards: one per 50,000 documents, within 64 to
-    16,384, so that a source with a third of all rows is many windows.
+    16,384, so that a source with a third of all rows is many windows. Blocks: as many tokens as give a shard of the smallest
+    target some ``BLOCKS`` of them, ``BLOCK`` at most.
     """
     work = Work(docs.sparkSession, "mix")
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -93,11 +97,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     left = cells.alias("c").join(sources.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select(
         "c.source", "shard", "cell", "source_size", "target", "source_words")
     quotas = sainte_lague(left, ["source"], [F.col("shard")], "cell", "source_words").withColumnRenamed("quota", "_words")
-    tape = Window.partitionBy("source", "shard").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = sized.withColumn("_end", F.sum("size").over(tape))
     rounds = F.when(F.col("cell") > 0, F.least(F.lit(most), F.floor(F.col("_words") / F.col("cell")))).otherwise(0).cast("long")
-    rest = F.when(F.col("_rounds") < most, F.col("_words") - F.col("_rounds") * F.col("cell")).otherwise(0)
-    over = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - (F.col("_end") - F.col("size")))
-    return laid.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard"))).withColumn(
-        "_rounds", rounds).select(F.col("_id").alias(doc_id), "size", "source_size", "target",
-                                  (F.col("_rounds") * F.col("size") + over).cast("long").alias("taken"), "d.source", "d.shard")
+    rest = F.when(F.col("_rounds") < most, F.col("_words") - F.col("_rounds") * F.col("cell")).otherwise(F.lit(0))
+    quotas = quotas.withColumn("_rounds", rounds).withColumn("_rest", rest.cast("long"))
+    quotas = work.table(quotas.select("source", "shard", "cell", "source_size", "target", "_rounds", "_rest"), "quotas")
+
+    least = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target")))).first()[0]
+    block = max(1, min(BLOCK, int((least or 0) // (BLOCKS * shards))))
+    here = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.shard") == F.col(f"{b}.shard"))
+    tape = Window.partitionBy("source", "shard").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = work.table(sized.withColumn("_end", F.sum("size").over(tape)).drop("_order"), "laid")
+    chosen = chosen_blocks(quotas, block, seed)
+    spread = laid.where("size > 0").withColumn("_block", F.explode(F.sequence(F.floor((F.col("_end") - F.col("size")) / block), F.floor((F.col("_end") - 1) / block))))
+    got = F.least("_end", F.col("_block") * block + F.col("_some")) - F.greatest(F.col("_end") - F.col("size"), F.col("_block") * block)
+    partly = spread.alias("d").join(chosen.alias("b"), here("d", "b") & (F.col("d._block") == F.col("b._block"))).select(
+        "d.source", "d.shard", "_end", "size", F.col("d._block"), "_some").withColumn("_got", got).where("_got > 0")
+    partly = partly.groupBy("source", "shard", "_end").agg(F.sum("_got").alias("_got"))
+    whole = laid.alias("d").join(quotas.alias("q"), here("d", "q")).select("d.*", "source_size", "target", "_rounds")
+    return whole.alias("d").join(partly.alias("p"), here("d", "p") & (F.col("d._end") == F.col("p._end")) & (F.col("d.size") > 0), "left").select(
+        F.col("_id").alias(doc_id), "size", "source_size", "target", (F.col("_rounds") * F.col("size") + F.coalesce("_got", F.lit(0))).cast("long").alias("taken"), "d.source", "d.shard")
+
+
+def chosen_blocks(quotas: DataFrame, block: int, seed: int) -> DataFrame:
+    """source, shard, _block, _some: how many tokens of each block are taken beyond whole passes; blocks of which none is are left out."""
+    blocks = quotas.where("_rest > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cell") - 1) / block))))
+    size = F.least(F.lit(block), F.col("cell") - F.col("_block") * block)
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), "shard", "_block"))
+    order = Window.partitionBy("source", "shard").orderBy("_drawn", "_block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("_size", size).withColumn("_drawn", drawn).withColumn("_upto", F.sum("_size").over(order))
+    some = F.least(F.col("_size"), F.col("_rest") - (F.col("_upto") - F.col("_size")))
+    return blocks.withColumn("_some", some).where("_some > 0").select("source", "shard", "_block", "_some")

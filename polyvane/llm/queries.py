@@ -174,10 +174,18 @@ cn AS (SELECT cq.source, shard, count(*) FILTER (rn <= rest) AS won FROM cq JOIN
 cr AS (SELECT c2.*, CASE WHEN cell > 0 THEN low + coalesce(won, 0) ELSE 0 END AS words
        FROM c2 LEFT JOIN cn ON c2.source IS NOT DISTINCT FROM cn.source AND c2.shard = cn.shard),
 tp AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS z FROM e),
-f AS (SELECT tp.*, source_size, target, cell, words, CASE WHEN cell > 0 THEN least(2, words // cell) ELSE 0 END AS rounds
-      FROM tp JOIN cr ON tp.source IS NOT DISTINCT FROM cr.source AND tp.shard = cr.shard)
-SELECT doc_id, size, source_size, target,
-       (rounds * size + greatest(0, least(z, CASE WHEN rounds < 2 THEN words - rounds * cell ELSE 0 END) - (z - size)))::BIGINT AS taken FROM f
+qa AS (SELECT *, CASE WHEN cell > 0 THEN least(2, words // cell) ELSE 0 END AS rounds FROM cr),
+qr AS (SELECT *, CASE WHEN rounds < 2 THEN words - rounds * cell ELSE 0 END AS rest FROM qa),
+bb AS (SELECT greatest(1, least(4096, floor((min(target) FILTER (target > 0)) / (8 * max(n.n)))))::BIGINT AS b FROM s6, n),
+bl AS (SELECT source, shard, k, rest, least(b, cell - k * b) AS len, md5('17:' || shard || ':' || k) AS h
+       FROM qr, bb, unnest(range(0, (cell + b - 1) // b)) AS u(k) WHERE rest > 0),
+bs AS (SELECT source, shard, k, greatest(0, least(len, rest - (sum(len) OVER (PARTITION BY source, shard ORDER BY h, k ROWS UNBOUNDED PRECEDING) - len))) AS sel FROM bl),
+pc AS (SELECT source, shard, size, z, k, b FROM tp, bb, unnest(range((z - size) // b, (z - 1) // b + 1)) AS u(k) WHERE size > 0),
+ov AS (SELECT pc.source, pc.shard, z, sum(greatest(0, least(z, pc.k * b + sel) - greatest(z - size, pc.k * b))) AS got
+       FROM pc JOIN bs ON pc.source IS NOT DISTINCT FROM bs.source AND pc.shard = bs.shard AND pc.k = bs.k GROUP BY ALL)
+SELECT doc_id, size, source_size, target, (rounds * size + CASE WHEN size > 0 THEN coalesce(got, 0) ELSE 0 END)::BIGINT AS taken
+FROM tp JOIN qr ON tp.source IS NOT DISTINCT FROM qr.source AND tp.shard = qr.shard
+LEFT JOIN ov ON tp.source IS NOT DISTINCT FROM ov.source AND tp.shard = ov.shard AND tp.z = ov.z
 """
 
 OP3_SQL = """

@@ -159,6 +159,39 @@ def test_mix_takes_its_targets(spark):
     assert [r.taken for r in mix(frame.where("source = 'blank'")).collect()] == [0, 0]
 
 
+def test_mix_selects_blocks(spark, monkeypatch):
+    """Each shard's rest is what its blocks give in seeded order, token by token, and lies all over the tape."""
+    from polyvane.llm import mixing
+
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.choice((0, 1, 7, 60, 700)), rng.choice(("a", "a", "a", "b", None))) for k in range(1500)]
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    tapes, target = defaultdict(list), {}
+    for r in sorted(got, key=lambda r: hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()):
+        tapes[r.source, r.shard].append(r)
+        target[r.source] = r.target
+    block = max(1, min(16, int(min(t for t in target.values() if t > 0) // (8 * 64))))
+    assert block > 4
+    scattered = 0
+    for (_, shard), tape in tapes.items():
+        owner = [k for k, r in enumerate(tape) for _ in range(r.size)]
+        words, cell = sum(r.taken for r in tape), len(owner)
+        if not cell:
+            continue
+        rounds, rest = (2, 0) if words == 2 * cell else divmod(words, cell)
+        taken = [rounds * r.size for r in tape]
+        for b in sorted(range(-(-cell // block)), key=lambda b: (hashlib.md5(f"17:{shard}:{b}".encode()).hexdigest(), b)):
+            some = owner[b * block:(b + 1) * block][:rest]
+            rest -= len(some)
+            for k in some:
+                taken[k] += 1
+        assert taken == [r.taken for r in tape]
+        partly = [k for k, r in enumerate(tape) if r.size and r.taken % r.size]
+        scattered += len(partly) > 2
+    assert scattered > 20
+
+
 def brute_windows(text, window=10):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return words, [tuple(words[k:k + window]) for k in range(max(len(words) - window, 0) + 1)] if words else []
