@@ -25,6 +25,14 @@ def cells(spark):
     return spark.sql("SELECT if(id % 3 = 0, 'V', 'K') AS field, concat('c', id) AS cell, cast(id % 17 AS double) AS nr, if(id % 5 = 0, NULL, cast(id % 23 AS double)) AS null_n FROM range(300)")
 
 
+def test_pick_has_no_lambda_and_finds_every_number(spark):
+    pick = expand("@PICK(vals; hi; u)", False)
+    assert "->" not in pick
+    rows = spark.sql(f"SELECT u, {pick} AS v FROM (SELECT array(7, 5, 9) AS vals, array(2L, 3L, 6L) AS hi, id AS u FROM range(6)) t").collect()
+    assert {r.u: r.v for r in rows} == {0: 7, 1: 7, 2: 5, 3: 9, 4: 9, 5: 9}
+    assert spark.sql(f"SELECT {expand('@PICK(vals; hi; u)', False)} AS v FROM (SELECT array(7) AS vals, array(2L) AS hi, cast(NULL AS bigint) AS u) t").collect()[0].v is None
+
+
 def test_ladder_deals_out_no_draws():
     p = plan()
     assert "ladder_draws" not in p.text("ladder_cells") and "ladder_slices" not in p.text("ladder_cells")
