@@ -25,6 +25,14 @@ def cells(spark):
     return spark.sql("SELECT if(id % 3 = 0, 'V', 'K') AS field, concat('c', id) AS cell, cast(id % 17 AS double) AS nr, if(id % 5 = 0, NULL, cast(id % 23 AS double)) AS null_n FROM range(300)")
 
 
+def test_residuals_sum_by_field_without_a_window(spark, cells):
+    p = Plan()
+    add_residuals(p, "scored_cells", "given")
+    rows = lambda q: sorted((r.field, r.cell, r.nr, r.n0, r.keys, round(r.rho, 9), round(r.z, 9)) for r in q.frame("scored_cells", {"given": cells}, spark).collect())
+    assert "Window" not in shown(p.frame("scored_cells", {"given": cells}, spark))
+    assert rows(p) == rows(by_text(p, "scored_cells")) and len(rows(p)) == 300
+
+
 def test_pick_has_no_lambda_and_finds_every_number(spark):
     pick = expand("@PICK(vals; hi; u)", False)
     assert "->" not in pick
