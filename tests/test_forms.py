@@ -41,6 +41,17 @@ def test_pick_has_no_lambda_and_finds_every_number(spark):
     assert spark.sql(f"SELECT {expand('@PICK(vals; hi; u)', False)} AS v FROM (SELECT array(7) AS vals, array(2L) AS hi, cast(NULL AS bigint) AS u) t").collect()[0].v is None
 
 
+def test_evaluation_joins_no_hits_to_score(spark):
+    p = Plan()
+    add_evaluation(p, "given_residuals")
+    given = {"given_residuals": spark.sql("""SELECT 'G' AS field, c AS cell, cast(20 AS double) AS nr, cast(30 AS double) AS n0, 0.5D AS rho, z FROM VALUES ('7th', -3.0D), ('oct+', 1.0D), ('leap', 1.0D), ('small', -4.0D) AS t(c, z)""")}
+    scored = shown(p.frame("scored", given, spark))
+    assert "LeftOuter" not in scored and "Window" not in scored
+    rows = lambda q: {(r.atom, r.n_pos, r.n_neg, r.auc) for r in q.frame("atom_auc", given, spark).collect()}
+    plain = Plan().add(**p.nodes)
+    assert rows(p) == rows(plain) == {("A9", 1, 2, 0.5), ("A10", 1, 2, 0.25)}
+
+
 def test_ladder_deals_out_no_draws():
     p = plan()
     assert "ladder_draws" not in p.text("ladder_cells") and "ladder_slices" not in p.text("ladder_cells")
