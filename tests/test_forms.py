@@ -33,6 +33,14 @@ def test_residuals_sum_by_field_without_a_window(spark, cells):
     assert rows(p) == rows(by_text(p, "scored_cells")) and len(rows(p)) == 300
 
 
+def test_spearman_of_more_cells_than_the_root_of_an_int(spark):
+    p = Plan()
+    add_paired(p)
+    given = {name: spark.range(100_000).selectExpr("'K' AS field", "cast(id AS string) AS cell", f"cast({rho} AS double) AS rho") for name, rho in (("residuals", "id"), ("independent_residuals", "-id"))}
+    (row,) = p.frame("spearman", given, spark).collect()
+    assert (row.n, round(row.tied, 6), round(row.untied, 6)) == (100_000, -1.0, -1.0)
+
+
 def test_pick_has_no_lambda_and_finds_every_number(spark):
     pick = expand("@PICK(vals; hi; u)", False)
     assert "->" not in pick
