@@ -63,3 +63,8 @@ def test_evaluation_joins_no_hits_to_score(spark):
 def test_ladder_deals_out_no_draws():
     p = plan()
     assert "ladder_draws" not in p.text("ladder_cells") and "ladder_slices" not in p.text("ladder_cells")
+
+
+def test_the_sampled_null_deals_out_no_draws():
+    p = plan()
+    assert all("k_draws" not in p.text(f"{x}null_k") for x in ("", "x_", "x1_", "x2_"))
