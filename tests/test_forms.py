@@ -68,3 +68,20 @@ def test_ladder_deals_out_no_draws():
 def test_the_sampled_null_deals_out_no_draws():
     p = plan()
     assert all("k_draws" not in p.text(f"{x}null_k") for x in ("", "x_", "x1_", "x2_"))
+
+
+def test_lattice_splits_supported_cells_only(spark):
+    p = plan()
+    assert "{partitions}" not in p.text("productive_joined")
+    rows = [("X", f"{a}{b}{c}", "s", float(n), [f"a={a}", f"b={b}", f"c={c}"], 3) for (a, b, c), n in zip([(a, b, c) for a in range(3) for b in range(2) for c in range(2)], [5, 0, 3, 1, 0, 2, 7, 1, 0, 0, 4, 0])]
+    given = {"bit_lists": spark.createDataFrame([*rows, ("X", "one", "t", 4.0, ["one"], 1), ("Y", "00", "s", 0.0, ["a=0", "b=0"], 2)], "field string, cell string, signature string, nr double, bits array<string>, m int")}
+    found = lambda q: sorted(map(tuple, q.frame("productive_joined", given, spark).collect()))
+    plain = Plan().add(**p.nodes)
+    assert found(p) == found(plain) and len(found(p)) == 14
+
+
+def test_units_are_dealt_out_before_they_are_drawn(spark):
+    p = plan()
+    assert all(Plan.TASKS in p.form(x) for x in ("k_sampled", "x_k_sampled", "x1_k_sampled", "replay_k", "x_replay_k", "sim_k", "replay_r", "replay_w", "sim_w"))
+    assert all(p.text(x).count("CROSS JOIN {draw_cats}") <= 1 for x in ("replay_k", "sim_k"))  # a sequence is drawn once for both its cells
+    assert p.tasks(spark, {}, {"": ((("events.parquet", 300 << 20, 0),),)}) == 300 and p.tasks(spark, {}, {"": ((),)}) == spark.sparkContext.defaultParallelism
