@@ -85,3 +85,33 @@ def test_units_are_dealt_out_before_they_are_drawn(spark):
     assert all(Plan.TASKS in p.form(x) for x in ("k_sampled", "x_k_sampled", "x1_k_sampled", "replay_k", "x_replay_k", "sim_k", "replay_r", "replay_w", "sim_w"))
     assert all(p.text(x).count("CROSS JOIN {draw_cats}") <= 1 for x in ("replay_k", "sim_k"))  # a sequence is drawn once for both its cells
     assert p.tasks(spark, {}, {"": ((("events.parquet", 300 << 20, 0),),)}) == 300 and p.tasks(spark, {}, {"": ((),)}) == spark.sparkContext.defaultParallelism
+
+
+def test_rarity_rank_goes_by_buckets(spark):
+    p = Plan()
+    add_evaluation(p, "given_residuals")
+    given = {"given_residuals": spark.sql("SELECT if(id % 2 = 0, 'V', 'K') AS field, concat('c', id) AS cell, cast(id % 5 AS double) AS nr, cast((id * 37) % 90 AS double) / 3 AS n0, 0D AS rho, 0D AS z FROM range(400)")}
+    rows = lambda q: sorted((r.field, r.cell, r.r) for r in q.frame("rarity_rank", given, spark).collect())
+    assert "PARTITION BY field ORDER BY nr, n0" not in p.form("rarity_rank")
+    assert rows(p) == rows(by_text(p, "rarity_rank")) and p.frame("rarity_rank", given, spark).schema["r"].dataType.simpleString() == "int"
+
+
+def test_simulated_scores_meet_no_window_over_a_field(spark):
+    p = plan()
+    given = {"sim_cells": spark.sql("SELECT if(id % 2 = 0, 'V', 'K') AS field, cast(id % 3 AS int) AS rep, concat('c', id DIV 6) AS cell, (id * 13) % 30 AS n FROM range(240)"),
+             "replay_residuals": spark.sql("SELECT if(id % 2 = 0, 'V', 'K') AS field, concat('c', id DIV 2) AS cell, cast((id * 7) % 40 AS double) AS nr, cast((id * 11) % 25 AS double) AS n0, 900D AS nr_total, 700D AS n0_total, 60L AS keys, round(sin(id) * 4, 1) AS z FROM range(120)")}
+    for name in ("sim_z", "empirical"):
+        plain = Plan().add(**p.nodes)
+        rows = lambda q: sorted(tuple(sorted(r.asDict().items())) for r in q.frame(name, given, spark).collect())  # noqa: E731,B023
+        assert rows(p) == rows(plain) and len(rows(p)) > 40
+    assert "PARTITION BY field ORDER BY z" not in p.text("empirical") and "{sim_joined}" not in p.text("empirical")
+
+
+def test_vocabularies_join_no_atoms(spark):
+    p = plan()
+    assert not {"{hits}", "{vocabulary_flags}", "{vocabulary_cells}"} & set(__import__("re").findall(r"\{\w+\}", p.text("vocabulary_auc")))
+    cells = ["gap=cross", "gap=le8", "gap=8to12", "gap=12to19", "gap=gt19"]
+    rows = [("H", f"SA|{c}", 5.0 + k, 30.0 - k, 0.1 * k - 0.3, -2.0 + 0.9 * k) for k, c in enumerate(cells)] + [("G", c, 20.0, 30.0, 0.5, z) for c, z in (("7th", -3.0), ("oct+", 1.0), ("leap", 1.0), ("small", -4.0))]
+    given = {"residuals": spark.createDataFrame(rows, "field string, cell string, nr double, n0 double, rho double, z double")}
+    found = lambda q: sorted((r.vocabulary, r.atom, r.auc) for r in q.frame("vocabulary_auc", given, spark).collect())
+    assert found(p) == found(Plan().add(**p.nodes)) and len(found(p)) > 8
