@@ -115,3 +115,28 @@ def test_vocabularies_join_no_atoms(spark):
     given = {"residuals": spark.createDataFrame(rows, "field string, cell string, nr double, n0 double, rho double, z double")}
     found = lambda q: sorted((r.vocabulary, r.atom, r.auc) for r in q.frame("vocabulary_auc", given, spark).collect())
     assert found(p) == found(Plan().add(**p.nodes)) and len(found(p)) > 8
+
+
+def test_log_linear_fits_a_large_signature_pair_by_pair(spark, monkeypatch):
+    from polyvane.operators import lattice
+    from polyvane.operators.lattice import log_linear_null
+
+    monkeypatch.setattr(lattice, "SWEEPS", 3)
+    rows = [("K", f"{a}{b}{c}{d}", "s", float((a * 7 + b * 5 + c * 3 + d * a) % 5) if (a + b) % 4 and (c + d) % 3 else 0.0, [f"a={a}", f"b={b}", f"c={c}", f"d={d}"], 4) for a in range(4) for b in range(4) for c in range(3) for d in range(3)]
+    given = spark.createDataFrame([*rows, ("X", "one", "t", 4.0, ["one"], 1), *(("Y", f"y{k}", "u", 0.0, [f"a={k}", "b=0", "c=0"], 3) for k in range(3))], "field string, cell string, signature string, nr double, bits array<string>, m int")
+    fitted = lambda *most: {(r.field, r.cell): (r.nr, round(r.null_n, 7)) for r in log_linear_null(given, *most).collect()}
+    whole = fitted(10**6)
+    assert whole == fitted(50) == fitted(50, 2) and len(whole) == len(rows) + 4  # in one task; the first sweep in Spark; all sweeps in Spark
+    assert whole["K", "0000"][1] == 0 and sum(n > 0 for _, n in whole.values()) > 20
+
+
+def test_bits_are_split_without_a_window(spark):
+    p = plan()
+    given = {"residuals": spark.createDataFrame([("K", f"b={b}|set={x}|ch=0/to/b={c}|set={x}|ch=1|slot={s}", float((b * c + len(x)) % 4)) for b in range(3) for c in range(3) for x in ("0.4.7", "x") for s in ("fin", "int")]
+                                                + [("J", "b=1/to/b=2|slot=fin", 3.0), ("G", "leap", 0.0), ("G", "7th", 2.0), ("H", "SA|gap=cross", 1.0), ("H", "SA|gap=le8", 0.0), ("U", "dbl=none", 0.0)], "field string, cell string, nr double")}
+    plain = Plan().add(**p.nodes)
+    for name, digits in (("bit_lists", None), ("lattice_cells", None), ("independent", 9)):
+        columns = sorted(plain.frame(name, given, spark).columns)
+        rows = lambda q: sorted(tuple(repr(round(r[c], digits) if digits and isinstance(r[c], float) else r[c]) for c in columns) for r in q.frame(name, given, spark).collect())  # noqa: E731,B023
+        assert rows(p) == rows(plain) and len(rows(p)) == 42
+        assert "Window" not in shown(p.frame(name, given, spark))
