@@ -140,3 +140,16 @@ def test_bits_are_split_without_a_window(spark):
         rows = lambda q: sorted(tuple(repr(round(r[c], digits) if digits and isinstance(r[c], float) else r[c]) for c in columns) for r in q.frame(name, given, spark).collect())  # noqa: E731,B023
         assert rows(p) == rows(plain) and len(rows(p)) == 42
         assert "Window" not in shown(p.frame(name, given, spark))
+
+
+def test_only_the_best_cells_are_put_in_words(spark):
+    p = plan()
+    assert "{statements}" not in p.text("statement_merge")
+    rows = [("H", f"SA|gap={g}", float(k), 30.0, 0.1, float(k % 4)) for k, g in enumerate(("cross", "le8", "8to12", "12to19", "gt19"))] + [("K", f"b={k}|set=0|ch=0/to/b=0|set=0|ch=0|slot=fin", float(k % 3), 20.0 + k % 2, 0.2, float(k % 7)) for k in range(90)]
+    given = {"residuals": spark.createDataFrame(rows, "field string, cell string, nr double, n0 double, rho double, z double")}
+    for name in ("top_items", "statement_merge"):
+        plain = Plan().add(**p.nodes)
+        rows = lambda q: sorted(map(str, q.frame(name, given, spark).collect()))  # noqa: E731,B023
+        assert rows(p) == rows(plain) and len(rows(p)) >= 20
+    best = shown(p.frame("top_items", given, spark))
+    assert best.count("WindowGroupLimit") == 2  # of equal scores only the best are kept before they are hashed and ranked
