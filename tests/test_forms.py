@@ -153,3 +153,15 @@ def test_only_the_best_cells_are_put_in_words(spark):
         assert rows(p) == rows(plain) and len(rows(p)) >= 20
     best = shown(p.frame("top_items", given, spark))
     assert best.count("WindowGroupLimit") == 2  # of equal scores only the best are kept before they are hashed and ranked
+
+
+def test_places_of_rules_are_neither_dealt_by_cell_nor_sorted(spark):
+    p = plan()
+    assert "BROADCAST(f)" in p.form("found_places") and "BROADCAST(s)" in p.form("rule_positions") and "BROADCAST(d)" in p.form("prohibitions")
+    places = spark.createDataFrame([("A1", 1, 0, "SB"), ("A1", 1, 0, "SA"), ("A1", 1, 29, "SB"), ("A4", 1, 31, ""), ("A4", 2, 40, ""), ("A9", 2, 3, "")], "rule string, piece bigint, i int, voices string")
+    given = {"geometry": places, "geometry_rows": places, "hits": spark.createDataFrame([("A1", "V", "x", "under"), ("A1", "V", "y", "under"), ("A4", "O", "z", "under"), ("A9", "G", "7th", "under")], "atom string, field string, cell string, polarity string"),
+             "discover_full": spark.createDataFrame([("V", "x", "under"), ("O", "z", "under"), ("O", "z", "over"), ("G", "7th", "under")], "field string, cell string, polarity string"),
+             "local_cells": spark.createDataFrame([("V", 1, 0, "x"), ("V", 1, 0, "x"), ("V", 1, 5, "x"), ("V", 1, 29, "y"), ("O", 2, 40, "z"), ("O", 3, 8, "z"), ("G", 2, 3, "7th")], "field string, piece bigint, i int, cell string")}
+    rows = lambda q: sorted(tuple(r) for r in q.frame("geometry_prf", given, spark).select("rule", "tp", "fp", "fn").collect())
+    assert rows(p) == rows(Plan().add(**p.nodes)) == [("A1", 1, 1, 1), ("A4", 1, 1, 1)]
+    assert "FullOuter" not in shown(p.frame("geometry_prf", given, spark))
