@@ -165,3 +165,20 @@ def test_places_of_rules_are_neither_dealt_by_cell_nor_sorted(spark):
     rows = lambda q: sorted(tuple(r) for r in q.frame("geometry_prf", given, spark).select("rule", "tp", "fp", "fn").collect())
     assert rows(p) == rows(Plan().add(**p.nodes)) == [("A1", 1, 1, 1), ("A4", 1, 1, 1)]
     assert "FullOuter" not in shown(p.frame("geometry_prf", given, spark))
+
+
+def test_a_write_does_not_merge_small_rows_into_one_task(spark):
+    from polyvane.plans import scratch
+
+    session = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"}
+    before = {k: spark.conf.get(k, None) for k in session}
+    try:
+        for k, v in session.items():
+            spark.conf.set(k, v)
+        spark.range(500_000).selectExpr("id % 5000 AS piece", "id AS i").createOrReplaceTempView("many_rows")
+        made = scratch.write(spark, spark.sql("SELECT piece, row_number() OVER (PARTITION BY piece ORDER BY i) AS r FROM many_rows"), "many")
+        assert len(made.inputFiles()) == 4 and made.count() == 500_000
+        assert all(spark.conf.get(k) == v for k, v in session.items())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
