@@ -182,3 +182,14 @@ def test_a_write_does_not_merge_small_rows_into_one_task(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sampled_null_looks_pitches_up_in_constants(spark):
+    p = plan()
+    assert "{draw_cats}" not in p.form("x_k_sampled")
+    pitches = [(v, m, n) for v, base in (("S", 60), ("A", 53), ("T", 48), ("B", 40)) for m, n in ((base, 5), (base + 2, 1), (base + 5, 90))]
+    given = {"pitch_cat": spark.createDataFrame([(v, m, n, 96, n / 96, 3) for v, m, n in pitches], "voice string, m int, n bigint, total bigint, share double, kinds bigint"),
+             "dp_cat": spark.createDataFrame([(v, 1, 1, 1.0) for v in "SATB"], "voice string, d int, n bigint, share double"),
+             "x_k_units": spark.createDataFrame([(1, 0, 3, 0.25), (2, 7, 1, 0.5)], "piece bigint, tonic int, units bigint, fin double")}
+    rows = lambda q: sorted((r.k0, r.k, r.slot) for r in q.frame("x_k_sampled", given, spark).collect())
+    assert rows(p) == rows(Plan().add(**p.nodes)) and len(rows(p)) == 64
