@@ -193,3 +193,23 @@ def test_sampled_null_looks_pitches_up_in_constants(spark):
              "x_k_units": spark.createDataFrame([(1, 0, 3, 0.25), (2, 7, 1, 0.5)], "piece bigint, tonic int, units bigint, fin double")}
     rows = lambda q: sorted((r.k0, r.k, r.slot) for r in q.frame("x_k_sampled", given, spark).collect())
     assert rows(p) == rows(Plan().add(**p.nodes)) and len(rows(p)) == 64
+
+
+def test_draws_are_looked_up_in_constants(spark):
+    p = plan()
+    drawn = [x for x in p.nodes if "{draw_cats}" in p.nodes[x] and ("replay_" in x or "sim_" in x)]
+    assert len(drawn) > 20 and not any("{draw_cats}" in p.form(x) for x in drawn)
+    cats = {"p": [(50, 1), (52, 4000), (53, 1), (55, 7001)], "d": [(-2, 3), (0, 1), (1, 5)]}
+    columns = []
+    for name in [f"{k}{v}" for k in "pd" for v in "satb"] + ["bag"]:
+        some, hi = cats[name[0] if name != "bag" else "p"], []
+        for _, n in some:
+            hi.append(n + (hi[-1] if hi else 0))
+        columns += [f"array({', '.join(str(v) for v, _ in some)}) AS {name}_val", f"array({', '.join(f'{h}L' for h in hi)}) AS {name}_hi", f"{hi[-1]}L AS {name}_n"]
+    given = {"draw_cats": spark.sql(f"SELECT {', '.join(columns)}"),
+             "steps": spark.sql("SELECT id AS piece, 1 AS i, 60 AS ms, 55 AS ma, 50 AS mt, 45 AS mb, 61 AS ms0, 56 AS ma0, 51 AS mt0, 46 AS mb0 FROM range(40)"),
+             "changes": spark.sql("SELECT id AS piece, 1 AS i, 'A' AS voice, 52 AS m0, 3 AS d0 FROM range(40)"),
+             "pitch_ranges": spark.sql("SELECT 'A' AS voice, 52 AS m, 4000L AS n, 11003L AS total, 4001L AS hi, 1L AS lo")}
+    for name in ("replay_v", "sim_v", "replay_g", "replay_m"):
+        rows = lambda q, name=name: sorted(map(tuple, q.frame(name, given, spark).collect()))
+        assert rows(p) == rows(by_text(p, name)) and rows(p)
